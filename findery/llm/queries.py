@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, simhash
 
-_MODULES = [decontaminate]
+_MODULES = [decontaminate, simhash]
 
 QUERIES = {}
 ORACLES = {}
