@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, licenses, simhash
 
-_MODULES = [decontaminate, simhash]
+_MODULES = [decontaminate, simhash, licenses]
 
 QUERIES = {}
 ORACLES = {}
