@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, simhash
+from . import decontaminate, licenses, packing, simhash
 
-_MODULES = [decontaminate, simhash, licenses]
+_MODULES = [decontaminate, simhash, licenses, packing]
 
 QUERIES = {}
 ORACLES = {}
