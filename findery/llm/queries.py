@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, simhash
+from . import decontaminate, licenses, packing, quality, simhash
 
-_MODULES = [decontaminate, simhash, licenses, packing]
+_MODULES = [decontaminate, simhash, licenses, packing, quality]
 
 QUERIES = {}
 ORACLES = {}
