@@ -87,3 +87,27 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
         F.regexp_extract_all(text, pat, F.lit(0)),
         lambda hits: F.when(F.size(hits) == 0, empty).otherwise(placed(hits, F.split(text, pat, -1))),
     )
+
+
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def kept_spans(text: Column, kind: str, rank: int, pattern: str, test: Callable[[Column], Column] | None = None) -> Column:
+    """SPAN of the matches of one kind that pass the test on their text; null text gives null."""
+    hits = match_spans(text, pattern)
+    if test is not None:
+        hits = F.filter(hits, lambda h: F.coalesce(test(h["hit"]), F.lit(False)))
+    return F.transform(
+        hits, lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end"), F.lit(kind).alias("kind"))
+    )
+
+
+def span_list(spans: Column) -> Column:
+    """kind:start:end of every span, by start and then rank, comma-joined."""
+    ordered = F.array_sort(spans)
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(ordered, text), ",")
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")

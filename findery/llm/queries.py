@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, quality, simhash
+from . import decontaminate, licenses, packing, quality, secrets, simhash
 
-_MODULES = [decontaminate, simhash, licenses, packing, quality]
+_MODULES = [decontaminate, simhash, licenses, packing, quality, secrets]
 
 QUERIES = {}
 ORACLES = {}
