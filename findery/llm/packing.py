@@ -16,10 +16,13 @@ one; an empty table gives no pieces; other columns are ignored whatever their na
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,29 +36,71 @@ CAPACITY = 2048
 END = 0
 #: Parts of texts remembered in each Python worker: two generations of so many.
 REMEMBERED = 500_000
+#: ASCII punctuation that may follow a word; an apostrophe may belong to it.
+BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The end of the Latin letters, and how many words go to the model as one text.
+LATIN_END, TOGETHER = "\u0250", 64
 #: Rows of one length that one window may rank, and the least number of salts.
 RANKED, SALTS = 20_000, 128
 
 
 class PartTokenizer:
-    """Ids of white-space-separated parts, as little-endian unsigned 32-bit bytes, with a bounded memory."""
+    """Ids of white-space-separated parts, as little-endian unsigned 32-bit bytes, with a bounded memory.
+
+    Most new parts are one lower-case Latin word, perhaps with punctuation behind it. The tokenizer's
+    normaliser leaves such a word alone and its pre-tokenizer keeps it whole and apart from the punctuation,
+    so these words go to the model many at a time, and are told apart by the tokens that end a word.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(Path(path).read_text())
+        spec["normalizer"], spec["added_tokens"] = None, []
+        whole = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, whole]}
+        self.words = Tokenizer.from_str(json.dumps(spec))
+        vocab = self.words.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that neither the normaliser nor the pre-tokenizer would change."""
+        joined = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        found = self.words.encode_batch_fast(joined, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(x.ids for x in found), dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[flat]) + 1)).tolist()
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
     def known(self, lists: list[list[bytes]]) -> dict[bytes, bytes]:
         """A memory that holds every part of the lists."""
         missing = set(chain.from_iterable(lists)).difference(self.new)
         for part in missing & self.old.keys():
             self.new[part] = self.old[part]
-        missing = [x for x in missing if x not in self.new]
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in missing], add_special_tokens=False)
-        for part, encoding in zip(missing, found):
-            self.new[part] = np.array(encoding.ids, dtype="<u4").tobytes()
+        plain, other = [], []
+        for part in missing.difference(self.new):
+            text = part.decode()
+            word = text.rstrip(BEHIND)
+            if word.isalpha() and word.islower() and max(word) < LATIN_END and unicodedata.is_normalized("NFC", word):
+                plain.append((part, word, text[len(word) :]))
+            else:
+                other.append((part, text))
+        tails = sorted({tail for _, _, tail in plain if tail})
+        tail_ids = {"": b"", **dict(zip(tails, self._whole(tails)))}
+        words = list({word for _, word, _ in plain})
+        word_ids = dict(zip(words, self._words(words), strict=True))
+        for part, word, tail in plain:
+            self.new[part] = word_ids[word] + tail_ids[tail]
+        for (part, _), ids in zip(other, self._whole([text for _, text in other])):
+            self.new[part] = ids
         held = self.new
         if len(held) > REMEMBERED:
             self.old, self.new = held, {}

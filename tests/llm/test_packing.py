@@ -34,7 +34,7 @@ def test_plan_is_near_the_bound():
 
 def test_parts_give_the_ids_of_whole_texts():
     whole = Tokenizer.from_file(tokenizer_path())
-    texts = ["It's a Test,\tisn't it?", "ÉCOLE à b c 12.5%", "<|endoftext|> x<|ENDOFTEXT|>y", "é ́x", "漢字 かな\n\n", "", "a" * 3000, "ΟΔΟΣ ΣΑΣ."]
+    texts = ["It's a Test,\tisn't it?", "ÉCOLE à b c 12.5%", "<|endoftext|> x<|ENDOFTEXT|>y", "é ́x", "漢字 かな\n\n", "", "a" * 3000, "ΟΔΟΣ ΣΑΣ.", "word, word&&& häß!! e\u0301a, x<|endoftext|> don't.' ĳ ﬁn. ǆ ªº. a_b ß"]
     got = part_tokenizer(tokenizer_path()).encode([t.encode() for t in texts])
     for text, ids in zip(texts, got):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
