@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, packing, pii, quality, secrets, simhash, url_filter
+from . import decontaminate, licenses, lm, packing, pii, quality, secrets, simhash, url_filter
 
-_MODULES = [decontaminate, simhash, licenses, packing, pii, quality, secrets, url_filter]
+_MODULES = [decontaminate, lm, simhash, licenses, packing, pii, quality, secrets, url_filter]
 
 QUERIES = {}
 ORACLES = {}
