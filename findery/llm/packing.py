@@ -35,7 +35,7 @@ from .common import LOWER_BYTES, stored, table, text_bytes
 CAPACITY = 2048
 END = 0
 #: Parts of texts remembered in each Python worker: two generations of so many.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: ASCII punctuation that may follow a word; an apostrophe may belong to it.
 BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The end of the Latin letters, and how many words go to the model as one text.
@@ -85,20 +85,26 @@ class PartTokenizer:
         missing = set(chain.from_iterable(lists)).difference(self.new)
         for part in missing & self.old.keys():
             self.new[part] = self.old[part]
-        plain, other = [], []
+        plain, other, words = [], [], {}
         for part in missing.difference(self.new):
             text = part.decode()
             word = text.rstrip(BEHIND)
             if word.isalpha() and word.islower() and max(word) < LATIN_END and unicodedata.is_normalized("NFC", word):
-                plain.append((part, word, text[len(word) :]))
+                tail = text[len(word) :]
+                bare = part[: len(part) - len(tail)]  # what follows the word is ASCII
+                plain.append((part, bare, tail))
+                ids = self.new.get(bare) or self.old.get(bare)
+                if ids:
+                    self.new[bare] = ids
+                else:
+                    words[bare] = word
             else:
                 other.append((part, text))
         tails = sorted({tail for _, _, tail in plain if tail})
         tail_ids = {"": b"", **dict(zip(tails, self._whole(tails)))}
-        words = list({word for _, word, _ in plain})
-        word_ids = dict(zip(words, self._words(words), strict=True))
-        for part, word, tail in plain:
-            self.new[part] = word_ids[word] + tail_ids[tail]
+        self.new.update(zip(words, self._words(list(words.values())), strict=True))
+        for part, bare, tail in plain:
+            self.new[part] = self.new[bare] + tail_ids[tail]
         for (part, _), ids in zip(other, self._whole([text for _, text in other])):
             self.new[part] = ids
         held = self.new
