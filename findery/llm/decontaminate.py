@@ -261,7 +261,11 @@ def decontaminate(
                         texts.append(None if body is None else body.decode())
                         continue
                     keep.append(hit <= max_hit_share * words and hit < words)
-                    texts.append(_cut(body, spans))
+                    while spans:  # what a cut brings together may be a window again
+                        body = _cut(body, spans)
+                        again = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([body], pa.binary())], names=["row", "body"])
+                        spans = next(scan([again])).column(7).to_pylist()[0]
+                    texts.append(body.decode())
             cols_now = list(batch.columns)
             cols_now[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(cols_now, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
@@ -269,7 +273,7 @@ def decontaminate(
     return docs.mapInArrow(run, docs.schema)
 
 
-def _cut(body: bytes, spans: list[dict]) -> str:
+def _cut(body: bytes, spans: list[dict]) -> bytes:
     flat = body.translate(WORD_BYTES)
     at, places = 0, []
     for word in flat.split():
@@ -281,7 +285,7 @@ def _cut(body: bytes, spans: list[dict]) -> str:
         out.append(body[done : places[s["first"]][0]])
         done = places[s["last"]][1]
     out.append(body[done:])
-    return b"".join(out).decode()
+    return b"".join(out)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -87,10 +87,10 @@ def entries_of(host: Column, path: Column, deepest: Column) -> Column:
 def filter_captures(captures: DataFrame, records: DataFrame, *, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """One row a capture: blocked, and the deciding entry with its list, category and interval."""
     spans = intervals(records)
-    limit = spans.agg(F.coalesce(F.max(depth(F.col("entry"))), F.lit(0)).alias("deepest"))  # one row
+    deepest = spans.agg(F.coalesce(F.max(depth(F.col("entry"))), F.lit(0))).scalar()
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).cast("long").alias("_at"))
     rows = rows.withColumn("_host", host_of(F.col("_url")))
-    keyed = rows.distinct().where(F.col("_at").isNotNull() & (F.col("_host") != "")).join(F.broadcast(limit))
+    keyed = rows.distinct().where(F.col("_at").isNotNull() & (F.col("_host") != "")).withColumn("deepest", deepest)
     keyed = keyed.select("_id", "_url", "_at", F.explode(F.array_distinct(entries_of(F.col("_host"), path_of(F.col("_url")), F.col("deepest")))).alias("entry"))
     active = keyed.join(spans, "entry").where((F.col("since") <= F.col("_at")) & (F.col("until").isNull() | (F.col("_at") < F.col("until"))))
     # the smallest in this order decides
