@@ -10,7 +10,7 @@ N documents, the pointwise mutual information is set against the entity's inform
 disclosure exceeds a threshold, is sanitised wherever it stands: removed if it discloses all, else
 generalised to a class of words.
 
-Defined results: a null or empty text has no spans; repeated rows count as one document and give one result
+Defined results: a null or empty text has no spans; repeated rows count as a document each and give one result
 each; an entity that all documents hold has no information to disclose; terms that overlap an entity's span
 are not reported; an empty table gives an empty result; other columns are kept or ignored whatever their
 names.
@@ -39,7 +39,7 @@ REACH = 120
 MIN_CONTEXTS = 3
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.999
-#: Rows up to which the candidate terms, or the documents' lists of terms, may be broadcast.
+#: Rows up to which the terms to sanitise, or the documents' lists of them, may be broadcast.
 BROADCAST_ROWS = 100_000
 
 SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -83,8 +83,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """(doc, text_hash, entity, context, term) for the words near each entity; found has text and base."""
-    holders = found.where(F.size("base") > 0).select("doc", "text_hash", "text", F.explode("base").alias("s"))
+    """(row, entity, context, term) for the words near each entity; found has text and base."""
+    row = F.monotonically_increasing_id().alias("row")
+    holders = found.select(row, "text", "base").where(F.size("base") > 0).select("row", "text", F.explode("base").alias("s"))
     value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     entity = F.xxhash64("s.kind", F.when(F.col("s.kind") == "email", F.lower(value)).otherwise(digits(value)))
     left = F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
@@ -94,28 +95,23 @@ def contexts(found: DataFrame) -> DataFrame:
     whole_right = F.when(F.length(right) >= REACH, F.regexp_replace(right, rf"{WORD_CHAR}+\z", "")).otherwise(right)
     before = let(terms(whole_left), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR + 1, F.lit(1)), NEAR))
     after = F.slice(terms(whole_right), 1, NEAR)
-    near = holders.select("doc", "text_hash", entity.alias("entity"), F.concat(before, after).alias("near"))
-    return near.select("doc", "text_hash", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
+    near = holders.select("row", entity.alias("entity"), F.concat(before, after).alias("near"))
+    return near.select("row", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
 
 
-def revealing(found: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(terms with their greatest disclosure, (doc, text_hash, term) of the documents that hold a candidate)."""
+def revealing(found: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+    """(term, disclosure) of the terms to sanitise. All terms of the corpus are counted, by a hash and before any join."""
     near = stored(contexts(found))
-    with_entity = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("doc", "text_hash").alias("n_te"))
-    with_entity = with_entity.where(F.col("contexts") >= min_contexts)
-    of_entity = near.groupBy("entity").agg(F.count_distinct("doc", "text_hash").alias("n_e"))
-    pairs = stored(with_entity.join(of_entity, "entity"))
-    candidates = pairs.select("term").distinct()
-    words = found.select("doc", "text_hash", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    if candidates.count() <= BROADCAST_ROWS:
-        candidates = F.broadcast(candidates)
-    holding = stored(words.join(candidates, "term", "left_semi").distinct())
-    of_term = holding.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = found.select("doc", "text_hash").distinct().count()
-    held = F.log(F.lit(float(n)) / F.col("n_e"))
-    shared = F.log(F.col("n_te") * float(n) / (F.col("n_t") * F.col("n_e")))
-    scored = pairs.join(of_term, "term").withColumn("disclosure", F.when(held > 0, shared / F.when(held > 0, held)).otherwise(0.0))
-    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise), holding
+    with_entity = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_te"))
+    of_entity = near.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
+    pairs = with_entity.where(F.col("contexts") >= min_contexts).join(of_entity, "entity").withColumn("t", F.xxhash64("term"))
+    words = found.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), lambda w: F.xxhash64(w)))).alias("t"))
+    of_term = words.groupBy("t").agg(F.count("*").alias("n_t"))
+    n = float(found.count())
+    held = F.log(F.lit(n) / F.col("n_e"))
+    shared = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
+    scored = pairs.join(of_term, "t").withColumn("disclosure", F.when(held > 0, shared / F.when(held > 0, held)).otherwise(0.0))
+    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def find_pii(
@@ -126,14 +122,16 @@ def find_pii(
     kind term to generalise and kind reveal to remove."""
     rows = _keyed(docs, id_col, text_col)
     found = rows.withColumn("base", base_spans(F.col("text")))
-    flagged, holding = revealing(found, min_contexts, generalise)
     kind = F.when(F.col("disclosure") >= remove, "reveal").otherwise("term")
-    lists = holding.join(flagged, "term").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("term", kind.alias("kind"))).alias("terms"))
-    lists = stored(lists)
-    size = lists.count()
+    flagged = stored(revealing(found, min_contexts, generalise).select("term", kind.alias("kind")))
     base = stored(found.select("doc", "text_hash", "base"))
-    if size == 0:
+    n_flagged = flagged.count()
+    if n_flagged == 0:
         return base.withColumn("more", F.array().cast(SPAN))
+    words = rows.select("doc", "text_hash", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    holding = words.join(F.broadcast(flagged) if n_flagged <= BROADCAST_ROWS else flagged, "term")
+    lists = stored(holding.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("term", "kind")).alias("terms")))
+    size = lists.count()
     names = lists.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
     if size <= BROADCAST_ROWS:
         names = F.broadcast(names)
