@@ -1,0 +1,57 @@
+"""Versioned Parquet snapshots with a pointer to the current one; writers that lose a race fail."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..schema import VERSION
+
+
+class Store:
+    """A folder of any file system that Spark reads: data/<id> for snapshots, log/<number> names the id of each.
+
+    A log entry is put in place by a rename, which does not replace an existing one: of two writers that started
+    from the same snapshot one fails. Rows are sorted by id within files, so that look-ups skip row groups.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str) -> None:
+        self.spark, self.root = spark, f"{path.rstrip('/')}/{name}"
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(f"{self.root}/log"))
+
+    def version(self) -> int:
+        """Of the last snapshot; 0 if there is none."""
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/log"))]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        number = version or self.version()
+        if not number:
+            raise LookupError("nothing is stored yet")
+        stream = self._fs.open(self._path(f"{self.root}/log/{number:012d}"))
+        try:
+            schema_version, name = stream.readUTF().split(" ")
+        finally:
+            stream.close()
+        if int(schema_version) != VERSION:
+            raise ValueError(f"snapshot has schema {schema_version}, not {VERSION}")
+        return self.spark.read.parquet(f"{self.root}/data/{name}")
+
+    def write(self, rows: DataFrame, base: int) -> int:
+        """Store the snapshot that follows `base`; fails if another one has followed it already."""
+        name = uuid.uuid4().hex
+        first = rows.columns[0]
+        rows.sortWithinPartitions(first).write.parquet(f"{self.root}/data/{name}")
+        draft = self._path(f"{self.root}/log/.{name}")
+        out = self._fs.create(draft)
+        out.writeUTF(f"{VERSION} {name}")
+        out.close()
+        final = self._path(f"{self.root}/log/{base + 1:012d}")
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"snapshot {base + 1} was written by another run")
+        return base + 1
