@@ -26,5 +26,5 @@ def follow(spark: SparkSession, landing: str, store: Store, kind: str, checkpoin
         base = store.version()
         store.write(apply(store.read(base), decode(records).persist(), now()).drop("changed"), base)
 
-    lines = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", 1).text(landing)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(landing, wholetext=True)
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
