@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Width of embedding and state, steps in a window, words in a head class, streams at most.
-WIDTH, STEPS, CLASS_WORDS, STREAMS = 16, 32, 32, 256
+WIDTH, STEPS, CLASS_WORDS, STREAMS = 16, 32, 32, 512
+#: In training a document goes on in another stream, with a cleared state, after so many tokens; in scoring never.
+TRAIN_RUN = 4096
 RATE, CLIP = 0.08, 1.0
 
 
@@ -88,28 +90,34 @@ class Model:
         self.g2 = {k: np.full_like(v, 1e-3) for k, v in params.items()}
 
     def run(self, given: np.ndarray, h: np.ndarray) -> tuple:
-        """States of a window, and what the backward step needs."""
+        """States of a window, and what the backward step needs. Features lead: arrays are (features, streams)."""
         p, w = self.p, WIDTH
+        steps, n = given.shape
         ids = np.where(given < 0, self.end, given)
-        carry = (given >= 0).astype(np.float32)[:, :, None]
-        x = p["emb"][ids]
-        xs = x @ p["wx"] + p["b"]
-        out = np.empty((len(ids), ids.shape[1], w), np.float32)
+        carry = (given >= 0).astype(np.float32)
+        # the input's share of every word at once, then one look-up
+        xs = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T).take(ids.ravel(), axis=1).reshape(3 * w, steps, n)
+        wh = np.ascontiguousarray(p["wh"].T)
+        out = np.empty((steps, w, n), np.float32)
         kept = []
-        for t in range(len(ids)):
+        for t in range(steps):
             before = h * carry[t]
-            a = before @ p["wh"]
-            gates = xs[t, :, : 2 * w] + a[:, : 2 * w]
+            a = wh @ before
+            gates = xs[: 2 * w, t] + a[: 2 * w]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            z, r = gates[:, :w], gates[:, w:]
-            n = np.tanh(xs[t, :, 2 * w :] + r * a[:, 2 * w :])
-            h = n + z * (before - n)
-            out[t] = h
-            kept.append((before, a[:, 2 * w :], z, r, n))
-        return h, out, (ids, carry, x, kept)
+            z, r = gates[:w], gates[w:]
+            new = r * a[2 * w :]
+            new += xs[2 * w :, t]
+            np.tanh(new, out=new)
+            h = out[t]
+            np.subtract(before, new, out=h)
+            h *= z
+            h += new
+            kept.append((before, a[2 * w :], z, r, new))
+        return h, out.transpose(0, 2, 1).reshape(-1, w), (ids, carry, kept)
 
     def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False) -> tuple:
         """Natural log-probabilities of (class, and word in its class for the head), and gradients."""
@@ -121,65 +129,79 @@ class Model:
         np.exp(e, out=e)
         total = e @ np.ones(e.shape[1], np.float32)
         rows = np.arange(len(targets))
-        logp = np.log(e[rows, kind]) - np.log(total)
+        logp = np.log(e[rows, kind] / total)
         grads, dh = {}, None
         if learn:
             d = np.multiply(e, (-1 / total)[:, None], out=e)
             d[rows, kind] += 1
             grads = {"cls": states.T @ d, "cls_b": d.sum(axis=0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"])}
             dh = d @ p["cls"].T
+        # words of one class lie together, so that each class of the head is one slice
         order = np.argsort(kind.astype(np.uint16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.head // CLASS_WORDS + 1))
+        order = order[: edges[-1]]
+        near, words, more = states[order], targets[order] % CLASS_WORDS, np.empty(len(order), np.float32)
+        dnear = np.empty_like(near) if learn else None
+        ones = np.ones(CLASS_WORDS, np.float32)
         for c in np.flatnonzero(np.diff(edges)).tolist():
-            mine = order[edges[c] : edges[c + 1]]
-            hs, word = states[mine], targets[mine] - c * CLASS_WORDS
-            e = hs @ p["word"][c]
+            mine = slice(edges[c], edges[c + 1])
+            e = near[mine] @ p["word"][c]
             e += p["word_b"][c]
             np.exp(e, out=e)
-            total = e @ np.ones(CLASS_WORDS, np.float32)
-            mine_rows = np.arange(len(mine))
-            logp[mine] += np.log(e[mine_rows, word]) - np.log(total)
+            total = e @ ones
+            picked = (np.arange(len(e)), words[mine])
+            more[mine] = np.log(e[picked] / total)
             if learn:
-                d = np.multiply(e, (-1 / total)[:, None], out=e)
-                d[mine_rows, word] += 1
-                grads["word"][c], grads["word_b"][c] = hs.T @ d, d.sum(axis=0)
-                dh[mine] += d @ p["word"][c].T
+                e *= (-1 / total)[:, None]
+                e[picked] += 1
+                grads["word"][c], grads["word_b"][c] = near[mine].T @ e, e.sum(axis=0)
+                np.matmul(e, p["word"][c].T, out=dnear[mine])
+        logp[order] += more
+        if learn:
+            dh[order] += dnear
         return logp, grads, dh
 
     def learn(self, given: np.ndarray, targets: np.ndarray, index: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One step of ascent on a window; returns the state to carry on."""
         p, w = self.p, WIDTH
-        last, out, (ids, carry, x, kept) = self.run(given, h)
-        real = (index >= 0).ravel()
-        n_real = max(1, int(real.sum()))
-        flat_out = out.reshape(-1, w)
-        _, grads, dreal = self.output(flat_out[real], targets.ravel()[real], learn=True)
-        dh_all = np.zeros_like(flat_out)
-        dh_all[real] = dreal
-        dh_all = dh_all.reshape(out.shape)
-        da = np.empty((*ids.shape, 3 * w), np.float32)  # of the input's share
-        dah = np.empty_like(da)  # of the state's share
+        steps, n = given.shape
+        last, states, (ids, carry, kept) = self.run(given, h)
+        real = np.flatnonzero((index >= 0).ravel())
+        n_real = max(1, len(real))
+        dstates = np.zeros_like(states)
+        _, grads, dstates[real] = self.output(states[real], targets.ravel()[real], learn=True)
+        dstates = np.ascontiguousarray(dstates.reshape(steps, n, w).transpose(0, 2, 1))
+        da = np.empty((3 * w, steps, n), np.float32)  # of the input's share
+        dwh = np.zeros((3 * w, w), np.float32)
         dh = np.zeros_like(h)
-        for t in range(len(ids) - 1, -1, -1):
-            before, an, z, r, n = kept[t]
-            dh = dh + dh_all[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            da[t, :, :w], da[t, :, w : 2 * w], da[t, :, 2 * w :] = dz, dr, dn
-            dah[t] = da[t]
-            dah[t, :, 2 * w :] *= r
-            dh = (dh * z + dah[t] @ p["wh"].T) * carry[t]
-        befores = np.stack([k[0] for k in kept]).reshape(-1, w)
-        da2, dah2 = da.reshape(-1, 3 * w), dah.reshape(-1, 3 * w)
-        grads |= {"wx": x.reshape(-1, w).T @ da2, "wh": befores.T @ dah2, "b": da2.sum(axis=0)}
-        dx = da2 @ p["wx"].T
-        order = np.argsort(ids.ravel(), kind="stable")
+        for t in range(steps - 1, -1, -1):
+            before, an, z, r, new = kept[t]
+            dh += dstates[t]
+            keep = 1 - z
+            dn = dh * keep
+            dn *= 1 - new * new
+            dz = before - new
+            dz *= dh
+            dz *= z
+            dz *= keep
+            dr = dn * an
+            dr *= r
+            dr *= 1 - r
+            da[:w, t], da[w : 2 * w, t], da[2 * w :, t] = dz, dr, dn
+            dn *= r
+            dah = np.concatenate([dz, dr, dn])
+            dwh += dah @ before.T
+            dh *= z
+            dh += p["wh"] @ dah
+            dh *= carry[t]
+        # gradients of the words' shares, summed by word
+        order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
         who, starts = np.unique(ids.ravel()[order], return_index=True)
-        grads["emb"] = np.zeros_like(p["emb"])
-        grads["emb"][who] = np.add.reduceat(dx[order], starts, axis=0)
+        dx = np.zeros((len(p["emb"]), 3 * w), np.float32)
+        dx[who] = np.add.reduceat(da.reshape(3 * w, -1).take(order, axis=1), starts, axis=1).T
+        grads |= {"wx": p["emb"].T @ dx, "wh": dwh.T, "b": dx.sum(axis=0), "emb": dx @ p["wx"].T}
         for k, g in grads.items():
-            g /= np.float32(n_real) ** 0.5
+            g = g / np.float32(n_real) ** 0.5
             np.clip(g, -CLIP, CLIP, out=g)
             self.g2[k] += g * g
             p[k] += RATE * g / np.sqrt(self.g2[k])
@@ -188,8 +210,9 @@ class Model:
 
     def train(self, docs: list[np.ndarray]) -> None:
         h = None
+        docs = [d[at : at + TRAIN_RUN] for d in docs for at in range(0, len(d), TRAIN_RUN)]
         for given, targets, index in streams(docs, self.end):
-            h = np.zeros((given.shape[1], WIDTH), np.float32) if h is None else h
+            h = np.zeros((WIDTH, given.shape[1]), np.float32) if h is None else h
             h = self.learn(given, targets, index, h)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -197,9 +220,9 @@ class Model:
         out = np.zeros(len(docs))
         h = None
         for given, targets, index in streams(docs, self.end):
-            h = np.zeros((given.shape[1], WIDTH), np.float32) if h is None else h
+            h = np.zeros((WIDTH, given.shape[1]), np.float32) if h is None else h
             h, states, _ = self.run(given, h)
-            real = (index >= 0).ravel()
-            logp, _, _ = self.output(states.reshape(-1, WIDTH)[real], targets.ravel()[real])
+            real = np.flatnonzero((index >= 0).ravel())
+            logp, _, _ = self.output(states[real], targets.ravel()[real])
             out += np.bincount(index.ravel()[real], weights=logp, minlength=len(docs))
         return out

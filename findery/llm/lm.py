@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +35,16 @@ from .common import LOWER_BYTES, stored, table
 END = b""
 #: Words with their own softmax output, and words whose counts are broadcast.
 HEAD, DICTIONARY = 1024, 65_536
+#: Count ranges for each factor of e, to cut the dictionary at.
+RANGES = 50
 #: Classes of the other words: a bucket of the first letter beyond ASCII, the last character's kind, the length.
-BUCKETS, KINDS, LENGTHS = 8, 4, 2
+BUCKETS, KINDS, LENGTHS = 4, 4, 2
 TAILS = BUCKETS * KINDS * LENGTHS
 #: Rounds of training, each over its share of the training documents.
 ROUNDS = 3
 HELD_OUT, FOLDS = 0, 10
 #: Words remembered in a task, and words counted before a task hands its counts on.
-REMEMBERED, COUNTED = 200_000, 400_000
+REMEMBERED, COUNTED = 400_000, 400_000
 #: Tokens trained or scored together.
 TOGETHER = 4_000_000
 SMOOTH = 0.1
@@ -54,32 +55,67 @@ def tokens(body: bytes | None) -> list[bytes]:
     return (body or b"").translate(LOWER_BYTES).split()
 
 
+def kind(last: str) -> int:
+    return 0 if last.isalpha() else 1 if last in ".,;:!?" else 3 if last.isdigit() else 2
+
+
+ASCII_KINDS = [kind(chr(b)) for b in range(128)]
+
+
 def shape(word: bytes) -> int:
     """The class of a word outside the head."""
+    if word.isascii():
+        return ASCII_KINDS[word[-1]] * LENGTHS + (len(word) > 7)
     text = word.decode(errors="replace")
     bucket = next((1 + ord(c) % (BUCKETS - 1) for c in text if ord(c) > 127), 0)
-    last = text[-1]
-    kind = 0 if last.isalpha() else 1 if last in ".,;:!?" else 3 if last.isdigit() else 2
-    return (bucket * KINDS + kind) * LENGTHS + (len(text) > 7)
+    return (bucket * KINDS + kind(text[-1])) * LENGTHS + (len(text) > 7)
 
 
 class WordIds(dict):
-    """Word to id: places of the head, then HEAD + class; the memory of the others is bounded."""
+    """Word to id: its place among the given words, or len(given) + class; the memory of the others is bounded."""
 
-    def __init__(self, head: list[bytes]) -> None:
-        super().__init__((w, i) for i, w in enumerate(head))
-        self.head = head
+    def __init__(self, given: list[bytes]) -> None:
+        super().__init__((w, i) for i, w in enumerate(given))
+        self.given = given
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
+        if len(self) >= len(self.given) + REMEMBERED:
             self.clear()
-            self.update((w, i) for i, w in enumerate(self.head))
-        self[word] = i = HEAD + shape(word)
+            self.update((w, i) for i, w in enumerate(self.given))
+        self[word] = i = len(self.given) + shape(word)
+        return i
+
+
+class RareIds(dict):
+    """Word to id: its place among the given words, or len(given) + its place in a memory of other words."""
+
+    def __init__(self, given: list[bytes]) -> None:
+        self.given = given
+        self.clear_memory()
+
+    def clear_memory(self) -> None:
+        self.clear()
+        self.update((w, i) for i, w in enumerate(self.given))
+        self.hashes: list[int] = []
+        self.classes: list[int] = []
+
+    def trim(self) -> None:
+        """Forget the other words if they are many; ids given before are void then."""
+        if len(self.hashes) > REMEMBERED:
+            self.clear_memory()
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self.given) + len(self.hashes)
+        self.hashes.append(signed_hash(word))
+        self.classes.append(shape(word))
         return i
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.hashes, dtype=np.int64), np.array(self.classes, dtype=np.int32)
+
 
-def encode(ids: WordIds, words: list[bytes]) -> np.ndarray:
-    return np.array([*map(ids.__getitem__, words), 0], dtype=np.int32)  # the end is the head's first
+def encode(ids: dict, words: list[bytes]) -> np.ndarray:
+    return np.array([*map(ids.__getitem__, words), 0], dtype=np.int32)  # the end is the first of the given words
 
 
 def portions(docs: list[np.ndarray]) -> Iterator[list[int]]:
@@ -137,7 +173,16 @@ class Vocabulary:
     def __init__(self, counts: DataFrame) -> None:
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.n, self.v = int(total[0]), int(total[1])
-        top = counts.where("shape >= 0").orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+        # the dictionary: words from a count on, found from a table of count ranges (at most some thousand rows)
+        ranged = counts.where("shape >= 0").withColumn("range", F.floor(F.log(F.col("n")) * RANGES))
+        sizes = sorted(((int(r[0]), int(r[1])) for r in ranged.groupBy("range").count().collect()), reverse=True)
+        least, size = math.inf, 0
+        for at, words in sizes:
+            if size + words > DICTIONARY:
+                break
+            least, size = at, size + words
+        top = ranged.where(F.col("range") >= least).select("word", "n").collect() if size else []
+        top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
         ends = counts.where("shape < 0").first()
         self.counts = {END: int(ends["n"]) if ends else 0} | {bytes(r["word"]): int(r["n"]) for r in top}
         filler = [f" {i}".encode() for i in range(HEAD)]  # no word holds a space
@@ -190,71 +235,54 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[
 
 
 def score_rows(rows: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary) -> DataFrame:
-    """(doc, text_hash, held, n_tokens, known, base, lm): log10 sums without the words outside the dictionary,
-    for which base and known lack them and lm has their class."""
-    head, counts, log_total = vocab.head, vocab.counts, vocab.log_total
-    log_seen, vector = vocab.log_seen, gru.flat(params)
-    small = {k: v for k, v in gru.init(HEAD, TAILS, vocab.head_counts, vocab.tail_counts).items()}
+    """(doc, text_hash, held, n_tokens, known, base, lm, words, shapes, ns): log10 sums over the dictionary's words,
+    for lm with the class of every word, and the different words outside the dictionary as hash, class and count."""
+    start = gru.init(HEAD, TAILS, vocab.head_counts, vocab.tail_counts)
+    vector, head = gru.flat(params), vocab.head
+    given = head + [w for w in vocab.counts if w not in set(head)]
+    n = np.array([vocab.counts.get(w, 0) for w in given], dtype=float)
+    shapes = np.array([-1 if i < HEAD else shape(w) for i, w in enumerate(given)])
+    # by id: the model's id, and for words that were seen: one, the base's share, the share of the word in its class
+    model_id = np.concatenate([np.where(shapes < 0, np.arange(len(given)), HEAD + shapes), HEAD + np.arange(TAILS)]).astype(np.int32)
+    outside = np.zeros(TAILS)
+    known = np.concatenate([n > 0, outside])
+    base = np.concatenate([np.where(n > 0, np.log10(n + SMOOTH) - vocab.log_total, 0), outside])
+    share = np.concatenate([np.where(shapes < 0, 0, np.log10(np.maximum(n, 1)) + vocab.log_seen[shapes]), outside])
+    tables = np.stack([known, base, share])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids = gru.Model(gru.shaped(vector, small), 0), WordIds(head)
-        in_head = set(head)
-        # of a word of the dictionary: base share, count share within its class unless it has its own output
-        shares = {
-            w: (1, math.log10(c + SMOOTH) - log_total, 0.0 if w in in_head else math.log10(c) + log_seen[shape(w)])
-            for w, c in counts.items() if c
-        }
-        none = (0, 0.0, 0.0)
+        model, ids = gru.Model(gru.shaped(vector, start), 0), RareIds(given)
         for batch in batches:
-            lists = [tokens(x.as_py()) for x in batch.column(3)]
-            docs = [encode(ids, words) for words in lists]
+            ids.trim()
+            found = [encode(ids, tokens(x.as_py())) for x in batch.column(3)]
+            hashes, classes = ids.arrays()
+            docs, sums, rare, ends = [], np.zeros((batch.num_rows, 3)), [], [0]
+            for i, at in enumerate(found):
+                other = np.maximum(at - len(given), -1)
+                in_class = np.where(other >= 0, len(given) + classes[other], at) if len(classes) else at
+                docs.append(model_id[in_class])
+                sums[i] = tables[:, in_class].sum(axis=1)
+                which, times = np.unique(other[other >= 0], return_counts=True)
+                keys, shapes = hashes[which], classes[which]
+                if not n[0]:  # no document was learned from, and the end is a word that is not known
+                    keys, shapes, times = np.append(keys, signed_hash(END)), np.append(shapes, TAILS), np.append(times, 1)
+                rare.append((keys, shapes, times))
+                ends.append(ends[-1] + len(keys))
             lm = np.zeros(len(docs))
             for group in portions(docs):
                 lm[group] = model.score([docs[i] for i in group]) / math.log(10)
-            sums = np.zeros((len(docs), 3))
-            for i, words in enumerate(lists):
-                got = list(chain.from_iterable(map(shares.get, words, [none] * len(words))))
-                sums[i] = np.array(got).reshape(-1, 3).sum(axis=0) + shares.get(END, none)
+            kinds = (np.int64, np.int32, np.int32)
+            flat = [np.concatenate([r[k] for r in rare] or [[]]).astype(kinds[k]) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(d) for d in docs], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(lm + sums[:, 2])],
-                names=["doc", "text_hash", "held", "n_tokens", "known", "base", "lm"],
-            )
+                [*batch.columns[:3], pa.array([len(d) for d in docs], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(lm + sums[:, 2]),
+                 *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat]],
+                names=["doc", "text_hash", "held", "n_tokens", "known", "base", "lm", "words", "shapes", "ns"],
+            )
 
-    kinds = T._parse_datatype_string("n_tokens bigint, known bigint, base double, lm double")
+    kinds = T._parse_datatype_string("n_tokens bigint, known bigint, base double, lm double, words array<bigint>, shapes array<int>, ns array<int>")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *kinds.fields]))
 
 
-def rare_words(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(doc, text_hash, word, shape, n) of the words outside the dictionary, and a row of shape -1 for each document."""
-    counts = {w for w, c in vocab.counts.items() if c}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                who, word, kind, n = [], [], [], []
-                for i, (key, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())):
-                    found = Counter(w for w in tokens(body) if w not in counts)
-                    if END not in counts:
-                        found[END] = 1
-                    word.append(key)
-                    kind.append(-1)
-                    n.append(1)
-                    who += [i] * (len(found) + 1)
-                    for w, k in found.items():
-                        word.append(signed_hash(w))
-                        kind.append(shape(w) if w else TAILS)
-                        n.append(k)
-                take = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(word, pa.int64()), pa.array(kind, pa.int32()), pa.array(n, pa.int64())],
-                    names=["doc", "text_hash", "word", "shape", "n"],
-                )
-
-    kinds = T._parse_datatype_string("word bigint, shape int, n bigint")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], *kinds.fields]))
-
-
 def signed_hash(word: bytes) -> int:
     """Spark's xxhash64 of the same bytes."""
     h = xxhash.xxh64_intdigest(word, 42)
@@ -269,27 +297,27 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     vocab = Vocabulary(counts)
     params = train(training, vocab, rounds)
     scored = stored(score_rows(rows, params, vocab))
-    rare = rare_words(rows, vocab)
     seen = counts.where("shape >= 0").select(F.xxhash64("word").alias("word"), F.col("n").alias("c"))
+    rare = scored.select("doc", "text_hash", F.inline(F.arrays_zip("words", "shapes", "ns"))).withColumnsRenamed({"words": "word", "shapes": "shape", "ns": "n"})
     joined = rare.join(seen, "word", "left")
     by_shape = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in [*xs, 0.0]]), F.col("shape") + 1)
     c = F.coalesce("c", F.lit(0))
     base = F.log10(c + SMOOTH) - vocab.log_total
     lm = F.when(F.col("shape") == TAILS, 0.0).when(c > 0, F.log10(c.cast("double")) + by_shape(vocab.log_seen)).otherwise(by_shape(vocab.log_unseen))
-    word = F.col("shape") >= 0
+    n = F.col("n")
     sums = joined.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
-        F.sum(F.when(~word, F.col("n"))).alias("copies"),
-        F.coalesce(F.sum(F.when(word & (c > 0), F.col("n"))), F.lit(0)).alias("known2"),
-        F.coalesce(F.sum(F.when(word, F.col("n") * base)), F.lit(0.0)).alias("base2"),
-        F.coalesce(F.sum(F.when(word, F.col("n") * lm)), F.lit(0.0)).alias("lm2"),
+        F.sum(F.when(c > 0, n).otherwise(0)).alias("known2"), F.sum(n * base).alias("base2"), F.sum(n * lm).alias("lm2")
     )
+    # rows that repeat a document have its sums together: each takes its share
+    copies = scored.groupBy(F.col("doc").alias("d"), F.col("text_hash").alias("h")).agg(F.count("*").alias("copies"))
+    sums = sums.join(copies, F.col("_doc").eqNullSafe(F.col("d")) & (F.col("_hash") == F.col("h")))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    return scored.join(sums, same).select(
+    more = lambda name: F.coalesce(F.col(name) / F.col("copies"), F.lit(0.0))
+    return scored.drop("words", "shapes", "ns").join(sums, same, "left").select(
         F.col("doc").alias(id_col), F.col("held").alias("held_out"), "n_tokens",
-        (F.col("known") + (F.col("known2") / F.col("copies")).cast("long")).alias("n_known"),
+        (F.col("known") + more("known2").cast("long")).alias("n_known"),
         F.lit(vocab.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("base2") / F.col("copies")).alias("base_score"),
-        (F.col("lm") + F.col("lm2") / F.col("copies")).alias("score"),
+        (F.col("base") + more("base2")).alias("base_score"), (F.col("lm") + more("lm2")).alias("score"),
     )
 
 

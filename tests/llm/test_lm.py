@@ -84,7 +84,7 @@ def test_gradients():
         gru.np.clip = lambda a, lo, hi, out=None: a
         before = {k: v.copy() for k, v in model.p.items()}
         model.g2 = {k: np.full_like(v, 1e12) for k, v in model.p.items()}
-        model.learn(given, target, index, np.zeros((given.shape[1], gru.WIDTH)))
+        model.learn(given, target, index, np.zeros((gru.WIDTH, given.shape[1])))
         scale = gru.RATE / 1e6 / np.sqrt((index >= 0).sum())
         seen = {k: (model.p[k] - before[k]) / scale for k in p}
     finally:
