@@ -161,7 +161,11 @@ def test_embedding(spark, empty):
     assert local.embed(["a b"]) == local.embed(["A  b"]) and abs(sum(x * x for x in local.embed(["a b c"])[0]) - 1) < 1e-9
 
     class Remote(embed.HashingEmbedder):
-        model, seen = "remote", 0
+        seen = 0
+
+        def __init__(self, dimensions):
+            super().__init__(dimensions)
+            self.model = "remote"
 
         def embed(self, texts):
             self.seen += len(texts)
@@ -172,6 +176,9 @@ def test_embedding(spark, empty):
             raise OSError
 
     assert embed.Fallback(Remote(8), local).embed(["x"])[0] == "remote"
+    waiting, embed.retried.__defaults__ = embed.retried.__defaults__, (3, lambda s: None)
+    assert embed.Fallback(Broken(8), local).embed(["x"])[0] == local.model
+    embed.retried.__defaults__ = waiting
     assert embed.Fallback(None, local).embed(["x"])[0] == local.model
     with pytest.raises(ValueError):
         embed.Fallback(Remote(8), local, force_local=True)
