@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Width of embedding and state, steps in a window, words in a head class, streams at most.
-WIDTH, STEPS, CLASS_WORDS, STREAMS = 16, 32, 32, 512
+WIDTH, STEPS, CLASS_WORDS, STREAMS = 12, 32, 32, 512
 #: In training a document goes on in another stream, with a cleared state, after so many tokens; in scoring never.
 TRAIN_RUN = 4096
-RATE, CLIP = 0.08, 1.0
+RATE, CLIP = 0.15, 1.0
 
 
 def init(head: int, tails: int, head_counts: np.ndarray, tail_counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -95,22 +95,24 @@ class Model:
         steps, n = given.shape
         ids = np.where(given < 0, self.end, given)
         carry = (given >= 0).astype(np.float32)
-        # the input's share of every word at once, then one look-up
-        xs = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T).take(ids.ravel(), axis=1).reshape(3 * w, steps, n)
+        # the input's share of every word at once, then a look-up a step
+        shares = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T)
         wh = np.ascontiguousarray(p["wh"].T)
         out = np.empty((steps, w, n), np.float32)
         kept = []
         for t in range(steps):
             before = h * carry[t]
             a = wh @ before
-            gates = xs[: 2 * w, t] + a[: 2 * w]
+            x = shares.take(ids[t], axis=1)
+            gates = x[: 2 * w]
+            gates += a[: 2 * w]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:w], gates[w:]
             new = r * a[2 * w :]
-            new += xs[2 * w :, t]
+            new += x[2 * w :]
             np.tanh(new, out=new)
             h = out[t]
             np.subtract(before, new, out=h)
