@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +48,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def releasing(run: Callable) -> Callable:
+    """A function of Arrow batches that gives back the pool's unused memory when its task ends: workers live on."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc, text_hash): whole rows as one struct, so that no column of theirs can clash with an operator's."""
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    return rows.select("row", F.col("row")[id_col].alias("doc"), F.xxhash64(text).alias("text_hash"))
+
+
 def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, the latter as UTF-8 bytes (null stays null)."""
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("body"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, stored, table, text_bytes
+from .common import LOWER_BYTES, releasing, stored, table, text_bytes
 
 CAPACITY = 2048
 END = 0
@@ -164,7 +164,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     kinds = T._parse_datatype_string("piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], *kinds.fields]))
+    return rows.mapInArrow(releasing(run), T.StructType([rows.schema[0], *kinds.fields]))
 
 
 class _Sums:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN, count_kind, kept_spans, let, match_spans, span_list, stored, table
+from .common import SPAN, count_kind, kept_spans, let, match_spans, span_list, stored, table, wrapped
 
 #: The patterns start where a longer match of the same run could not have started, and never back up.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -180,10 +180,11 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.concat("base", "more").alias("_spans")
     )
     marked = marked.dropDuplicates(["_doc", "_hash"])
-    text = F.col(text_col).cast("string")
-    same = F.col(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash"))
+    rows = wrapped(docs, id_col, text_col)
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    text = F.col("row")[text_col].cast("string")
     new = F.when(F.col("_spans").isNull(), text).otherwise(replaced(text, F.col("_spans")))
-    return docs.join(marked, same, "left").withColumn(text_col, new).select(*docs.columns)
+    return rows.join(marked, same, "left").select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

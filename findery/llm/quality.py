@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, stored, table, wrapped
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -83,7 +83,7 @@ def measures(text: Column) -> Column:
 
 def document_lines(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """One row for each different normalised line of a document, with its words."""
-    text = F.col(text_col).cast("string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     counted = F.transform(
         F.array_distinct(F.transform(lines(text), normal)),
         lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).cast("long").alias("words")),
@@ -114,7 +114,7 @@ def judge(
         .groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
         .agg(F.sum("words").alias("_lost"))
     )
-    text = F.col(text_col).cast("string")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), host.alias("host"), measures(text).alias("m"))
     same = (
@@ -134,12 +134,11 @@ def judge(
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The documents that are kept, with all their columns and whole texts."""
-    good = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).where("kept")
-    good = good.select(F.col(id_col).alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
-    text = F.xxhash64(F.col(text_col).cast("string"))
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    same = F.col(id_col).eqNullSafe(F.col("_doc")) & text.eqNullSafe(F.col("_hash")) & host.eqNullSafe(F.col("_host"))
-    return docs.join(good, same, "left_semi")
+    judged = judge(docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    good = judged.where("kept").select(F.col(id_col).alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
+    rows = wrapped(docs, id_col, text_col).withColumn("host", F.coalesce(F.col("row")[host_col].cast("string"), F.lit("")))
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & (F.col("host") == F.col("_host"))
+    return rows.join(good, same, "left_semi").select("row.*")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

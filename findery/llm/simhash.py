@@ -9,8 +9,9 @@ work stays linear. Components are found with alternating large-star and small-st
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other; repeated rows
 (and rows sharing an id) each keep their row, an id that occurs with several texts belongs to the
-component of each of its fingerprints; an empty table gives an empty result; null ids are kept in the result
-with their fingerprint, and are ignored when a component is named unless nothing else is in it.
+component of each of its fingerprints; an empty table gives an empty result; rows with null ids keep their
+fingerprint and name no component: theirs is null unless a row with an id has or is linked to their fingerprint;
+other columns, whatever their names, are ignored by the search and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, stored, table, text_bytes
+from .common import LOWER_BYTES, stored, table, wrapped
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fixed by the pigeonhole argument: DISTANCE + 4 blocks, of which 4 agree.
@@ -55,15 +56,16 @@ def fingerprint(body: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the id and fp, a signed long."""
+    """One row a document: doc, text_hash and fp, a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+            fps = [fingerprint(x.as_py()) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc", "text_hash", "fp"])
 
-    rows = text_bytes(docs, id_col, text_col)
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("fp", T.LongType())]))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("body"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
 
 
 def _signed(mask: int) -> int:
@@ -135,35 +137,42 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return out.union(out.select(F.col("component").alias("node"), "component")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """One row a document: id, fp and component_id, the smallest id linked to it."""
+def grouped(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """One row a document: doc, text_hash, fp and component, the smallest id linked to it (null if none has an id)."""
     fps = stored(fingerprints(docs, id_col=id_col, text_col=text_col))
-    ids = fps.groupBy("fp").agg(F.min(id_col).alias("node"))
-    ids = stored(ids)
+    ids = stored(fps.groupBy("fp").agg(F.min("doc").alias("node")))
     by_fp = components(links(ids.where("node IS NOT NULL"), pair_limit))
     # rows that share an id tie their fingerprints together
-    shared = fps.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
+    shared = fps.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     if not shared.isEmpty():
-        tied = fps.join(shared.select(id_col), id_col).select(F.col(id_col).alias("id"), "fp").distinct().join(ids, "fp")
-        tied = tied.select(F.col("id").alias("a"), F.col("node").alias("b"))
+        tied = fps.join(shared.select("doc"), "doc").select("doc", "fp").distinct().join(ids, "fp")
+        tied = tied.select(F.col("doc").alias("a"), F.col("node").alias("b"))
         named = by_fp.select(F.col("component").alias("a"), F.col("node").alias("b"))
         by_fp = components(named.union(tied))
-    of_fp = ids.join(by_fp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    of_fp = ids.join(by_fp, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    return fps.join(of_fp, "fp").select("doc", "text_hash", "fp", "component")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """One row a document: id, fp and component_id."""
+    found = grouped(docs, id_col=id_col, text_col=text_col, pair_limit=pair_limit)
+    return found.select(F.col("doc").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id (one row where ids repeat); all columns stay.
+    """One document of each component: the one with the smallest id; all columns stay.
 
-    Rows with a null id are kept only if no other row shares their component.
+    Where that id has several texts one of them stays, and of rows that repeat it one. Rows with null ids stay
+    only where no row with an id is in their component, one for each fingerprint.
     """
-    named = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    heads = named.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
-    kept = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi")
-    again = kept.groupBy(id_col).count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
+    found = grouped(docs, id_col=id_col, text_col=text_col).where(F.col("doc").eqNullSafe(F.col("component")))
+    alone = F.when(F.col("doc").isNull(), F.col("fp"))
+    heads = found.groupBy(F.col("doc").alias("_doc"), alone.alias("_fp")).agg(F.min("text_hash").alias("_hash")).select("_doc", "_hash")
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    kept = wrapped(docs, id_col, text_col).join(heads.distinct(), same, "left_semi")
+    if kept.groupBy("doc", "text_hash").count().where("count > 1").isEmpty():
+        return kept.select("row.*")
+    return kept.dropDuplicates(["doc", "text_hash"]).select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

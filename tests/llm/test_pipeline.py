@@ -57,3 +57,28 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
+
+
+CLASHES = ["_doc", "_hash", "_host", "_spans", "row", "doc", "text_hash", "host", "body", "fp", "component", "kept", "n_words", "base", "more", "length", "piece", "_fp", "_salt"]
+
+
+def test_stages_with_odd_rows(spark):
+    own = " ".join(f"word{i}" for i in range(30))
+    texts = {1: own, 2: own, 3: None, 4: "", 5: own + " mail me at a@b.cd today", 6: "x " * 40_000, 7: own.replace("word", "term") + " +1 234 567 8901", None: own.replace("word", "null")}
+    rows = [(i, t, None if i == 7 else "en", None if i in (5, 7) else "s", None, *[f"c{i}"] * len(CLASHES)) for i, t in texts.items()]
+    rows += [rows[0], rows[-1]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns, name
+            assert stage(spark, docs.limit(0), SF).count() == 0, name
+    kept = corpus_pipeline.quality_rules(spark, docs, SF)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "5", "7", "None", "None"]
+    one = corpus_pipeline.near_duplicates(spark, kept, SF)
+    assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "5", "7", "None"]
+    clean = corpus_pipeline.personal_data(spark, corpus_pipeline.decontamination(spark, one, SF), SF)
+    got = {r.doc_id: r for r in clean.collect()}
+    assert got[5].text == own + " mail me at [EMAIL] today" and got[7].text.endswith("[PHONE]") and got[5]["_spans"] == "c5" and got[1].text == own
+    assert corpus_pipeline.best_fit_packing(spark, clean, SF).count() == 4

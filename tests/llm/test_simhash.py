@@ -68,3 +68,7 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["11", "3", "None"]
     assert near_duplicates(docs.limit(0)).count() == 0
+    more = [(1, "aa bb cc dd", 0), (1, "aa bb cc dd", 0), (1, "other words of one id", 0), (None, "aa bb cc dd", 0), (None, "free one two three", 0), (None, "free one two three", 0), (None, "free four five six seven", 0)]
+    kept = [(r.doc_id, r.text) for r in keep_one(spark.createDataFrame(more, docs.schema)).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["1", "None", "None"]
+    assert {t for i, t in kept if i is None} == {"free one two three", "free four five six seven"}
