@@ -32,6 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of text in an Arrow batch, unless the session says otherwise: whole texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows where the session has Spark's default of 10,000.
+
+    A batch stands in the memory of the executor and of its worker, more than once in each.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -74,6 +88,7 @@ def wrapped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, the latter as UTF-8 bytes (null stays null)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("body"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, WORD_BYTES, table, text_bytes
+from .common import UPPER, WORD_BYTES, releasing, small_batches, table, text_bytes
 
 N = 10
 #: Characters of benchmark text that may be collected and broadcast; beyond it windows are joined.
@@ -156,7 +156,7 @@ def find_overlaps(
         return _joined(docs, benchmark, id_col, text_col, item_col, item_text_col, n)
     index = WindowSet([tuple(r) for r in items.collect()], n)
     schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), *T._parse_datatype_string(RESULT).fields])
-    return rows.mapInArrow(_scan(index, pa.field(id_col, pa.int64())), schema)
+    return rows.mapInArrow(releasing(_scan(index, pa.field(id_col, pa.int64()))), schema)
 
 
 def _joined(
@@ -244,12 +244,13 @@ def decontaminate(
     if size > broadcast_chars:
         raise ValueError("cutting spans needs a benchmark within broadcast_chars; use find_overlaps and join")
     index = WindowSet([tuple(r) for r in items.collect()], n)
+    small_batches(docs.sparkSession)
     cols = docs.columns
     place = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan(index, pa.field("row", pa.int64()))
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             raw = [None if x is None else x.encode() for x in batch.column(place).to_pylist()]
             rows = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw, pa.binary())], names=["row", "body"])
             keep, texts = [], []
@@ -270,7 +271,7 @@ def decontaminate(
             cols_now[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(cols_now, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def _cut(body: bytes, spans: list[dict]) -> bytes:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbt
-from .common import table
+from .common import small_batches, table
 from .dom import MARK, Page, decode, features
 
 #: Pages that train the model at most, and re-renderings of each.
@@ -172,6 +172,7 @@ def main_texts(trees: gbt.Trees | None, sources: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", train_pages: int = TRAIN_PAGES) -> DataFrame:
     """One row a page: id, url, text and n_chars."""
+    small_batches(pages.sparkSession)
     source = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), source.alias("html"))
     # the sample: the pages with the smallest hashes of their ids

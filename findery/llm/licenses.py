@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, table
+from .common import WORD_BYTES, small_batches, table
 from .license_texts import NOTICES, PHRASES
 
 K = 4
@@ -114,6 +114,7 @@ def template_table(spark, notices=None) -> DataFrame:
 
 def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", notices=None) -> DataFrame:
     """One row a document: the base's counts and labels, the verified spans, all labels and a score."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("body"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gru
-from .common import LOWER_BYTES, stored, table
+from .common import LOWER_BYTES, releasing, small_batches, stored, table
 
 END = b""
 #: Words with their own softmax output, and words whose counts are broadcast.
@@ -118,21 +118,22 @@ def encode(ids: dict, words: list[bytes]) -> np.ndarray:
     return np.array([*map(ids.__getitem__, words), 0], dtype=np.int32)  # the end is the first of the given words
 
 
-def portions(docs: list[np.ndarray]) -> Iterator[list[int]]:
-    """Places of documents, up to TOGETHER tokens at a time."""
-    group, size = [], 0
-    for i, d in enumerate(docs):
-        if group and size + len(d) > TOGETHER:
-            yield group
-            group, size = [], 0
-        group.append(i)
-        size += len(d)
-    if group:
-        yield group
+def gathered(batches: Iterator[tuple[object, list[np.ndarray]]]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """What comes with some batches, and their documents, TOGETHER tokens or more at a time."""
+    held, docs = [], []
+    for what, more in batches:
+        held.append(what)
+        docs += more
+        if sum(map(len, docs)) >= TOGETHER:
+            yield held, docs
+            held, docs = [], []
+    if held:
+        yield held, docs
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, text_hash, held, body): held is whether the document is held out."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
     held = F.coalesce(fold == HELD_OUT, F.lit(True))
@@ -163,7 +164,7 @@ def word_counts(training: DataFrame) -> DataFrame:
         if counts:
             yield handed()
 
-    found = training.select("body").mapInArrow(run, "word binary, shape int, n long")
+    found = training.select("body").mapInArrow(releasing(run), "word binary, shape int, n long")
     return found.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
@@ -213,18 +214,16 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             model, ids, seen = gru.Model(gru.shaped(now.copy(), start), 0), WordIds(head), 0
-            for batch in batches:
-                docs = [encode(ids, tokens(x.as_py())) for x in batch.column(0)]
-                for group in portions(docs):
-                    model.train([docs[i] for i in group])
-                    seen += sum(len(docs[i]) for i in group)
+            for _, docs in gathered((None, [encode(ids, tokens(x.as_py())) for x in batch.column(0)]) for batch in batches):
+                model.train(docs)
+                seen += sum(map(len, docs))
             if seen:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([seen], pa.int64()), pa.array([gru.flat(model.p)], pa.list_(pa.float32()))], names=["seen", "p"]
                 )
 
         share = training.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(rounds)) == r).select("body")
-        copies = share.mapInArrow(run, "seen long, p array<float>").select("seen", F.posexplode("p").alias("i", "x"))
+        copies = share.mapInArrow(releasing(run), "seen long, p array<float>").select("seen", F.posexplode("p").alias("i", "x"))
         mean = copies.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x"))
         found = mean.toArrow()  # as many rows as the model has parameters
         if found.num_rows:
@@ -252,7 +251,9 @@ def score_rows(rows: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids = gru.Model(gru.shaped(vector, start), 0), RareIds(given)
-        for batch in batches:
+
+        def read(batch: pa.RecordBatch) -> tuple[list[pa.Array], list[np.ndarray]]:
+            """The columns but the score, and the model's ids."""
             ids.trim()
             found = [encode(ids, tokens(x.as_py())) for x in batch.column(3)]
             hashes, classes = ids.arrays()
@@ -268,19 +269,23 @@ def score_rows(rows: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary
                     keys, shapes, times = np.append(keys, signed_hash(END)), np.append(shapes, TAILS), np.append(times, 1)
                 rare.append((keys, shapes, times))
                 ends.append(ends[-1] + len(keys))
-            lm = np.zeros(len(docs))
-            for group in portions(docs):
-                lm[group] = model.score([docs[i] for i in group]) / math.log(10)
             kinds = (np.int64, np.int32, np.int32)
             flat = [np.concatenate([r[k] for r in rare] or [[]]).astype(kinds[k]) for k in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([len(d) for d in docs], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(lm + sums[:, 2]),
-                 *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat]],
-                names=["doc", "text_hash", "held", "n_tokens", "known", "base", "lm", "words", "shapes", "ns"],
-            )
+            cols = [
+                *batch.columns[:3], pa.array([len(d) for d in docs], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), sums[:, 2],
+                *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat],
+            ]
+            return cols, docs
+
+        for held, docs in gathered(map(read, batches)):
+            scores, at = model.score(docs) / math.log(10), 0
+            for cols in held:
+                cols[6] = pa.array(cols[6] + scores[at : at + len(cols[6])])
+                at += len(cols[6])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "text_hash", "held", "n_tokens", "known", "base", "lm", "words", "shapes", "ns"])
 
     kinds = T._parse_datatype_string("n_tokens bigint, known bigint, base double, lm double, words array<bigint>, shapes array<int>, ns array<int>")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *kinds.fields]))
+    return rows.mapInArrow(releasing(run), T.StructType([*rows.schema.fields[:3], *kinds.fields]))
 
 
 def signed_hash(word: bytes) -> int:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, stored, table, wrapped
+from .common import LOWER_BYTES, small_batches, stored, table, wrapped
+from .near_copies import near_copies, small
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fixed by the pigeonhole argument: DISTANCE + 4 blocks, of which 4 agree.
@@ -63,6 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = [fingerprint(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], names=["doc", "text_hash", "fp"])
 
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("body"))
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
@@ -159,17 +161,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("doc").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One document of each component: the one with the smallest id; all columns stay.
 
     Where that id has several texts one of them stays, and of rows that repeat it one. Rows with null ids stay
-    only where no row with an id is in their component, one for each fingerprint.
+    only where no row with an id is in their component, one for each fingerprint. With a similarity, different
+    texts are also compared by five-word shingles (see near_copies), and what has it is linked as well.
     """
-    found = grouped(docs, id_col=id_col, text_col=text_col).where(F.col("doc").eqNullSafe(F.col("component")))
+    found = stored(grouped(docs, id_col=id_col, text_col=text_col))
+    rows = wrapped(docs, id_col, text_col)
+    if similarity is not None:
+        body = F.col("row")[text_col].cast("string").cast("binary").alias("body")
+        named = found.where(F.col("doc").isNotNull())
+        different = named.groupBy("text_hash").agg(F.min("doc").alias("doc"))
+        near = near_copies(rows.where(F.col("doc").isNotNull()).select("doc", "text_hash", body), different, similarity)
+        edges = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        both = components(edges.union(named.select(F.col("doc").alias("a"), F.col("component").alias("b"))))
+        moved = both.select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        found = stored(found.join(moved, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined"))
+    first = found.where(F.col("doc").eqNullSafe(F.col("component")))
     alone = F.when(F.col("doc").isNull(), F.col("fp"))
-    heads = found.groupBy(F.col("doc").alias("_doc"), alone.alias("_fp")).agg(F.min("text_hash").alias("_hash")).select("_doc", "_hash")
+    heads = first.groupBy("doc", alone.alias("lone")).agg(F.min("text_hash").alias("text_hash")).select("doc", "text_hash").distinct()
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    kept = wrapped(docs, id_col, text_col).join(heads.distinct(), same, "left_semi")
+    key = [F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")]
+    gone = stored(found.select("doc", "text_hash").distinct().join(heads.select(*key), same, "left_anti").select(*key))
+    kept = rows.join(small(gone), same, "left_anti")
     if kept.groupBy("doc", "text_hash").count().where("count > 1").isEmpty():
         return kept.select("row.*")
     return kept.dropDuplicates(["doc", "text_hash"]).select("row.*")
