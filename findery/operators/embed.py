@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -41,6 +43,27 @@ class HashingEmbedder:
         return out
 
 
+class ApiEmbedder:
+    """A remote model behind an HTTP API that takes {model, input} and returns {data: [{index, embedding}]}."""
+
+    timeout = 30
+
+    def __init__(self, url: str, key: str, model: str, dimensions: int = 1024, open_url: Callable = urllib.request.urlopen) -> None:
+        self.url, self.key, self.model, self.dimensions, self.open_url = url, key, model, dimensions, open_url
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+        with self.open_url(urllib.request.Request(self.url, body, head), timeout=self.timeout) as reply:
+            if not 200 <= reply.status < 300:
+                raise OSError(f"status {reply.status}")
+            rows = sorted(json.loads(reply.read())["data"], key=lambda r: r["index"])
+        vectors = [r["embedding"] for r in rows]
+        if len(vectors) != len(texts) or any(len(v) != self.dimensions for v in vectors):
+            raise ValueError("the reply does not fit the request")
+        return vectors
+
+
 class Fallback:
     """The remote embedder, in batches and with retries; the local one where it is missing, overruled or fails."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from ..functions import fulltext
 from ..functions.english import english_lexemes, plain_lexemes
 from ..functions.text import search_text, with_search_columns
 from ..operators import scoring
-from ..operators.filters import live, page_of, user_predicate
+from ..operators.filters import Envelope, envelope, live, page_of, user_predicate
 from ..operators.lookup import user_search
 from ..schema import CAPS, PUBLIC, SHOW_LETTERS, TRIGRAM_THRESHOLD, WEIGHTS, BadRequest
 
@@ -153,3 +154,28 @@ def search(
     rows = live(projects).join(F.broadcast(scored.select("id", "raw", "score")), "id")
     shown = rows.orderBy(F.col("raw").desc(), F.col("approved_at").desc_nulls_last(), F.col("id")).offset(offset).limit(size)
     return shown.select(*PUBLIC, "score").withColumn("total", scored.agg(F.count("*")).scalar())
+
+
+@dataclass(frozen=True)
+class Answer:
+    """An envelope with what the embedding and the query took, in milliseconds."""
+
+    envelope: Envelope
+    embeddings_ms: int
+    query_ms: int
+
+
+def answer(projects: DataFrame, embeddings: DataFrame | None, query: str, *, limit: int | None = None, page: int | None = None, embed=None, **how) -> Answer:
+    """The search's page as rows on the driver, at most PAGE_MOST of them."""
+    spent = 0.0
+
+    def timed(text: str) -> list[float]:
+        nonlocal spent
+        start = time.perf_counter()
+        vector = embed(text)
+        spent = time.perf_counter() - start
+        return vector
+
+    start = time.perf_counter()
+    found = envelope(search(projects, embeddings, query, limit=limit, page=page, embed=timed if embed else None, **how), limit, page, "search")
+    return Answer(found, round(1000 * spent), round(1000 * (time.perf_counter() - start - spent)))

@@ -182,6 +182,25 @@ def test_embedding(spark, empty):
     assert embed.Fallback(None, local).embed(["x"])[0] == local.model
     with pytest.raises(ValueError):
         embed.Fallback(Remote(8), local, force_local=True)
+    class Reply:
+        status = 200
+
+        def __init__(self, body):
+            self.body = body
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+        def read(self):
+            return json.dumps(self.body).encode()
+
+    data = [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]
+    assert embed.ApiEmbedder("http://x", "k", "m", 1, lambda r, timeout: Reply({"data": data})).embed(["a", "b"]) == [[1.0], [2.0]]
+    with pytest.raises(ValueError):
+        embed.ApiEmbedder("http://x", "k", "m", 2, lambda r, timeout: Reply({"data": data})).embed(["a", "b"])
     remote, now = Remote(8), [0.0]
     cache = embed.EmbeddingCache(remote, lambda: now[0])
     assert cache.embed(["a", "b", "a"]) == remote.embed(["a", "b", "a"]) and cache.embed(["b"]) and remote.seen == 2 + 3

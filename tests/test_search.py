@@ -136,6 +136,12 @@ def test_hybrid_full(projects, spark):
     assert mine and all("user1" in f"{r.github_username} {r.inferred_username} {r.code_url}".lower() for r in mine)
 
 
+def test_answer(projects, spark):
+    got = hybrid.answer(projects, None, '"small ring"', limit=3)
+    assert len(got.envelope.data) == 3 and got.envelope.total >= 3 and got.envelope.per_page == 3 and got.query_ms > 0 and got.embeddings_ms == 0
+    assert "score" in got.envelope.data[0] and hybrid.answer(projects, None, "zzzzqq").envelope.total == 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, [-1.0, 0.0])], "project_id int, embedding array<float>")
     assert [(r.id, round(r.distance, 6)) for r in hybrid.nearest(df, [2.0, 0.0], 10).collect()] == [(1, 0.0), (2, 1.0), (5, 2.0)]
