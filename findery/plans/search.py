@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fulltext
-from ..functions.english import english_lexemes, plain_lexemes
 from ..functions.text import search_text, with_search_columns
 from ..operators import scoring
 from ..operators.filters import Envelope, envelope, live, page_of, user_predicate
@@ -71,14 +70,9 @@ def lexical_scores(projects: DataFrame, parsed: Parsed, stemmed: bool = True, br
     phrase = scoring.phrase_score(phrases)
     rows = rows.withColumn("_phrase", none if phrase is None else phrase)
     worded = mine & F.coalesce(F.col("_phrase") > 0, F.lit(False))
-    if node is not None:
-        rows = rows.withColumn("_tsv", english_lexemes(search_text()) if stemmed else plain_lexemes(search_text()))
-        rows = rows.withColumn("_hit", mine & fulltext.matches(F.col("_tsv"), node))
-    else:
-        rows = rows.withColumn("_hit", F.lit(False))
+    rank = fulltext.rank_text(node, stemmed)(search_text()) if node is not None else none
+    rows = rows.withColumn("_rank", rank).withColumn("_hit", mine & F.col("_rank").isNotNull())
     rows = rows.where(F.col("_hit") | near | worded)
-    # ranked after the cut, so that only rows with a match cross to Python
-    rows = rows.withColumn("_rank", fulltext.rank(node)(F.when(F.col("_hit"), F.col("_tsv"))) if node is not None else none)
     return rows.select(
         "id",
         F.when(F.col("_hit"), F.col("_rank")).alias("fts"),

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from findery.functions import fulltext
-from findery.functions.english import lexemes, stem
+from findery.functions.english import english_lexemes, lexemes, stem
 from findery.functions.text import like_normalise, similarity, trigram_set, trigrams, with_repository
 from findery.operators import scoring
 from findery.operators.filters import live
@@ -88,6 +88,18 @@ def test_cover_density():
     assert rank("a", "-b") == 0
 
 
+def test_text_rank_agrees_with_columns(spark):
+    texts = ["small ring", "a small red ring and a ring", "ring small", "red bolts", "", None, "Rings of small things", "widget red"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for q in ("ring", "small ring", '"small ring"', "small or bolt", "red -widget", "-ring", '"small ring" red', "the"):
+        node = fulltext.parse(q)
+        if node is None:
+            continue
+        got = df.select(fulltext.rank_text(node)(F.col("t")).alias("r")).collect()
+        tsv = df.select(F.coalesce(english_lexemes(F.col("t")), F.array().cast("array<struct<lexeme:string,pos:int>>")).alias("tsv"))
+        assert [r.r is not None for r in got] == [r[0] for r in tsv.select(fulltext.matches(F.col("tsv"), node)).collect()], q
+
+
 def test_user_filters():
     p = hybrid.parse_filters
     assert p("bolt user:user1") == hybrid.Parsed("user1", "bolt", "bolt")
