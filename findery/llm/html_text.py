@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbt
-from .common import small_batches, table
+from .common import releasing, small_batches, table
 from .dom import MARK, Page, decode, features
 
 #: Pages that train the model at most, and re-renderings of each.
@@ -193,7 +193,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     first, second = rows.schema.fields[:2]
     out = [T.StructField(id_col, first.dataType), T.StructField(url_col, second.dataType), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
-    return rows.mapInArrow(run, T.StructType(out))
+    return rows.mapInArrow(releasing(run), T.StructType(out))
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

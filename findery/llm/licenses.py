@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, small_batches, table
+from .common import WORD_BYTES, releasing, small_batches, table
 from .license_texts import NOTICES, PHRASES
 
 K = 4
@@ -122,7 +122,7 @@ def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     templates = template_table(spark, notices)
     if templates.count() <= BROADCAST_ROWS:
         templates = F.broadcast(templates)
-    hashed = rows.mapInArrow(grams, T.StructType([*keys, T.StructField("grams", T.ArrayType(T.LongType()))]))
+    hashed = rows.mapInArrow(releasing(grams), T.StructType([*keys, T.StructField("grams", T.ArrayType(T.LongType()))]))
     hits = hashed.select("doc", "text_hash", F.posexplode("grams").alias("place", "gram")).join(templates, "gram")
     diagonals = hits.groupBy("doc", "text_hash", "template", "label", "size", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats")  # as many as the template has at most
@@ -141,7 +141,7 @@ def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spans = spans.select("doc", "text_hash", F.struct("first", "last", "label", (F.col("matched") / F.col("size")).alias("share")).alias("span"))
     spans = spans.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
     kinds = T._parse_datatype_string("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>")
-    bases = rows.mapInArrow(base, T.StructType([*keys, *kinds.fields]))
+    bases = rows.mapInArrow(releasing(base), T.StructType([*keys, *kinds.fields]))
     spans = spans.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
     same = F.col("doc").eqNullSafe(F.col("_doc")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
     labels = F.array_sort(F.array_union("base_labels", F.coalesce(F.transform("spans", lambda s: s["label"]), F.array().cast("array<string>"))))

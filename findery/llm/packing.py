@@ -162,6 +162,7 @@ def pieces(
                     flat = np.frombuffer(b"".join(cols[5]), dtype="<i4")
                     made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[3])]).astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(made, names=names)
+        known.old = {}  # between tasks one generation is enough
 
     kinds = T._parse_datatype_string("piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
     return rows.mapInArrow(releasing(run), T.StructType([rows.schema[0], *kinds.fields]))

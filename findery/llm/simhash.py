@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, small_batches, stored, table, wrapped
+from .common import LOWER_BYTES, releasing, small_batches, stored, table, wrapped
 from .near_copies import near_copies, small
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("body"))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(releasing(run), T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType())]))
 
 
 def _signed(mask: int) -> int:
