@@ -5,9 +5,12 @@ beyond what blocks of such a fingerprint can find. So this part takes blocks of
 permuted shingle hashes, of which two texts share each with a probability that is their resemblance. Texts that
 share two blocks or more are compared by their whole shingle sets.
 
-In a crowded block members are not paired: each is compared with the block's centre, the member with the most
-company over all blocks, which in a group of copies is its original. What is linked to another leaves, and the
-rest goes through again until nothing more is found, so the work stays linear in the documents.
+In a crowded block members are first compared with the block's centre, the member with the most company over
+all blocks, which in a group of copies is its original; what is linked to another leaves, and the rest goes through again
+until nothing more is found. That only links large groups cheaply. Every crowded block that then holds more
+than one component is searched exactly: a pair of a given resemblance must share a shingle among the rarest few of both
+sets, early enough that as many can follow as the pair needs (prefix and positional filter), so texts that
+share a long passage and resemble no further are not paired, and all pairs that are and whose components differ are verified.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, releasing, small_batches, stored
@@ -120,6 +123,41 @@ def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     return both.withColumn("alike", alike).where(F.col("alike") >= similarity).select("a", "b")
 
 
+def unsettled(keyed: DataFrame, named: DataFrame, pairs: int) -> DataFrame:
+    """(doc, component) of the members of crowded blocks that hold more than one component."""
+    of = keyed.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    crowded = of.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = crowded.where((F.col("n") > pairs) & (F.col("low") != F.col("high")))
+    return of.join(mixed, ["band", "key"], "left_semi").select("doc", "component").distinct()
+
+
+def prefix_pairs(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of docs (doc, component) that can have the resemblance and are of different components.
+
+    A pair needs t / (1 + t) of the sizes of both sets in common. In any order of the shingles, what is common stands
+    at or after the first common one in both, which bounds where that one stands; the order is by rarity.
+    """
+    sets = stored(shingle_sets(rows.join(small(docs), "doc", "left_semi")).withColumn("row", F.monotonically_increasing_id()))
+    grams = sets.select("doc", "row", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    held = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    common = grams.join(held, "gram")
+    by_row, by_rarity = Window.partitionBy("row"), Window.partitionBy("row").orderBy("df", "gram")
+    # shingles that no other text has come first in the order
+    at = F.col("size") - F.count("*").over(by_row) + F.row_number().over(by_rarity) - 1
+    placed = common.withColumn("at", at).where(F.col("size") - F.col("at") >= F.ceil(similarity * F.col("size") - 1e-6))
+    prefix = stored(placed.join(small(docs), "doc").select("gram", "doc", "component", "size", "at"))
+    # members of a shingle's largest component need no comparing with each other
+    counted = prefix.groupBy("gram", "component").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("gram").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
+    lists = stored(prefix.join(mixed.where("parts > 1").select("gram", "top"), "gram"))
+    x, y = lists.where("component <> top").alias("x"), lists.alias("y")
+    needed = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    possible = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= needed
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.doc") < F.col("y.doc"))
+    both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & once & possible)
+    return both.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
 def near_copies(rows: DataFrame, different: DataFrame | None = None, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
     """(node, component): the documents that resemble another one, and the smallest id of each group.
 
@@ -132,6 +170,7 @@ def near_copies(rows: DataFrame, different: DataFrame | None = None, similarity:
     if different is not None:
         sketched = sketched.join(different, ["doc", "text_hash"], "left_semi")
     keyed = stored(sketched.select("doc", F.posexplode("keys").alias("band", "key")))
+    members = keyed
     links = None
     while True:
         found = stored(verified(stored(candidate_pairs(keyed, pairs)), rows, similarity))
@@ -139,6 +178,11 @@ def near_copies(rows: DataFrame, different: DataFrame | None = None, similarity:
         named = stored(components(links))
         crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > pairs)
         if found.isEmpty() or crowded.isEmpty():
-            return named
+            break
         gone = named.where("node <> component").select(F.col("node").alias("doc"))
         keyed = stored(keyed.join(small(gone), "doc", "left_anti"))
+    open_docs = stored(unsettled(members, named, pairs))
+    if open_docs.isEmpty():
+        return named
+    rest = verified(stored(prefix_pairs(open_docs, rows, similarity)), rows, similarity)
+    return components(links.union(rest))

@@ -78,5 +78,34 @@ def test_one_of_each_group_stays(spark):
     assert sorted(str(r.doc_id) for r in keep_one(odd, similarity=0.8).collect()) == ["1", "2"]
 
 
+def passages():
+    """Texts that share seven eighths of their shingles and resemble no further, but for pairs and chains among them."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for share in (0.84, 0.88):
+        passage = [word() for _ in range(200)]
+        own = int(200 / share) - 200
+        for _ in range(260):
+            tail = [word() for _ in range(own)]
+            texts.append(passage + tail)
+            if rng.random() < 0.25:  # a partner with half of the rest, and one that resembles the partner only
+                texts.append(passage + tail[: own // 2] + [word() for _ in range(own - own // 2)])
+                if rng.random() < 0.5:
+                    texts.append(passage[14:] + texts[-1][200:] + [word() for _ in range(4)])
+    rng.shuffle(texts)
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+def test_crowded_blocks_are_searched_whole(spark):
+    texts = passages()
+    pairs, want = brute(texts)
+    assert len(pairs) > 100
+    df = spark.createDataFrame([(i, 0, t.encode()) for i, t in texts.items()], SCHEMA)
+    got = {i: i for i in texts} | {r.node: r.component for r in near_copies(df).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert got == want
+
+
 def test_shingles():
     assert len(shingles(None)) == 0 and len(shingles(b" \n")) == 0 and len(shingles(b"a b")) == 1 and len(shingles(b"a b c d e f A B C D E F")) == 6
