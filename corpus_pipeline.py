@@ -15,8 +15,8 @@ from findery.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the quality rules reject go, and so do the over-frequent lines of the others."""
+    return quality.without_boilerplate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ documents of a line are counted, a line in more than `max_docs` of them is boile
 whose different lines hold too few words without the boilerplate is depleted and rejected. The first document (smallest
 id) that holds a line keeps it: its text is then still somewhere in the corpus, and of a large group of
 copies the first stays whole for de-duplication to name. A base of plain rules rejects short and repetitive
-texts.
+texts. `without_boilerplate` gives the kept documents with those lines taken out of their texts.
 
 Defined results: a null, empty or wordless text has no words and fails the base; a null host is a host of
 its own; repeated rows count as one document and each get its verdict; ids that repeat with other texts are
@@ -104,10 +104,14 @@ def boilerplate(by_line: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 def judge(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-    min_share: float = MIN_SHARE, min_words: int = MIN_WORDS,
+    min_share: float = MIN_SHARE, min_words: int = MIN_WORDS, by_line: DataFrame | None = None,
 ) -> DataFrame:
-    """One row a document: the base's figures, base_failed, the words lost to boilerplate lines, and kept."""
-    by_line = stored(document_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col))
+    """One row a document: the base's figures, base_failed, the words lost to boilerplate lines, and kept.
+
+    by_line are the document_lines, if they are at hand.
+    """
+    if by_line is None:
+        by_line = stored(document_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col))
     lost = (
         by_line.join(boilerplate(by_line, max_docs), ["host", "line"])
         .where(~F.col("doc").eqNullSafe(F.col("first")))
@@ -141,6 +145,23 @@ def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(good, same, "left_semi").select("row.*")
 
 
+def without_boilerplate(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS, **limits
+) -> DataFrame:
+    """The documents that are kept, with all their columns; lines over the limit go from all but the first that holds them."""
+    by_line = stored(document_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col))
+    good = keep_good(docs, id_col=id_col, text_col=text_col, host_col=host_col, max_docs=max_docs, by_line=by_line, **limits)
+    over = by_line.join(boilerplate(by_line, max_docs), ["host", "line"]).where(~F.col("doc").eqNullSafe(F.col("first")))
+    over = over.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"))
+    over = over.agg(F.collect_set("line").alias("over"))
+    rows = wrapped(good, id_col, text_col).withColumn("host", F.coalesce(F.col("row")[host_col].cast("string"), F.lit("")))
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & (F.col("host") == F.col("_host"))
+    text = F.col("row")[text_col].cast("string")
+    left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("over", F.xxhash64(normal(x))))
+    new = F.when(F.col("over").isNull(), text).otherwise(F.array_join(left, "\n"))
+    return rows.join(over, same, "left").select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
+
+
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"

@@ -1,6 +1,6 @@
 """Line frequency and the base on small documents."""
 
-from findery.llm.quality import judge, keep_good
+from findery.llm.quality import judge, keep_good, without_boilerplate
 
 SCHEMA = "doc_id long, text string, source string, kept int, n_words int"
 
@@ -48,3 +48,17 @@ def test_odd_rows(spark):
         ("4", 30_001, True, False, 30_000), ("5", 5, True, False, 0), ("5", 5, True, False, 0), ("None", 2, True, False, 0),
     ]
     assert judge(df.limit(0)).count() == 0
+
+
+def test_boilerplate_lines_go(spark):
+    own = "\n".join(" ".join(f"word{j}x{i}" for i in range(10)) for j in range(3))
+    foot = "Stands  on every page"
+    texts = {i: f"{foot}\n{own} {i}\n\n{foot.upper()} \nend {i}" for i in range(5)}
+    rows = [(i, t, "a", 0, 0) for i, t in texts.items()] + [(4, texts[4], "a", 0, 0), (9, texts[0], "b", 0, 0), (10, None, "a", 0, 0)]
+    out = without_boilerplate(spark.createDataFrame(rows, SCHEMA), max_docs=3)
+    assert out.columns == ["doc_id", "text", "source", "kept", "n_words"]
+    got = sorted((r.doc_id, r.text) for r in out.collect())
+    # the first holder of a line and other hosts keep it; own lines in more than max_docs documents go as well
+    frequent = own.split("\n")[:2]
+    bare = lambda i: "\n".join(x for x in texts[i].split("\n") if x not in frequent and x.lower().split() != foot.lower().split())
+    assert got == [(0, texts[0]), *((i, bare(i)) for i in (1, 2, 3, 4, 4)), (9, texts[0])]
