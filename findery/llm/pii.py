@@ -1,14 +1,16 @@
 """Personal data and information-theoretic sanitisation (operator 5). DataFrame functions only.
 
 Patterns find the protected entities (e-mail, IP, card, phone). Which words give an entity away is estimated
-from the whole corpus: for a term t that stands near entity e, with document counts n(t), n(e), n(t, e) among
+from the whole corpus: for a term t in the documents of entity e, with document counts n(t), n(e), n(t, e) among
 N documents, the pointwise mutual information is set against the entity's information content,
 
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
-1 if the term stands with the entity alone. A term seen with the entity in enough different contexts, whose
-disclosure exceeds a threshold, is sanitised wherever it stands: removed if it discloses all, else
-generalised to a class of words.
+1 if the term stands with the entity alone. A term whose disclosure exceeds a threshold, and whose company with the
+entity is not chance, is sanitised wherever it stands: removed if it discloses all, else generalised to a class of words.
+Chance is the bound exp(-n(e) KL(n(t, e) / n(e) || n(t) / N)) of as much company among independent documents,
+times the terms that were tried with the entity. So one document is enough in a large corpus and none is in a small one,
+and a neighbourhood repeated word for word counts in each document.
 
 Defined results: a null or empty text has no spans; repeated rows count as a document each and give one result
 each; an entity that all documents hold has no information to disclose; terms that overlap an entity's span
@@ -18,10 +20,13 @@ names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPAN, count_kind, kept_spans, let, match_spans, span_list, stored, table, wrapped
+from .near_copies import small
 
 #: The patterns start where a longer match of the same run could not have started, and never back up.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -31,12 +36,10 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ["email", "ip", "card", "phone"]
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-#: Words on either side of an entity that may give it away, and the letters a term has at least.
-NEAR, MIN_LETTERS = 8, 4
-#: Code points on either side in which those words are looked for.
-REACH = 120
-#: Different contexts in which a term must stand with an entity before it can be said to reveal it.
-MIN_CONTEXTS = 3
+#: Letters a term has at least, unless it is written with a capital or without ASCII letters, as short names are.
+MIN_LETTERS = 4
+#: Probability below which the company of a term and an entity is not chance.
+CHANCE = 0.01
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.999
 #: Rows up to which the terms to sanitise, or the documents' lists of them, may be broadcast.
@@ -72,9 +75,15 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def all_terms(text: Column) -> Column:
+    """The different words of a text that are not numbers, lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), SPLIT), lambda w: (w != "") & ~w.rlike("^[0-9]")))
+
+
 def terms(text: Column) -> Column:
-    """The words of a text that can be terms, in order, lower case."""
-    return F.filter(F.split(F.lower(text), SPLIT), lambda w: (F.length(w) >= MIN_LETTERS) & ~w.rlike("^[0-9]"))
+    """Those of them that can give an entity away."""
+    fits = lambda w: ~w.rlike("^[0-9]") & (w != "") & ((F.length(w) >= MIN_LETTERS) | ~w.rlike("^[a-z0-9]+$"))
+    return F.array_distinct(F.transform(F.filter(F.split(text, SPLIT), fits), lambda w: F.lower(w)))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,40 +91,41 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """(row, entity, context, term) for the words near each entity; found has text and base."""
-    row = F.monotonically_increasing_id().alias("row")
-    holders = found.select(row, "text", "base").where(F.size("base") > 0).select("row", "text", F.explode("base").alias("s"))
-    value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    entity = F.xxhash64("s.kind", F.when(F.col("s.kind") == "email", F.lower(value)).otherwise(digits(value)))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH))
-    # a word cut by the reach is no term: the first of the left part, the last of the right, unless the text ends there
-    whole_left = F.when(F.col("s.start") > REACH, F.regexp_replace(left, rf"\A{WORD_CHAR}+", "")).otherwise(left)
-    whole_right = F.when(F.length(right) >= REACH, F.regexp_replace(right, rf"{WORD_CHAR}+\z", "")).otherwise(right)
-    before = let(terms(whole_left), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR + 1, F.lit(1)), NEAR))
-    after = F.slice(terms(whole_right), 1, NEAR)
-    near = holders.select("row", entity.alias("entity"), F.concat(before, after).alias("near"))
-    return near.select("row", "entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct("near")).alias("term"))
-
-
-def revealing(found: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
-    """(term, disclosure) of the terms to sanitise. All terms of the corpus are counted, by a hash and before any join."""
-    near = stored(contexts(found))
-    with_entity = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_te"))
-    of_entity = near.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
-    pairs = with_entity.where(F.col("contexts") >= min_contexts).join(of_entity, "entity").withColumn("t", F.xxhash64("term"))
-    words = found.select(F.explode(F.array_distinct(F.transform(terms(F.col("text")), lambda w: F.xxhash64(w)))).alias("t"))
-    of_term = words.groupBy("t").agg(F.count("*").alias("n_t"))
-    n = float(found.count())
-    held = F.log(F.lit(n) / F.col("n_e"))
-    shared = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    scored = pairs.join(of_term, "t").withColumn("disclosure", F.when(held > 0, shared / F.when(held > 0, held)).otherwise(0.0))
-    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
+def counted(found: DataFrame) -> DataFrame:
+    """(doc, text_hash, base, entities, words, tried): hashes of what each document holds; words of an entity itself are none of the text's."""
+    text = F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), dict.fromkeys(BASE, " "))).otherwise(F.col("text"))
+    value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
+    entity = lambda s: F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(value(s))).otherwise(digits(value(s))))
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    tried = F.when(F.size("base") > 0, hashed(terms(text))).otherwise(F.array().cast("array<bigint>"))
+    entities = F.array_distinct(F.transform("base", entity)).alias("entities")
+    return found.select("doc", "text_hash", "base", entities, hashed(all_terms(text)).alias("words"), tried.alias("tried"))
+
+
+def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE) -> DataFrame:
+    """(t, disclosure, outside): hashes of the terms to sanitise, and whether documents without an entity hold them.
+    All terms of the corpus are counted, by a hash and before any join."""
+    holders = held.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "tried")
+    of_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
+    with_entity = holders.select("entity", F.explode("tried").alias("t")).groupBy("entity", "t").agg(F.count("*").alias("n_te"))
+    with_entity = stored(with_entity)
+    tests = with_entity.groupBy("entity").agg(F.count("*").alias("tests"))
+    pairs = with_entity.join(of_entity.join(tests, "entity"), "entity")
+    of_term = held.select(F.size("entities").alias("k"), F.explode("words").alias("t")).groupBy("t")
+    of_term = of_term.agg(F.count("*").alias("n_t"), F.max(F.col("k") == 0).alias("outside"))
+    n = float(held.count())
+    ratio = F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))
+    information = F.log(n / F.col("n_e"))
+    without = F.col("n_e") - F.col("n_te")
+    away = F.when(without > 0, without * F.log((without / F.col("n_e")) / (1 - F.col("n_t") / n))).otherwise(0.0)
+    surprise = F.col("n_te") * F.log(ratio) + away - F.log("tests")
+    sure = pairs.join(of_term, "t").where((ratio > 1) & (F.col("n_t") < n) & (F.col("n_e") < n))
+    scored = sure.where(surprise >= -math.log(chance)).select("t", "outside", (F.log(ratio) / information).alias("disclosure"))
+    return scored.groupBy("t", "outside").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def find_pii(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE,
     generalise: float = GENERALISE, remove: float = REMOVE,
 ) -> DataFrame:
     """(doc, text_hash, base, more): the entities of each document, and the spans of terms that reveal one:
@@ -123,14 +133,17 @@ def find_pii(
     rows = _keyed(docs, id_col, text_col)
     found = rows.withColumn("base", base_spans(F.col("text")))
     kind = F.when(F.col("disclosure") >= remove, "reveal").otherwise("term")
-    flagged = stored(revealing(found, min_contexts, generalise).select("term", kind.alias("kind")))
-    base = stored(found.select("doc", "text_hash", "base"))
-    n_flagged = flagged.count()
-    if n_flagged == 0:
+    held = stored(counted(found))
+    flagged = stored(revealing(held, chance, generalise).select("t", "outside", kind.alias("kind")))
+    base = held.select("doc", "text_hash", "base")
+    if flagged.isEmpty():
         return base.withColumn("more", F.array().cast(SPAN))
-    words = rows.select("doc", "text_hash", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    holding = words.join(F.broadcast(flagged) if n_flagged <= BROADCAST_ROWS else flagged, "term")
-    lists = stored(holding.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("term", "kind")).alias("terms")))
+    # most terms stand in documents with an entity only, so the other documents are not joined with them
+    words = held.select("doc", "text_hash", F.size("base").alias("k"), F.explode("words").alias("t"))
+    inside = words.where("k > 0").join(small(flagged, BROADCAST_ROWS), "t")
+    outside = words.where("k = 0").join(small(flagged.where("outside"), BROADCAST_ROWS), "t")
+    holding = inside.select("doc", "text_hash", "t", "kind").union(outside.select("doc", "text_hash", "t", "kind"))
+    lists = stored(holding.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("t", "kind")).alias("terms")))
     size = lists.count()
     names = lists.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
     if size <= BROADCAST_ROWS:
@@ -139,7 +152,8 @@ def find_pii(
     text = F.col("text")
 
     def spans_of(which: str, rank: int) -> Column:
-        chosen = F.transform(F.filter("terms", lambda t: t["kind"] == which), lambda t: t["term"])
+        hashes = F.transform(F.filter("terms", lambda t: t["kind"] == which), lambda t: t["t"])
+        chosen = F.filter(all_terms(text), lambda w: F.array_contains(hashes, F.xxhash64(w)))
         pattern = F.concat(F.lit(rf"(?iu)(?<!{WORD_CHAR})(?:"), F.array_join(chosen, "|"), F.lit(rf")(?!{WORD_CHAR})"))
         placed = let(pattern, lambda p: F.transform(
             match_spans(text, p), lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end"), F.lit(which).alias("kind"))
@@ -157,9 +171,9 @@ def find_pii(
 STANDS_FOR = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "reveal": ""}
 
 
-def replaced(text: Column, spans: Column) -> Column:
+def replaced(text: Column, spans: Column, stands_for: dict[str, str] = STANDS_FOR) -> Column:
     """The text with every span replaced; of spans that overlap, the first in order counts."""
-    names = F.create_map(*[F.lit(x) for pair in STANDS_FOR.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in stands_for.items() for x in pair])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(
         F.struct(

@@ -88,3 +88,16 @@ def test_odd_rows(spark):
     ]
     assert find_pii(df).count() == 5
     assert sanitise(df.limit(0)).count() == 0
+
+
+def test_seen_once_and_repeated_signatures(spark):
+    common = "plain words that stand everywhere in all of these texts"
+    rows = [(i, f"{common} group{i % 4} and she met Kim there" if i % 3 else common, "", 0) for i in range(4000)]
+    rows += [(5000, f"{common} Zorblatt writes from {' '.join(f'group{i % 4}' for i in range(60))} zorb@corp.com", "", 0)]
+    rows += [(5001 + i, f"{common} group{i % 4} Quenlow Ng sends regards, call +1 234 567 8901", "", 0) for i in range(40)]  # word for word
+    rows += [(5100, "asked Quenlow and Ng about these words", "", 0)]
+    got = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert "zorblatt" not in got[5000].lower() and "[EMAIL]" in got[5000]  # once, sixty words before its address
+    assert all("Quenlow" not in got[i] and "Ng" not in got[i] and "[PHONE]" in got[i] for i in range(5001, 5041))
+    assert got[5100] == "asked [TERM] and [TERM] about these words"
+    assert all(got[i] == t for i, t, *_ in rows[:4000])
