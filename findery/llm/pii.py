@@ -6,11 +6,13 @@ N documents, the pointwise mutual information is set against the entity's inform
 
     disclosure(t, e) = log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
-1 if the term stands with the entity alone. A term whose disclosure exceeds a threshold, and whose company with the
-entity is not chance, is sanitised wherever it stands: removed if it discloses all, else generalised to a class of words.
-Chance is the bound exp(-n(e) KL(n(t, e) / n(e) || n(t) / N)) of as much company among independent documents,
-times the terms that were tried with the entity. So one document is enough in a large corpus and none is in a small one,
-and a neighbourhood repeated word for word counts in each document.
+1 if the term stands with the entity alone. A term whose disclosure exceeds a threshold, whose company with the
+entity is not chance, and from which the entity follows with even odds at least, is sanitised wherever it stands:
+removed if it discloses all, else generalised to a class of words. The odds come from the posterior n(t, e) / (n(t) + 1),
+with one document more that holds the term alone: a rare word that an entity's only document shares with another
+document by accident tells nothing and stays. Chance is the bound exp(-n(e) KL(n(t, e) / n(e) || n(t) / N)) of as much
+company among independent documents, times the terms that were tried with the entity. So one document is enough in a
+large corpus and none is in a small one, and a neighbourhood repeated word for word counts in each document.
 
 Defined results: a null or empty text has no spans; repeated rows count as a document each and give one result
 each; an entity that all documents hold has no information to disclose; terms that overlap an entity's span
@@ -26,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPAN, count_kind, kept_spans, let, match_spans, span_list, stored, table, wrapped
-from .near_copies import small
 
 #: The patterns start where a longer match of the same run could not have started, and never back up.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -42,8 +43,8 @@ MIN_LETTERS = 4
 CHANCE = 0.01
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.999
-#: Rows up to which the terms to sanitise, or the documents' lists of them, may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Posterior of the entity, given the term, from which the term is sanitised.
+POSTERIOR = 0.5
 
 SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_CHAR = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -92,23 +93,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def counted(found: DataFrame) -> DataFrame:
-    """(doc, text_hash, base, entities, words, tried): hashes of what each document holds; words of an entity itself are none of the text's."""
+    """(doc, text_hash, base, entities, words, tried): what each document holds, but for tried as hashes; words of an
+    entity itself are none of the text's."""
     text = F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), dict.fromkeys(BASE, " "))).otherwise(F.col("text"))
     value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
     entity = lambda s: F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(value(s))).otherwise(digits(value(s))))
     hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    tried = F.when(F.size("base") > 0, hashed(terms(text))).otherwise(F.array().cast("array<bigint>"))
+    tried = F.when(F.size("base") > 0, terms(text)).otherwise(F.array().cast("array<string>"))
     entities = F.array_distinct(F.transform("base", entity)).alias("entities")
     return found.select("doc", "text_hash", "base", entities, hashed(all_terms(text)).alias("words"), tried.alias("tried"))
 
 
-def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE) -> DataFrame:
-    """(t, disclosure, outside): hashes of the terms to sanitise, and whether documents without an entity hold them.
-    All terms of the corpus are counted, by a hash and before any join."""
+def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE, posterior: float = POSTERIOR) -> DataFrame:
+    """(t, word, disclosure, outside): the terms to sanitise, t is their hash, and whether documents without an entity
+    hold them. All terms of the corpus are counted, by a hash and before any join."""
     holders = held.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "tried")
     of_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
-    with_entity = holders.select("entity", F.explode("tried").alias("t")).groupBy("entity", "t").agg(F.count("*").alias("n_te"))
-    with_entity = stored(with_entity)
+    with_entity = holders.select("entity", F.explode("tried").alias("word")).groupBy("entity", "word").agg(F.count("*").alias("n_te"))
+    with_entity = stored(with_entity.withColumn("t", F.xxhash64("word")))
     tests = with_entity.groupBy("entity").agg(F.count("*").alias("tests"))
     pairs = with_entity.join(of_entity.join(tests, "entity"), "entity")
     of_term = held.select(F.size("entities").alias("k"), F.explode("words").alias("t")).groupBy("t")
@@ -119,9 +121,10 @@ def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENER
     without = F.col("n_e") - F.col("n_te")
     away = F.when(without > 0, without * F.log((without / F.col("n_e")) / (1 - F.col("n_t") / n))).otherwise(0.0)
     surprise = F.col("n_te") * F.log(ratio) + away - F.log("tests")
-    sure = pairs.join(of_term, "t").where((ratio > 1) & (F.col("n_t") < n) & (F.col("n_e") < n))
-    scored = sure.where(surprise >= -math.log(chance)).select("t", "outside", (F.log(ratio) / information).alias("disclosure"))
-    return scored.groupBy("t", "outside").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
+    likely = F.col("n_te") >= posterior * (F.col("n_t") + 1)
+    sure = pairs.join(of_term, "t").where((ratio > 1) & (F.col("n_t") < n) & (F.col("n_e") < n) & likely)
+    scored = sure.where(surprise >= -math.log(chance)).select("t", "word", "outside", (F.log(ratio) / information).alias("disclosure"))
+    return scored.groupBy("t", "word", "outside").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def find_pii(
@@ -134,33 +137,28 @@ def find_pii(
     found = rows.withColumn("base", base_spans(F.col("text")))
     kind = F.when(F.col("disclosure") >= remove, "reveal").otherwise("term")
     held = stored(counted(found))
-    flagged = stored(revealing(held, chance, generalise).select("t", "outside", kind.alias("kind")))
+    flagged = stored(revealing(held, chance, generalise).select("t", F.struct("word", kind.alias("kind")).alias("term"), "outside"))
     base = held.select("doc", "text_hash", "base")
     if flagged.isEmpty():
         return base.withColumn("more", F.array().cast(SPAN))
-    # most terms stand in documents with an entity only, so the other documents are not joined with them
+    # most terms stand in documents with an entity only, so the other documents are joined with the rest alone;
+    # what is stored has a known size, by which Spark chooses between a broadcast and a shuffle
     words = held.select("doc", "text_hash", F.size("base").alias("k"), F.explode("words").alias("t"))
-    inside = words.where("k > 0").join(small(flagged, BROADCAST_ROWS), "t")
-    outside = words.where("k = 0").join(small(flagged.where("outside"), BROADCAST_ROWS), "t")
-    holding = inside.select("doc", "text_hash", "t", "kind").union(outside.select("doc", "text_hash", "t", "kind"))
-    lists = stored(holding.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("t", "kind")).alias("terms")))
-    size = lists.count()
-    names = lists.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
-    if size <= BROADCAST_ROWS:
-        names = F.broadcast(names)
+    inside = words.where("k > 0").join(flagged.select("t", "term"), "t")
+    outside = words.where("k = 0").join(stored(flagged.where("outside").select("t", "term")), "t")
+    holding = inside.select("doc", "text_hash", "term").union(outside.select("doc", "text_hash", "term"))
+    names = stored(holding.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("terms")))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
     text = F.col("text")
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{WORD_CHAR})(?:"), F.array_join(F.col("terms.word"), "|"), F.lit(rf")(?!{WORD_CHAR})"))
 
-    def spans_of(which: str, rank: int) -> Column:
-        hashes = F.transform(F.filter("terms", lambda t: t["kind"] == which), lambda t: t["t"])
-        chosen = F.filter(all_terms(text), lambda w: F.array_contains(hashes, F.xxhash64(w)))
-        pattern = F.concat(F.lit(rf"(?iu)(?<!{WORD_CHAR})(?:"), F.array_join(chosen, "|"), F.lit(rf")(?!{WORD_CHAR})"))
-        placed = let(pattern, lambda p: F.transform(
-            match_spans(text, p), lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["end"].alias("end"), F.lit(which).alias("kind"))
-        ))
-        return F.when(F.size(chosen) > 0, placed).otherwise(F.array().cast(SPAN))
+    def span(h: Column) -> Column:
+        removed = F.exists("terms", lambda t: (t["word"] == F.lower(h["hit"])) & (t["kind"] == "reveal"))
+        return F.struct(
+            h["start"].alias("start"), F.when(removed, 5).otherwise(4).alias("rank"), h["end"].alias("end"), F.when(removed, "reveal").otherwise("term").alias("kind")
+        )
 
-    held = rows.join(names, same).select("doc", "text_hash", F.concat(spans_of("term", 4), spans_of("reveal", 5)).alias("more"))
+    held = rows.join(names, same).select("doc", "text_hash", let(pattern, lambda p: F.transform(match_spans(text, p), span)).alias("more"))
     held = held.dropDuplicates(["doc", "text_hash"]).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
     clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     out = base.join(held, same, "left").withColumn("more", F.coalesce("more", F.array().cast(SPAN)))

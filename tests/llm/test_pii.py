@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 from findery.llm.pii import find_pii, op5_pii, sanitise
@@ -101,3 +102,62 @@ def test_seen_once_and_repeated_signatures(spark):
     assert all("Quenlow" not in got[i] and "Ng" not in got[i] and "[PHONE]" in got[i] for i in range(5001, 5041))
     assert got[5100] == "asked [TERM] and [TERM] about these words"
     assert all(got[i] == t for i, t, *_ in rows[:4000])
+
+
+def test_accidental_company_stays(spark):
+    common = "plain words that stand everywhere in all of these texts"
+    rows = [(i, f"{common} group{i % 4} again", "", 0) for i in range(4000)]
+    rows += [(5000, f"{common} once Blenkarn at blen@corp.com", "", 0), (5001, f"{common} where Blenkarn is a word like others", "", 0)]
+    got = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[5001] == rows[4001][1] and "Blenkarn" in got[5000] and "[EMAIL]" in got[5000]
+
+
+def slow_terms(texts, chance, generalise, remove, posterior):
+    """Terms and their kinds by counting every word of every document with every entity."""
+    splits = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    held = {}
+    for i, t in texts.items():
+        spans = sorted((m.start(), k, m) for k, (p, ok) in PATTERNS.items() for m in re.finditer(p, t) if ok(m[0]))
+        entities = {(k, m[0].lower() if k == "email" else only(m[0])) for _, k, m in spans}
+        bare = t
+        for _, _, m in reversed(spans):
+            bare = bare[: m.start()] + " " + bare[m.end() :]
+        words = [w for w in re.split(splits, bare) if w and not w[0].isdigit()]
+        tried = {w.lower() for w in words if len(w) >= 4 or not re.fullmatch("[a-z0-9]+", w)}
+        held[i] = (entities, {w.lower() for w in words}, tried if entities else set())
+    n, out = len(texts), {}
+    for e in set().union(*[x[0] for x in held.values()]):
+        with_e = [x for x in held.values() if e in x[0]]
+        tried = set().union(*[x[2] for x in with_e])
+        for t in tried:
+            n_e, n_t, n_te = len(with_e), sum(t in x[1] for x in held.values()), sum(t in x[2] for x in with_e)
+            ratio = n_te * n / (n_t * n_e)
+            if ratio <= 1 or n_t == n or n_e == n or n_te < posterior * (n_t + 1):
+                continue
+            away = (n_e - n_te) * math.log((n_e - n_te) / n_e / (1 - n_t / n)) if n_e > n_te else 0
+            if n_te * math.log(ratio) + away - math.log(len(tried)) < -math.log(chance):
+                continue
+            d = math.log(ratio) / math.log(n / n_e)
+            if d >= generalise:
+                out[t] = max(d, out.get(t, 0))
+    return {t: "reveal" if d >= remove else "term" for t, d in out.items()}, {i: x[1] for i, x in held.items()}
+
+
+def test_terms_equal_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in "brstk" for b in "aeiou" for c in ("nd", "lm", "rt", "sk")]
+    texts = {}
+    for i in range(700):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(3, 12))]
+        if rng.random() < 0.4:
+            who = rng.randrange(30)
+            text.insert(rng.randint(0, len(text)), f"Name{chr(97 + who % 26)}{who} ")
+            if rng.random() < 0.8:
+                text.append(f"mail{who}@corp.com")
+        texts[i] = " ".join(text)
+    want, words = slow_terms(texts, 0.01, 0.85, 0.999, 0.5)
+    assert len(want) > 10 and len(set(want.values())) == 2
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in texts.items()], SCHEMA)
+    for r in find_pii(df).collect():
+        got = {(texts[r.doc][s.start : s.end].lower(), s.kind) for s in r.more}
+        assert got == {(t, want[t]) for t in words[r.doc] & want.keys()}, texts[r.doc]
