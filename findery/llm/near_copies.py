@@ -5,12 +5,13 @@ beyond what blocks of such a fingerprint can find. So this part takes blocks of
 permuted shingle hashes, of which two texts share each with a probability that is their resemblance. Texts that
 share two blocks or more are compared by their whole shingle sets.
 
-In a crowded block members are first compared with the block's centre, the member with the most company over
-all blocks, which in a group of copies is its original; what is linked to another leaves, and the rest goes through again
-until nothing more is found. That only links large groups cheaply. Every crowded block that then holds more
+A crowded block's pairs are not listed. Its members are cut by a second block into smaller ones, all of whose members
+share two blocks, and each is compared with the smallest id of its cut: one pass links the bulk of a large group of
+copies, by aggregates that no single key can overload. Every crowded block that then holds more
 than one component is searched exactly: a pair of a given resemblance must share a shingle among the rarest few of both
 sets, early enough that as many can follow as the pair needs (prefix and positional filter), so texts that
 share a long passage and resemble no further are not paired, and all pairs that are and whose components differ are verified.
+There are no rounds: candidates, one pass of crowded blocks, one search of what is left.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS, SHARED = 6, 24, 2
 #: Members up to which a block's pairs are listed.
 PAIRS = 32
+#: A crowded block is cut by the block so many places on.
+CUTS = (1, 7)
 #: Ids up to which a list of documents may be broadcast.
 BROADCAST_ROWS = 200_000
 _RNG = np.random.default_rng(20)
@@ -77,18 +80,18 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(doc, grams) of rows (doc, text_hash, body); 32 bits of each hash are kept."""
+    """(doc, grams) of rows (doc, text_hash, body); grams are the 64-bit hashes of the different shingles."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sets = [np.unique((shingles(x.as_py()) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["doc", "grams"])
+                sets = [shingles(x.as_py()).view(np.int64) for x in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "grams"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, grams array<int>")
+    return rows.mapInArrow(run, f"doc {kind}, grams array<bigint>")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -96,20 +99,20 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def candidate_pairs(keyed: DataFrame, pairs: int = PAIRS) -> DataFrame:
-    """(a, b), a < b, that share SHARED blocks or more; keyed has (doc, band, key)."""
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(keyed.join(sizes, ["band", "key"]))
-    few = shared.where(F.col("n") <= pairs)
+def candidate_pairs(sketched: DataFrame, keyed: DataFrame, pairs: int = PAIRS) -> DataFrame:
+    """(a, b), a < b: pairs that share SHARED uncrowded blocks or more, and members of crowded blocks that share a
+    second block with the smallest id of those that do. sketched has (doc, keys), keyed a row (doc, band, key) for each."""
+    sizes = stored(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
+    few = stored(keyed.join(sizes.where(F.col("n") <= pairs), ["band", "key"], "left_semi"))
     left, right = (few.select("band", "key", F.col("doc").alias(x)) for x in "ab")
-    listed = left.join(right, ["band", "key"]).where("a < b").select("a", "b")
-    many = shared.where(F.col("n") > pairs)
-    company = many.groupBy("doc").agg(F.sum("n").alias("company"))
-    ranked = many.join(company, "doc")
-    centres = ranked.groupBy("band", "key").agg(F.max_by("doc", F.struct("company", "doc")).alias("centre"))
-    starred = many.join(centres, ["band", "key"]).where("doc <> centre")
-    starred = starred.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b"))
-    return listed.union(starred).groupBy("a", "b").agg(F.count("*").alias("m")).where(F.col("m") >= SHARED).select("a", "b")
+    listed = left.join(right, ["band", "key"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    listed = listed.where(F.col("m") >= SHARED).select("a", "b")
+    many = keyed.join(sizes.where(F.col("n") > pairs), ["band", "key"], "left_semi")
+    second = [F.xxhash64("band", "key", F.lit(c), F.get("keys", F.pmod(F.col("band") + c, F.lit(BANDS)))) for c in CUTS]
+    cut = stored(many.join(sketched, "doc").select("doc", F.explode(F.array(*second)).alias("cut")))
+    centres = cut.groupBy("cut").agg(F.min("doc").alias("centre"), F.max("doc").alias("last")).where("centre <> last")
+    starred = cut.join(centres, "cut").where("doc <> centre")
+    return listed.union(starred.select(F.col("centre").alias("a"), F.col("doc").alias("b"))).distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -169,19 +172,11 @@ def near_copies(rows: DataFrame, different: DataFrame | None = None, similarity:
     sketched = sketches(rows)
     if different is not None:
         sketched = sketched.join(different, ["doc", "text_hash"], "left_semi")
-    keyed = stored(sketched.select("doc", F.posexplode("keys").alias("band", "key")))
-    members = keyed
-    links = None
-    while True:
-        found = stored(verified(stored(candidate_pairs(keyed, pairs)), rows, similarity))
-        links = found if links is None else links.union(found)
-        named = stored(components(links))
-        crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > pairs)
-        if found.isEmpty() or crowded.isEmpty():
-            break
-        gone = named.where("node <> component").select(F.col("node").alias("doc"))
-        keyed = stored(keyed.join(small(gone), "doc", "left_anti"))
-    open_docs = stored(unsettled(members, named, pairs))
+    sketched = stored(sketched.select("doc", "keys"))
+    keyed = sketched.select("doc", F.posexplode("keys").alias("band", "key"))
+    links = stored(verified(stored(candidate_pairs(sketched, keyed, pairs)), rows, similarity))
+    named = stored(components(links))
+    open_docs = stored(unsettled(keyed, named, pairs))
     if open_docs.isEmpty():
         return named
     rest = verified(stored(prefix_pairs(open_docs, rows, similarity)), rows, similarity)

@@ -115,11 +115,14 @@ def links(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of an edge (a, b)."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of an edge (a, b).
+
+    Steps go on until nothing moves; each shortens the longest path to the smallest node, so they end.
+    """
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours move to the smallest neighbour
@@ -133,8 +136,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(out.select(F.col("component").alias("node"), "component")).distinct()
 
@@ -164,7 +165,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One document of each component: the one with the smallest id; all columns stay.
 
-    Where that id has several texts one of them stays, and of rows that repeat it one. Rows with null ids stay
+    Where that id has several texts one of them stays, and of rows that repeat it the one with the
+    smallest hash of its columns. Rows with null ids stay
     only where no row with an id is in their component, one for each fingerprint. With a similarity, different
     texts are also compared by five-word shingles (see near_copies), and what has it is linked as well.
     """
@@ -188,7 +190,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = rows.join(small(gone), same, "left_anti")
     if kept.groupBy("doc", "text_hash").count().where("count > 1").isEmpty():
         return kept.select("row.*")
-    return kept.dropDuplicates(["doc", "text_hash"]).select("row.*")
+    # chosen by its values, so that a task that runs again keeps the same one
+    return kept.groupBy("doc", "text_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
