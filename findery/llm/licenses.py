@@ -3,8 +3,11 @@
 Every document's rolling word k-gram hashes are made in Arrow batches, unnested and joined by Spark to the
 (template, position) table of the notices. Hits are grouped by document, template and diagonal (place in the
 document less place in the template); neighbouring diagonals, which a few added or lost words make, merge
-into one span, and a span is reported when it holds enough of the template's words densely enough.
-The template table is a fixed list of notices, and only it is broadcast, after its size is checked.
+into one run, but not further apart than half the template, so that a short notice said twice gives two. A run that
+holds enough of the template densely enough is a candidate; candidates go back to their texts, where their words are
+compared with the template's, and a span is reported when enough of them stand in the same order.
+The template table is a fixed list of notices (see license_texts.py: a licence whose text holds none of them gets no label
+from the method), and only it is broadcast, after its size is checked.
 
 Defined results: a null, empty or wordless text has no words, no labels and score 0; documents shorter than
 a k-gram take part in the base only; rows that repeat give one result each; an empty table gives an empty
@@ -22,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, releasing, small_batches, table
+from .common import WORD_BYTES, releasing, small_batches, stored, table
 from .license_texts import NOTICES, PHRASES
 
 K = 4
-#: Diagonals at most so far apart belong to one span.
+#: Diagonals at most so far apart belong to one span, and at most half the template's words.
 DRIFT = 6
 #: A span needs this share of the template's words, or this many of them, whichever is less.
 MIN_SHARE, MIN_WORDS = 0.8, 40
@@ -112,6 +115,48 @@ def template_table(spark, notices=None) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, size int, at int, gram long")
 
 
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    """Words of a that stand in the same order in b: the longest common subsequence."""
+    if a == b:
+        return len(a)
+    best = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, best[j] = best[j], diagonal + 1 if x == y else max(best[j], best[j - 1])
+    return best[-1]
+
+
+def verified(candidates: DataFrame, rows: DataFrame, notices=None) -> DataFrame:
+    """(doc, text_hash, spans): candidates whose words are the template's, by the same limits."""
+    templates = [(label, words_of(text.encode())) for label, text in notices or NOTICES]
+    kind = "array<struct<first:int,last:int,label:string,share:double>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for body, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                words, spans = words_of(body), []
+                for c in found:
+                    label, template = templates[c["template"]]
+                    same = common_words(template, words[c["first"] : c["last"] + 1])
+                    if same >= min(len(template) * MIN_SHARE, MIN_WORDS) and same >= MIN_DENSITY * (c["last"] - c["first"] + 1):
+                        spans.append({"first": c["first"], "last": c["last"], "label": label, "share": same / len(template)})
+                out.append(spans)
+            spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("label", pa.string()), ("share", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, spans_type)], names=["doc", "text_hash", "spans"])
+
+    # the candidates are stored, so their size is known to the choice of a join
+    listed = candidates.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(
+        F.array_sort(F.collect_set(F.struct("first", "last", "template"))).alias("found")
+    )
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    texts = rows.join(stored(listed), same).select("doc", "text_hash", "body", "found")
+    # the texts of equal rows are equal
+    spans = texts.mapInArrow(releasing(run), T.StructType([*rows.schema.fields[:2], T.StructField("spans", T._parse_datatype_string(kind))]))
+    return spans.groupBy("doc", "text_hash").agg(F.first("spans").alias("spans"))
+
+
 def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", notices=None) -> DataFrame:
     """One row a document: the base's counts and labels, the verified spans, all labels and a score."""
     small_batches(docs.sparkSession)
@@ -124,22 +169,22 @@ def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         templates = F.broadcast(templates)
     hashed = rows.mapInArrow(releasing(grams), T.StructType([*keys, T.StructField("grams", T.ArrayType(T.LongType()))]))
     hits = hashed.select("doc", "text_hash", F.posexplode("grams").alias("place", "gram")).join(templates, "gram")
-    diagonals = hits.groupBy("doc", "text_hash", "template", "label", "size", (F.col("place") - F.col("at")).alias("diagonal")).agg(
+    diagonals = hits.groupBy("doc", "text_hash", "template", "size", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("ats")  # as many as the template has at most
     )
     order = Window.partitionBy("doc", "text_hash", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int")
+    drift = F.least(F.lit(DRIFT), F.floor(F.col("size") / 2))
+    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > drift).cast("int")
     runs = diagonals.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(order))
     covered = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + K - 1))))
-    spans = runs.groupBy("doc", "text_hash", "template", "label", "size", "run").agg(
+    spans = runs.groupBy("doc", "text_hash", "template", "size", "run").agg(
         F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("ats") + K - 1).alias("last"),
         F.size(covered(F.array_distinct(F.flatten(F.collect_set("ats"))))).alias("matched"),
     )
     enough = F.least(F.col("size") * MIN_SHARE, F.lit(float(MIN_WORDS)))
     spans = spans.where((F.col("matched") >= enough) & (F.col("matched") >= MIN_DENSITY * (F.col("last") - F.col("first") + 1)))
-    spans = spans.select("doc", "text_hash", F.struct("first", "last", "label", (F.col("matched") / F.col("size")).alias("share")).alias("span"))
-    spans = spans.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    spans = verified(spans, rows, notices)
     kinds = T._parse_datatype_string("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>")
     bases = rows.mapInArrow(releasing(base), T.StructType([*keys, *kinds.fields]))
     spans = spans.withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})

@@ -1,5 +1,6 @@
 """License spans on small documents."""
 
+import random
 import re
 
 from findery.llm.license_texts import NOTICES, PHRASES
@@ -47,3 +48,41 @@ def test_base_equals_brute_force(spark):
         assert (r.first_word, r.last_word) == (min([i for i, _ in at], default=None), max([i for i, _ in at], default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in at}))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def test_short_notices_that_repeat(spark):
+    note = "Released under the MIT License."
+    got = found(spark, [(1, note), (2, f"{note} {note}"), (3, f"{note} Also. {note}"), (4, " ".join([note] * 9)), (5, "x " * 40 + note + " y" * 9 + " " + note)])
+    assert [(len(got[i].spans), got[i].score) for i in range(1, 6)] == [(1, 1), (2, 1), (2, 1), (9, 1), (2, 1)]
+    assert [(s.first, s.last) for s in got[3].spans] == [(0, 4), (6, 10)]
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(9)
+    notices = [("a", "alpha beta gamma delta epsilon zeta eta theta"), ("b", "one two three four five"), ("c", " ".join(f"w{i}" for i in range(60)))]
+    texts = {}
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += [f"filler{rng.randrange(99)}" for _ in range(rng.randint(0, 20))]
+            words = rng.choice(notices)[1].split()
+            if rng.random() < 0.3 and len(words) > 50:
+                at = rng.randrange(10, 50)
+                words = words[:at] + ["extra"] * rng.randint(0, 2) + words[at + rng.randint(0, 2) :]
+            parts += words
+        texts[i] = " ".join(parts)
+
+    def slow(words):
+        """Whole notices, and those with a few words changed in the middle: their ends stand in the text."""
+        out = []
+        for label, text in notices:
+            t = text.split()
+            at = [p for p in range(len(words)) if words[p : p + 4] == t[:4]]
+            for p in at:
+                end = next(e for e in range(p + 4, len(words) + 1) if words[e - 4 : e] == t[-4:])
+                out.append((p, end - 1, label))
+        return sorted(out)
+
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA)
+    for r in find_licenses(df, notices=notices).collect():
+        assert [(s.first, s.last, s.label) for s in r.spans] == slow(texts[r.doc_id].split()), texts[r.doc_id]
