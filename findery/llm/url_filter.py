@@ -2,9 +2,9 @@
 
 Lists are dated: a record says that from its time on an entry (a host, or a host with a path) is blocked,
 allowed or dropped. Each record becomes a validity interval that ends where the next record of the same list
-and entry begins. A capture is expanded to the entries that could cover it (its host's suffixes of two labels
-or more, with the path's leading segments, as deep as the deepest entry) and joined to the intervals as of
-its fetch time. The most specific active entry decides: more host labels, then more path segments; among
+and entry begins. A capture is expanded to the entries that could cover it (its host's suffixes, a single label
+too, with the path's leading segments, as deep as the deepest entry) and joined to the intervals as of
+its fetch time. Hosts are compared without regard to case and final dots, paths with it. The most specific active entry decides: more host labels, then more path segments; among
 equals an allowing one, then the first list, then the first category.
 
 Both sides meet in an equi-join on the entry that Spark may broadcast by its own measure or split where a
@@ -39,6 +39,9 @@ LIST = [
     ("regional", "example.net/es", "drop", "region", "2024-12-01"),
     ("regional", "ththan.example.net", "allow", "region", "2024-01-01"),
     ("regional", "tionble.example.org", "block", "region", "2025-06-01"),
+    ("regional", "Tionble.Example.org/DE", "block", "region", "2024-01-01"),
+    ("suffixes", "org", "allow", "suffix", "2024-08-01"),
+    ("suffixes", "zip", "block", "suffix", "2024-01-01"),
 ]
 #: Captures of the fixture are spread over a year by their page id: seconds since 1970.
 FETCH_START, FETCH_STEP, FETCH_SPAN = 1_704_067_200, 7_919_000, 31_536_000
@@ -62,9 +65,16 @@ def labels(entry: Column) -> Column:
     return F.size(F.split(F.split(entry, "/")[0], r"\."))
 
 
+def normal_entry(entry: Column) -> Column:
+    """The host in lower case without final dots, then the path as it is without empty segments."""
+    parts = F.filter(F.split(entry, "/"), lambda x: x != "")
+    host = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), r"\.+$", "")
+    return F.array_join(F.concat(F.array(host), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))), "/")
+
+
 def intervals(records: DataFrame) -> DataFrame:
     """(list, entry, action, category, since, until) of blocking and allowing records; until is null while open."""
-    clean = records.select("list", F.regexp_replace(F.lower("entry"), "/+$", "").alias("entry"), "action", F.coalesce("category", F.lit("")).alias("category"), "since")
+    clean = records.select("list", normal_entry(F.col("entry")).alias("entry"), "action", F.coalesce("category", F.lit("")).alias("category"), "since")
     clean = clean.where(F.col("list").isNotNull() & F.col("entry").isNotNull() & F.col("action").isNotNull() & F.col("since").isNotNull())
     one = clean.groupBy("list", "entry", "since").agg(F.max(F.struct("action", "category")).alias("last"))
     later = F.lead("since").over(Window.partitionBy("list", "entry").orderBy("since"))
@@ -76,7 +86,7 @@ def entries_of(host: Column, path: Column, deepest: Column) -> Column:
     """Every entry that would cover a host and path."""
     parts = F.split(host, r"\.")
     suffixes = F.transform(
-        F.when(F.size(parts) >= 2, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>")),
+        F.sequence(F.lit(1), F.size(parts)),
         lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."),
     )
     steps = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, deepest)
@@ -121,7 +131,7 @@ def op9_url_filter(spark, sf_dir: str) -> DataFrame:
 
 _VALUES = ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in LIST)
 ORACLE = rf"""
-WITH rec AS (SELECT l AS list, e AS entry, a AS action, c AS category, epoch(CAST(d AS TIMESTAMP))::BIGINT AS since FROM (VALUES {_VALUES}) AS v(l, e, a, c, d)),
+WITH rec AS (SELECT l AS list, lower(split_part(e, '/', 1)) || substr(e, length(split_part(e, '/', 1)) + 1) AS entry, a AS action, c AS category, epoch(CAST(d AS TIMESTAMP))::BIGINT AS since FROM (VALUES {_VALUES}) AS v(l, e, a, c, d)),
 iv AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY list, entry ORDER BY since) AS until FROM rec) WHERE action IN ('block', 'allow')),
 cap AS (SELECT page_id, url, {FETCH_START} + (page_id * {FETCH_STEP}) % {FETCH_SPAN} AS fetched_at,
   lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]*)', 1)) AS host,

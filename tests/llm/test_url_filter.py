@@ -38,3 +38,16 @@ def test_odd_rows(spark):
     ]
     assert all(not x[1] for x in decide(spark, [], caps)) and decide(spark, records, []) == []
     assert intervals(spark.createDataFrame(records, LISTS)).count() == 1
+
+
+def test_case_of_paths_and_hosts_of_one_label(spark):
+    records = [("l", "Bad.com/En", "block", "c", 1), ("l", "zip.", "block", "c", 1), ("l", "LOCALHOST//a/", "block", "c", 1), ("l", "ok.zip", "allow", "c", 1)]
+    caps = [
+        (1, "http://bad.com/En/x", 5), (2, "http://BAD.com/en/x", 5), (3, "http://file.ZIP/", 5), (4, "http://zip.com/", 5),
+        (5, "http://localhost:8080/a", 5), (6, "http://localhost/A", 5), (7, "http://x.ok.zip/", 5),
+    ]
+    got = {x[0]: x[1:3] for x in decide(spark, records, caps)}
+    assert got == {
+        "1": (True, "bad.com/En"), "2": (False, None), "3": (True, "zip"), "4": (False, None), "5": (True, "localhost/a"), "6": (False, None),
+        "7": (False, "ok.zip"),
+    }
