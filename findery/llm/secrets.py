@@ -23,6 +23,8 @@ from .common import SPAN, count_kind, kept_spans, let, span_list, stored, table
 SCOPE = 300
 #: Bits a character that a key's text needs at least.
 MIN_ENTROPY = 3.5
+#: Share of digits that a key with letters of one case needs: drawn from 36 characters, 28 % are digits.
+MIN_DIGITS = 0.15
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Lengths are in the patterns where a shorter match could not hold a longer one.
@@ -51,7 +53,9 @@ def entropy(text: Column) -> Column:
 
 
 def mixed(hit: Column) -> Column:
-    return hit.rlike("[a-z]") & hit.rlike("[A-Z]") & (entropy(F.substring(hit, 1, 256)) >= MIN_ENTROPY)
+    """Whether a token is like a drawn key: both cases, or one with enough digits, and of high entropy over its whole length."""
+    n_digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
+    return ((hit.rlike("[a-z]") & hit.rlike("[A-Z]")) | (n_digits >= MIN_DIGITS * F.length(hit))) & (entropy(hit) >= MIN_ENTROPY)
 
 
 def base_spans(text: Column) -> Column:
