@@ -25,9 +25,11 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is named."""
+    """The folder that the driver and all executors share; a temporary one only on a local master that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="findery-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -47,10 +49,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/findery-{spark.sparkContext.applicationId}"
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Remove what this application has stored; results that are still to be read need it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, *by: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/findery/{uuid.uuid4().hex}"
+    path = f"{stored_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write
     if by:
         writer = writer.partitionBy(*by)

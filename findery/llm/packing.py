@@ -256,7 +256,9 @@ def pack(
     capacity: int = CAPACITY, with_ids: bool = False,
 ) -> DataFrame:
     """Every piece with the sequence it goes to and its offset there."""
-    cut = stored(pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, capacity=capacity, with_ids=with_ids))
+    found = pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, capacity=capacity, with_ids=with_ids)
+    # numbered once and stored: rows that share an id, or have none, are spread and ranked like others
+    cut = stored(found.withColumn("_piece", F.monotonically_increasing_id()))
     histogram = {int(r[0]): r[1] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # length: (first rank, first sequence, offset)
     filled: dict[int, int] = defaultdict(int)
@@ -270,15 +272,15 @@ def pack(
         sequence += n
     lookup = {k: np.array(v, dtype=np.int64) for k, v in slots.items()}
     salts = max(SALTS, -(-max(histogram.values(), default=0) // RANKED))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
-    ranks = Window.partitionBy("length", "_salt").orderBy(id_col, "piece")
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_piece"), F.lit(salts)))
+    ranks = Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "_piece")
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     sofar = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("length", "_salt", F.coalesce(F.sum("_n").over(sofar), F.lit(0)).alias("_before"))
     ranked = salted.withColumn("_row", F.row_number().over(ranks)).join(before, ["length", "_salt"])
-    ranked = ranked.select(*cut.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
-    names = [*cut.columns, "sequence_id", "offset"]
-    place = cut.columns.index("length")
+    ranked = ranked.select(*found.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
+    names = [*found.columns, "sequence_id", "offset"]
+    place = found.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +296,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(seq), pa.array(off)], names=names)
 
     more = T._parse_datatype_string("sequence_id bigint, offset bigint")
-    return ranked.mapInArrow(run, T.StructType([*cut.schema.fields, *more.fields]))
+    return ranked.mapInArrow(run, T.StructType([*found.schema.fields, *more.fields]))
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
