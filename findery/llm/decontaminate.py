@@ -1,53 +1,63 @@
 """Benchmark decontamination (operator 1).
 
-The benchmark's n-grams form a hash set that is broadcast while its measured size stays under a bound;
-document windows are hashed with numpy over whole Arrow batches, looked up, and each hit is verified word
-by word. A larger benchmark is joined by window hash over a shuffle instead.
+The benchmark's n-grams form a hash set that is broadcast while it has few enough windows and little enough text, both
+measured first; document windows are hashed with numpy over whole Arrow batches, looked up, and each hit is verified
+word by word. A larger benchmark is joined by window over a shuffle instead, with the same result, for scanning and for cutting.
 
 Defined results: a null or wordless text has no words and is never contaminated; a null or wordless item
-has no windows; repeated rows are scored one by one; an empty table gives an empty result; other columns,
+has no windows; an item with a null id marks words and is not counted among the items; ids are compared as Spark's
+strings of them; repeated rows are scored one by one; an empty table gives an empty result; other columns,
 whatever their names, are ignored by the scan and kept by `decontaminate`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, WORD_BYTES, releasing, small_batches, table, text_bytes
+from .common import UPPER, WORD_BYTES, releasing, small_batches, stored, table, text_bytes
 
 N = 10
-#: Characters of benchmark text that may be collected and broadcast; beyond it windows are joined.
-BROADCAST_CHARS = 64_000_000
+#: Bytes and windows of a benchmark that may be collected and broadcast (about 60 bytes a window); beyond either, windows are joined.
+BROADCAST_CHARS, BROADCAST_WINDOWS = 64_000_000, 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WindowSet:
-    """All windows of the benchmark, by length: sorted hashes, the words behind them and their items."""
+    """All windows of the benchmark, by length: sorted hashes, the words behind them, and their items by number."""
 
-    def __init__(self, items: list[tuple[object, bytes | None]], n: int = N) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int = N) -> None:
         self.vocab: dict[bytes, int] = {}
-        grams: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item_id, body in items:
+        numbers: dict[str, int] = {}
+        grams: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for item, body in items:
             words = (body or b"").translate(WORD_BYTES).split()
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1) if size else ():
-                grams.setdefault(size, {}).setdefault(tuple(ids[i : i + size]), set()).add(str(item_id))
+            if words:
+                ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], dtype=np.int32)
+                owner = -1 if item is None else numbers.setdefault(item, len(numbers))
+                size = min(n, len(ids))
+                grams.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(ids, size), owner))
+        self.names = list(numbers)
         self.tables = []
-        for size, rows in sorted(grams.items()):
-            words = np.array(list(rows), dtype=np.int64).reshape(-1, size)
+        for size, found in sorted(grams.items()):
+            words = np.concatenate([w for w, _ in found])
+            owner = np.repeat(np.array([o for _, o in found], dtype=np.int32), [len(w) for w, _ in found])
             hashes = self.hashed(words)
-            order = np.argsort(hashes, kind="stable")
-            owners = list(rows.values())
-            self.tables.append((size, hashes[order], words[order], [owners[i] for i in order]))
+            order = np.lexsort((owner, *words.T[::-1], hashes))
+            hashes, words, owner = hashes[order], words[order], owner[order]
+            first = np.concatenate([[True], (words[1:] != words[:-1]).any(axis=1)])
+            held = (owner >= 0) & (first | np.concatenate([[True], owner[1:] != owner[:-1]]))  # each item once
+            ends = np.append(np.cumsum(held)[np.flatnonzero(first)] - held[first], held.sum())
+            self.tables.append((size, hashes[first], words[first], owner[held], ends))
 
     @staticmethod
     def hashed(words: np.ndarray) -> np.ndarray:
@@ -57,12 +67,13 @@ class WindowSet:
             out ^= out >> np.uint64(29)
         return out
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[set[str]]]]:
-        """(window length, places, rows of the table, owners of the rows); ids are -1 outside the vocabulary."""
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, Callable[[int], list[str]]]]:
+        """(window length, places, rows of the table, the items of a row); ids are -1 outside the vocabulary."""
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        for size, hashes, words, owners in self.tables:
+        for size, hashes, words, owners, ends in self.tables:
             if len(ids) < size:
                 continue
+            items = lambda r, owners=owners, ends=ends: [self.names[o] for o in owners[ends[r] : ends[r + 1]]]
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             if not len(at):
                 continue
@@ -77,7 +88,7 @@ class WindowSet:
                 at, seen, found, row = at[same], seen[same], found[same], row[same]
                 equal = (words[row] == seen).all(axis=1)
                 if equal.any():
-                    yield size, at[equal], row[equal], owners
+                    yield size, at[equal], row[equal], items
                 at, seen, found, row = at[~equal], seen[~equal], found[~equal], row[~equal] + 1
 
 
@@ -91,11 +102,12 @@ RESULT = (
 )
 
 
-def _scan(index: WindowSet, id_field: pa.Field):
-    """Arrow batches of (id, body) to one row a document."""
+def _scan(shared, id_field: pa.Field):
+    """Arrow batches of (id, body) to one row a document; shared is a broadcast WindowSet."""
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         get = index.vocab.get
         for whole in batches:
             for start in range(0, whole.num_rows, 512):  # bounds the arrays below
@@ -112,7 +124,7 @@ def _scan(index: WindowSet, id_field: pa.Field):
                     np.add.at(mark, at, 1)
                     np.add.at(mark, at + size, -1)
                     for d, r in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), rows.tolist())):
-                        items[d] |= owners[r]
+                        items[d].update(owners(r))
                 hit = np.cumsum(mark[:-1]) > 0
                 edges = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                 first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
@@ -137,6 +149,26 @@ def _scan(index: WindowSet, id_field: pa.Field):
     return run
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+
+
+def _words(text: Column) -> Column:
+    low = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+    return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
+def _shared_set(items: DataFrame, n: int, most_chars: int, most_windows: int):
+    """The broadcast WindowSet of (item, text) rows; None if it is beyond a bound."""
+    n_words = F.size(_words(F.col("text")))
+    windows = F.when(n_words > 0, F.greatest(n_words - n + 1, F.lit(1))).otherwise(0)
+    chars, count = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(windows), F.lit(0))).first()
+    if chars > most_chars or count > most_windows:
+        return None
+    rows = items.select("item", F.col("text").cast("binary")).collect()
+    return items.sparkSession.sparkContext.broadcast(WindowSet([(r[0], None if r[1] is None else bytes(r[1])) for r in rows], n))
+
+
 def find_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -147,53 +179,50 @@ def find_overlaps(
     item_text_col: str = "text",
     n: int = N,
     broadcast_chars: int = BROADCAST_CHARS,
+    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """One row a document: counts, the items it leaks (as strings) and the hit word spans."""
-    items = text_bytes(benchmark, item_col, item_text_col)
-    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    items = _items(benchmark, item_col, item_text_col)
+    shared = _shared_set(items, n, broadcast_chars, broadcast_windows)
+    if shared is None:
+        rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+        rows = stored(rows)  # read more than once, with the same numbers
+        found = _hits(rows, _owned(items, n))
+        none, empty = F.array().cast("array<string>"), F.array().cast("array<struct<first:bigint,last:bigint>>")
+        base = rows.select("_row", F.col("_id").alias(id_col), F.size(_words(F.col("text"))).cast("long").alias("n_words"))
+        items_found = F.coalesce("items", none)
+        return base.join(found, "_row", "left").select(
+            id_col, "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(items_found).cast("long").alias("n_items"),
+            F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"), F.col("spans").isNotNull().alias("contaminated"),
+            items_found.alias("items"), F.coalesce("spans", empty).alias("spans"),
+        )
     rows = text_bytes(docs, id_col, text_col)
-    if size > broadcast_chars:
-        return _joined(docs, benchmark, id_col, text_col, item_col, item_text_col, n)
-    index = WindowSet([tuple(r) for r in items.collect()], n)
     schema = T.StructType([T.StructField(id_col, rows.schema[0].dataType), *T._parse_datatype_string(RESULT).fields])
-    return rows.mapInArrow(releasing(_scan(index, pa.field(id_col, pa.int64()))), schema)
+    return rows.mapInArrow(releasing(_scan(shared, pa.field(id_col, pa.int64()))), schema)
 
 
-def _joined(
-    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, n: int
-) -> DataFrame:
-    """The same result by a shuffle join on windows, for a benchmark too large to broadcast."""
-    words = lambda c: F.filter(
-        F.split(F.translate(F.coalesce(c.cast("string"), F.lit("")), UPPER, UPPER.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"),
-        lambda w: w != "",
-    )
-    grams = lambda w, k: F.transform(
-        F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - k + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct((i - 1).cast("long").alias("at"), F.array_join(F.slice(w, i, k), " ").alias("gram")),
-    )
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("w"))
-    items = items.where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(n)))
-    owned = (
-        items.select("item", "size", F.explode(grams(F.col("w"), F.col("size"))).alias("g"))
-        .groupBy(F.col("g.gram").alias("gram"), "size")
-        .agg(F.collect_set("item").alias("owners"))
+def _grams(words: Column, size: Column) -> Column:
+    return F.transform(
+        F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct((i - 1).cast("long").alias("at"), F.array_join(F.slice(words, i, size), " ").alias("gram")),
     )
+
+
+def _owned(items: DataFrame, n: int) -> DataFrame:
+    """(gram, size, owners): the windows of (item, text) rows, stored."""
+    worded = items.select("item", _words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("size", F.least(F.size("w"), F.lit(n)))
+    windows = worded.select("item", "size", F.explode(_grams(F.col("w"), F.col("size"))).alias("g"))
+    return stored(windows.groupBy(F.col("g.gram").alias("gram"), "size").agg(F.collect_set("item").alias("owners")))
+
+
+def _hits(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """(_row, items, spans, n_hit) of the rows (_row, text) that hold a window, by a shuffle join."""
     sizes = [r[0] for r in owned.select("size").distinct().collect()]  # at most n values
-    ids = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), words(F.col(text_col)).alias("w"))
-    seen = None
-    for k in sizes:
-        part = ids.select("_row", F.lit(k).alias("size"), F.explode(grams(F.col("w"), F.lit(k))).alias("g"))
-        part = part.select("_row", "size", "g.at", "g.gram")
-        seen = part if seen is None else seen.union(part)
-    empty = F.lit(hashlib.sha256(b"").hexdigest())
-    base = ids.select("_row", F.col("_id").alias(id_col), F.size("w").cast("long").alias("n_words"))
-    if seen is None:
-        none = F.array().cast("array<string>")
-        spans = F.array().cast("array<struct<first:bigint,last:bigint>>")
-        return base.select(
-            id_col, "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"),
-            empty.alias("items_sha256"), F.lit(False).alias("contaminated"), none.alias("items"), spans.alias("spans"),
-        )
+    worded = rows.select("_row", _words(F.col("text")).alias("w"))
+    placed = [worded.select("_row", F.lit(k).alias("size"), F.inline(_grams(F.col("w"), F.lit(k)))) for k in sizes]
+    if not placed:
+        return rows.sparkSession.createDataFrame([], "_row long, items array<string>, spans array<struct<first:bigint,last:bigint>>, n_hit long")
+    seen = reduce(DataFrame.union, placed)
     hits = seen.join(owned, ["gram", "size"]).groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"),
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("size") - 1).alias("last")))).alias("runs"),
@@ -209,18 +238,8 @@ def _joined(
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    found = hits.select("_row", "items", merged.alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
-    return base.join(found, "_row", "left").select(
-        id_col,
-        "n_words",
-        F.coalesce(n_hit, F.lit(0)).alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce(F.sha2(F.array_join("items", ","), 256), empty).alias("items_sha256"),
-        F.coalesce(F.size("spans") > 0, F.lit(False)).alias("contaminated"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"),
-    )
+    return hits.select("_row", "items", merged.alias("spans")).withColumn("n_hit", n_hit)
 
 
 def decontaminate(
@@ -232,24 +251,24 @@ def decontaminate(
     n: int = N,
     max_hit_share: float = 0.5,
     broadcast_chars: int = BROADCAST_CHARS,
+    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """The documents without benchmark text: hit spans are cut out; a document with more than
-    max_hit_share of its words hit, or with no words left after the cut, is removed.
+    max_hit_share of its words hit, or with all of them, is removed.
 
-    All columns stay. A cut takes the text from the first to the last hit word of a span. Needs a
-    benchmark within broadcast_chars.
+    All columns stay. A cut takes the text from the first to the last hit word of a span; what a cut brings together
+    may be a window again and is cut as well.
     """
-    items = text_bytes(benchmark, "item_id", "text")
-    size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    if size > broadcast_chars:
-        raise ValueError("cutting spans needs a benchmark within broadcast_chars; use find_overlaps and join")
-    index = WindowSet([tuple(r) for r in items.collect()], n)
+    items = _items(benchmark, "item_id", "text")
+    shared = _shared_set(items, n, broadcast_chars, broadcast_windows)
+    if shared is None:
+        return _cut_joined(docs, _owned(items, n), text_col, max_hit_share)
     small_batches(docs.sparkSession)
     cols = docs.columns
     place = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _scan(index, pa.field("row", pa.int64()))
+        scan = _scan(shared, pa.field("row", pa.int64()))
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             raw = [None if x is None else x.encode() for x in batch.column(place).to_pylist()]
             rows = pa.RecordBatch.from_arrays([pa.array(range(len(raw)), pa.int64()), pa.array(raw, pa.binary())], names=["row", "body"])
@@ -262,8 +281,8 @@ def decontaminate(
                         texts.append(None if body is None else body.decode())
                         continue
                     keep.append(hit <= max_hit_share * words and hit < words)
-                    while spans:  # what a cut brings together may be a window again
-                        body = _cut(body, spans)
+                    while spans:
+                        body = _cut(body, [(s["first"], s["last"]) for s in spans])
                         again = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([body], pa.binary())], names=["row", "body"])
                         spans = next(scan([again])).column(7).to_pylist()[0]
                     texts.append(body.decode())
@@ -274,7 +293,30 @@ def decontaminate(
     return docs.mapInArrow(releasing(run), docs.schema)
 
 
-def _cut(body: bytes, spans: list[dict]) -> bytes:
+def _cut_joined(docs: DataFrame, owned: DataFrame, text_col: str, max_hit_share: float) -> DataFrame:
+    """The same by joins: what was cut is searched again until nothing is found; each round has the cut documents only."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        return pd.Series([_cut(t.encode(), list(zip(a, b))).decode() for t, a, b in zip(texts, firsts, lasts)], index=texts.index)
+
+    todo = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")))
+    done, share = [], max_hit_share
+    while True:
+        found = stored(_hits(todo, owned).select("_row", "spans", "n_hit"))
+        done.append(todo.join(found, "_row", "left_anti"))
+        if found.isEmpty():
+            break
+        hit = todo.join(found, "_row")
+        if len(done) == 1:  # a document is judged by its whole text
+            words = F.size(_words(F.col("text")))
+            hit = hit.where((F.col("n_hit") <= share * words) & (F.col("n_hit") < words))
+        todo = stored(hit.select("_row", "row", cut("text", "spans.first", "spans.last").alias("text")))
+    new = F.col("row").withField(text_col, F.col("text").cast(docs.schema[text_col].dataType))
+    return reduce(DataFrame.union, done).select(new.alias("row")).select("row.*")
+
+
+def _cut(body: bytes, spans: list[tuple[int, int]]) -> bytes:
     flat = body.translate(WORD_BYTES)
     at, places = 0, []
     for word in flat.split():
@@ -282,9 +324,9 @@ def _cut(body: bytes, spans: list[dict]) -> bytes:
         places.append((at, at + len(word)))
         at += len(word)
     out, done = [], 0
-    for s in spans:
-        out.append(body[done : places[s["first"]][0]])
-        done = places[s["last"]][1]
+    for first, last in spans:
+        out.append(body[done : places[first][0]])
+        done = places[last][1]
     out.append(body[done:])
     return b"".join(out)
 

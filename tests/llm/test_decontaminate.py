@@ -1,5 +1,6 @@
 """Windows, cuts and the shuffle path against brute force."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -23,7 +24,7 @@ def brute(text, items):
             for p in range(len(w) - k + 1):
                 if tuple(w[p : p + k]) == g:
                     hit.update(range(p, p + k))
-                    found.add(str(i))
+                    found |= {str(i)} - {"None"}
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
@@ -31,9 +32,9 @@ def data():
     rng = random.Random(4)
     word = lambda: rng.choice("a b c d É é".split())
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 9, 10, 11, 14])))) for i in range(8)]
-    items += [(20, None), (21, " .. "), (3, "repeated id of other words in this item here now ok"), (22, "zebra"), (9, items[4][1])]
+    items += [(None, "b b a c c"), (None, "unnamed"), (20, None), (21, " .. "), (3, "repeated id of other words in this item here now ok"), (22, "zebra"), (9, items[4][1])]
     docs = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(40)]
-    docs += [(50, None), (51, ""), (52, "!!"), (53, "x, ".join(["repeated", "id", "of", "other", "words", "in", "this", "item", "here", "now", "ok"])), (None, "a ZEBRA!"), (52, "zebra")]
+    docs += [(50, None), (51, ""), (52, "!!"), (53, "x, ".join(["repeated", "id", "of", "other", "words", "in", "this", "item", "here", "now", "ok"])), (None, "a ZEBRA!"), (52, "zebra"), (55, "an unnamed one")]
     docs += [(54, "filler " * 30_000 + "zebra")]
     return docs, items
 
@@ -43,8 +44,8 @@ def test_both_paths_equal_brute_force(spark):
     d = spark.createDataFrame([(*x, "", 0) for x in docs], DOCS)
     b = spark.createDataFrame([(*x, 0) for x in items], ITEMS)
     want = sorted((str(i), *brute(t, items)) for i, t in docs)
-    for limit in (10**6, 0):
-        rows = find_overlaps(d, b, broadcast_chars=limit).collect()
+    for limits in ({}, {"broadcast_chars": 0}, {"broadcast_windows": 10}):
+        rows = find_overlaps(d, b, **limits).collect()
         assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows) == want
         assert all(sum(s.last - s.first + 1 for s in r.spans) == r.n_hit for r in rows)
     assert find_overlaps(d.limit(0), b).count() == 0 and find_overlaps(d, b.limit(0)).where("contaminated").count() == 0
@@ -56,8 +57,28 @@ def test_spans_are_cut_and_leaks_removed(spark):
     own = " ".join(f"own{i}" for i in range(20))
     rows = [(1, f"{own}. ONE, {leak[4:]} -- {own}"), (2, leak), (3, f"few {leak}"), (4, own), (5, None), (6, "one two three four five one " + leak[4:] + " six seven eight nine ten eleven " + own)]
     d = spark.createDataFrame([(*x, "", 0) for x in rows], DOCS)
-    out = decontaminate(d, spark.createDataFrame([(1, leak, 0)], ITEMS))
-    assert out.columns == d.columns
-    got = {r.doc_id: r.text for r in out.collect()}
-    assert got == {1: f"{own}.  -- {own}", 4: own, 5: None, 6: got[6]}
-    assert own in got[6] and "eleven" not in got[6]
+    for limits in ({}, {"broadcast_windows": 1}):
+        out = decontaminate(d, spark.createDataFrame([(1, leak, 0)], ITEMS), **limits)
+        assert out.columns == d.columns
+        got = {r.doc_id: r.text for r in out.collect()}
+        assert got == {1: f"{own}.  -- {own}", 4: own, 5: None, 6: got[6]}
+        assert own in got[6] and "eleven" not in got[6]
+
+
+def test_cuts_are_equal_on_both_paths(spark):
+    docs, items = data()
+    d = spark.createDataFrame([(*x, "", 0) for x in docs], DOCS)
+    b = spark.createDataFrame([(*x, 0) for x in items], ITEMS)
+    one, two = (sorted(map(str, decontaminate(d, b, max_hit_share=0.9, **x).collect())) for x in ({}, {"broadcast_chars": 0}))
+    assert one == two and len(one) > 5
+    kept = find_overlaps(decontaminate(d, b, max_hit_share=0.9), b)
+    assert kept.where("contaminated").count() == 0
+    assert decontaminate(d, b.limit(0), broadcast_windows=-1).count() == len(docs)
+
+
+def test_ids_that_are_not_whole_numbers(spark):
+    docs = spark.createDataFrame([(1, "alpha beta", "", 0), (2, "gamma", "", 0)], DOCS)
+    for ids, kind in (([True, False], "boolean"), ([0.1, 2.0], "double"), ([datetime.date(2024, 1, 2), None], "date")):
+        items = spark.createDataFrame([(ids[0], "alpha beta", 0), (ids[1], "gamma", 0)], ITEMS.replace("long", kind))
+        one, two = (sorted(map(str, find_overlaps(docs, items, **x).collect())) for x in ({}, {"broadcast_chars": 0}))
+        assert one == two
