@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 
@@ -53,12 +54,13 @@ TAGS = [
 ]
 TAG_OF = {t: i for i, tags in enumerate(TAGS) for t in tags}
 
+#: Outside quotes a tag ends before the next "<", so that what never ends is not read again from each of its starts.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^<>]*+>|<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)>", re.S
 )
 ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PIECE = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
-MARK = "\ue000"  # a private character: marks main text in training pages
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 def attribute_kinds(attrs: str) -> int:
@@ -76,10 +78,63 @@ def attribute_kinds(attrs: str) -> int:
     return bits
 
 
+class OpenTags:
+    """Open elements; the last place of each name is at hand, so that no look-up walks down the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = []  # name, the nearest node that is not inline, whether it is open
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of the elements that are not inline
+        self.push("html", 0)
+
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, node, True))
+
+    def last(self, name: str) -> int:
+        found = self.places.get(name)
+        return found[-1] if found else -1
+
+    def count(self, name: str) -> int:
+        return len(self.places.get(name, ()))
+
+    def cut(self, size: int) -> None:
+        """Close all but the first `size`; the root stays."""
+        while len(self.stack) > max(size, 1):
+            name, _, is_open = self.stack.pop()
+            if is_open:
+                self.places[name].pop()
+                if name not in INLINE:
+                    self.blocks.pop()
+
+    def close_inline(self, name: str) -> None:
+        """Close the last one of a name, if no block stands above it; those above stay open."""
+        at = self.last(name)
+        if at > self.blocks[-1]:
+            self.places[name].pop()
+            self.stack[at] = (name, self.stack[at][1], False)
+            while not self.stack[-1][2]:
+                self.stack.pop()
+
+    def close_up_to(self, names: set[str], bounds) -> None:
+        """Close the lowest of these names that no bound stands above, with all above it."""
+        bound = max(map(self.last, bounds))
+        while (at := max(map(self.last, names))) > bound and at > 0:
+            self.cut(at)
+
+
 class Page:
-    """Nodes in page order: elements that are not inline, and their runs of text as leaves."""
+    """Nodes in page order: elements that are not inline, and their runs of text as leaves.
 
-    def __init__(self, source: str) -> None:
+    marks are places of the source, in order: leaves with text from there are the main text of a training page.
+    """
+
+    def __init__(self, source: str, marks: list[int] | None = None) -> None:
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["html"]
         self.bits: list[int] = [0]
@@ -87,7 +142,7 @@ class Page:
         self.text: list[str | None] = [None]  # of leaves
         self.linked: list[int] = [0]
         self.main: list[bool] = [False]
-        self._read(source)
+        self._read(source, marks or [])
 
     def _node(self, parent: int, tag: str, bits: int) -> int:
         self.parent.append(parent)
@@ -99,39 +154,33 @@ class Page:
         self.main.append(False)
         return len(self.parent) - 1
 
-    def _read(self, source: str) -> None:
-        open_tags: list[tuple[str, int]] = [("html", 0)]  # name, and the nearest node that is not inline
+    def _read(self, source: str, marks: list[int]) -> None:
+        tags = OpenTags()
         run: list[str] = []
-        links, hidden_links = 0, []
-        at = 0
+        marked, linked = False, 0
 
         def flush() -> None:
-            nonlocal links
+            nonlocal marked, linked
             if run:
-                words = html.unescape("".join(run)).split()
-                text = " ".join(words)
-                if text.replace(MARK, ""):
-                    leaf = self._node(open_tags[-1][1], "#text", 0)
-                    self.main[leaf] = MARK in text
-                    self.text[leaf] = " ".join(text.replace(MARK, "").split())
-                    self.linked[leaf] = sum(hidden_links)
+                text = " ".join(html.unescape("".join(run)).split())
+                if text:
+                    leaf = self._node(tags.node(), "#text", 0)
+                    self.main[leaf], self.text[leaf], self.linked[leaf] = marked, text, linked
                 run.clear()
-            hidden_links.clear()
+            marked, linked = False, 0
 
         skip_to = None
         pos, size = 0, len(source)
         while pos < size:
             m = TAG.search(source, pos)
+            start = size if m is None else m.start()
+            if start > pos and skip_to is None:
+                run.append(source[pos:start])
+                marked |= bisect_left(marks, pos) < bisect_left(marks, start)
+                if tags.count("a"):
+                    linked += start - pos
             if m is None:
-                if not any(t in SKIPPED for t, _ in open_tags):
-                    run.append(source[pos:])
                 break
-            if m.start() > pos:
-                piece = source[pos : m.start()]
-                if skip_to is None:
-                    run.append(piece)
-                    if links:
-                        hidden_links.append(len(piece))
             pos = m.end()
             name = m[2] or m[5]
             if name is None:
@@ -152,70 +201,40 @@ class Page:
                 if name in SKIPPED and not attrs.endswith("/"):
                     flush() if name not in ("svg", "math", "button", "select") else run.append(" ")
                     if name in ("select", "textarea", "button"):
-                        self.inputs[open_tags[-1][1]] += 1
+                        self.inputs[tags.node()] += 1
                     if name in RAW:
-                        end = re.compile(rf"</{name}\s*>", re.I).search(source, pos)
+                        end = ENDS[name].search(source, pos)
                         pos = end.end() if end else size
                     else:
                         skip_to = (name, 1)
                     continue
                 if name in INLINE or name in VOID:
-                    if name in ("br", "img", "input", "wbr") and name != "wbr":
+                    if name in ("br", "img", "input"):
                         run.append(" ")
                     if name == "hr":
                         flush()
                     if name == "input":
-                        self.inputs[open_tags[-1][1]] += 1
-                    if name == "a":
-                        links += 1
+                        self.inputs[tags.node()] += 1
                     if name not in VOID and not attrs.endswith("/"):
-                        open_tags.append((name, open_tags[-1][1]))
+                        tags.push(name, tags.node())
                     continue
                 flush()
-                if name in CLOSES:
-                    names, bounds = CLOSES[name]
-                    self._close(open_tags, names, bounds)
-                else:
-                    self._close(open_tags, {"p"}, P_BOUNDS)
-                links = sum(t == "a" for t, _ in open_tags)
-                if name == "html":
+                tags.close_up_to(*CLOSES.get(name, ({"p"}, P_BOUNDS)))
+                if name == "html" or (name == "body" and tags.count("body")):
                     continue
-                if name == "body" and any(t == "body" for t, _ in open_tags):
-                    continue
-                node = self._node(open_tags[-1][1], name, attribute_kinds(attrs) if attrs else 0)
+                node = self._node(tags.node(), name, attribute_kinds(attrs) if attrs else 0)
                 if not attrs.endswith("/"):
-                    open_tags.append((name, node))
+                    tags.push(name, node)
                 continue
-            if name in ("html", "body"):
+            if name in ("html", "body") or not tags.count(name):
                 continue
-            if any(t == name for t, _ in open_tags):
-                if name not in INLINE:
-                    flush()
-                    while open_tags[-1][0] != name:
-                        open_tags.pop()
-                    open_tags.pop()
-                else:  # an inline end tag closes inline elements only
-                    for k in range(len(open_tags) - 1, 0, -1):
-                        if open_tags[k][0] == name:
-                            del open_tags[k]
-                            break
-                        if open_tags[k][0] not in INLINE:
-                            break
-                links = sum(t == "a" for t, _ in open_tags)
-                if not open_tags:
-                    open_tags.append(("html", 0))
+            if name in INLINE:  # an inline end tag closes inline elements only
+                tags.close_inline(name)
+            else:
+                flush()
+                tags.cut(tags.last(name))
         flush()
 
-    @staticmethod
-    def _close(open_tags: list[tuple[str, int]], names: set[str], bounds) -> None:
-        for k in range(len(open_tags) - 1, 0, -1):
-            if open_tags[k][0] in names:
-                del open_tags[k:]
-                return Page._close(open_tags, names, bounds)
-            if open_tags[k][0] in bounds:
-                return None
-        return None
-
 
 FEATURES = (
     ["leaf", "depth", "log_chars", "link_share", "tag_density", "mean_block", "punctuation", "page_share", "before", "siblings", "sibling_mean", "of_largest",

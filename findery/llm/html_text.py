@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,11 @@ from pyspark.sql import types as T
 
 from . import gbt
 from .common import releasing, small_batches, table
-from .dom import MARK, Page, decode, features
+from .dom import Page, decode, features
 
 #: Pages that train the model at most, and re-renderings of each.
 TRAIN_PAGES, RENDERINGS = 240, 4
-#: Code points of a training page that are used at most; extraction reads whole pages.
+#: Longer pages are drawn for training only where there are too few others. Whole pages train, whole pages are read.
 TRAIN_CHARS = 40_000
 #: Elements whose markup says what they hold.
 MAIN_TAGS, OTHER_TAGS = {"article", "main"}, {"nav", "header", "footer", "aside", "form"}
@@ -92,14 +93,15 @@ def _boilerplate(rng: random.Random, what: str, words: list[str]) -> str:
     return _wrap(kind, inner)
 
 
-def render(rng: random.Random, blocks: list[str]) -> str:
-    """One page of the given main blocks, marked, among drawn boilerplate."""
+def render(rng: random.Random, blocks: list[str]) -> tuple[str, list[int]]:
+    """One page of the given main blocks among drawn boilerplate, and the places where a main block's text begins."""
     words = " ".join(blocks).split() or ["text"]
+    sign = next(c for c in map(chr, range(0xE000, 0xF900)) if not any(c in b for b in blocks))  # stands at the places until the page is whole
     some = blocks[: rng.randint(1, len(blocks))] if blocks else []
     drawn = lambda i: [_boilerplate(rng, k, words) for k, p in PLACES.items() if rng.random() < p[i]]
     parts = []
     for i, block in enumerate(some):
-        text = MARK + html.escape(block, quote=False)
+        text = sign + html.escape(block, quote=False)
         if rng.random() < 0.15:
             text = f'{text[: len(text) // 2]}<a href="/x">{text[len(text) // 2 :]}</a>' if rng.random() < 0.3 else f"<b>{text}</b>"
         tag = "h1" if i == 0 and rng.random() < 0.6 else rng.choice(["p"] * 12 + ["h2", "li", "blockquote", "div", "pre"])
@@ -116,7 +118,9 @@ def render(rng: random.Random, blocks: list[str]) -> str:
     if rng.random() < 0.5:
         main = _wrap(rng.choice([("div", 'class="wrapper"'), ("div", 'id="page"'), ("div", ""), ("section", 'class="row"'), ("div", 'class="container main"')]), main + "".join(after[: len(after) // 2]))
         after = after[len(after) // 2 :]
-    return f"<html><head><title>{html.escape(words[0])}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    whole = f"<html><head><title>{html.escape(words[0])}</title></head><body>{''.join(before)}{main}{''.join(after)}</body></html>"
+    pieces = whole.split(sign)
+    return "".join(pieces), list(accumulate(map(len, pieces[:-1])))
 
 
 def own_blocks(page: Page) -> list[str] | None:
@@ -148,14 +152,14 @@ def train(sources: list[str], seed: int = 11) -> gbt.Trees | None:
     rng = random.Random(seed)
     parts = []
     for source in sources:
-        page = Page(source[:TRAIN_CHARS])
+        page = Page(source)
         blocks = own_blocks(page)
         if blocks:
             parts.append(labelled(page))
         else:
             blocks = [t for t in page.text if t]
         for _ in range(RENDERINGS if blocks else 0):
-            parts.append(labelled(Page(render(rng, [b[:2000] for b in blocks[:40]]))))
+            parts.append(labelled(Page(*render(rng, blocks))))
     if not parts:
         return None
     return gbt.fit(*(np.concatenate(x) for x in zip(*parts)))
@@ -175,10 +179,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     small_batches(pages.sparkSession)
     source = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), source.alias("html"))
-    # the sample: the pages with the smallest hashes of their ids
-    chosen = [r[0] for r in rows.select("page").orderBy(F.xxhash64("page"), "page").limit(train_pages).collect()]
-    sample = rows.where(F.col("page").isin([c for c in chosen if c is not None])).select("page", F.substring("html", 1, TRAIN_CHARS))
-    sources = [r[1] for r in sorted(sample.limit(train_pages).collect())]
+    # the sample: of the pages up to TRAIN_CHARS, and then of the shortest others, those with the smallest hashes of their ids
+    order = [F.greatest(F.length("html"), F.lit(TRAIN_CHARS)), F.xxhash64("page"), F.xxhash64("html")]
+    sources = [r[0] for r in rows.orderBy(*order).select("html").limit(train_pages).collect()]
     trees = train(sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

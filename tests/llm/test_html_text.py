@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -41,7 +42,8 @@ def test_held_out_templates(sources):
     rng = random.Random(5)
     right = wrong = missed = 0
     for i in order[120:]:
-        page = Page(source := render(rng, own_blocks(Page(sources[i]))))
+        source, marks = render(rng, own_blocks(Page(sources[i])))
+        page = Page(source, marks)
         want = Counter(t for t, m in zip(page.text, page.main) if m)
         got = Counter(main_texts(trees, [source])[0].split("\n"))
         right += (want & got).total()
@@ -57,6 +59,8 @@ def test_reading():
     )
     assert [t for t in page.text if t] == ["One & two three", "Four five six", "a", "b", "c", "d", "tail", "end<p"]
     assert [t for t in Page("plain <text").text if t] == ["plain <text"]
+    assert [t for t in Page("a\ue000b<p>\ue000").text if t] == ["a\ue000b", "\ue000"]
+    assert [t for t in Page("<b><i>x</b>y</i><a href='u<v'>z</a><br a=<p>w").text if t] == ["xyz<br a=", "w"]
     assert [t for t in Page("<div>" * 3000 + "deep" + "</span></p></div>" * 3000 + "x").text if t] == ["deep", "x"]
 
 
@@ -86,3 +90,18 @@ def test_odd_rows(spark, sources):
     assert sorted((str(r.page_id), r.n_chars) for r in got if r.page_id) == [("1", 0), ("2", 0), ("4", 0), ("4", 0)]
     assert extract(df.limit(0)).count() == 0
     assert extract(df.where("page_id <= 2")).count() == 2
+
+
+def test_marks_lie_beside_the_text(sources):
+    rng = random.Random(2)
+    for block in ("plain \ue000 text", "other & text"):
+        source, marks = render(rng, [block, "second block"])
+        page = Page(source, marks)
+        assert " ".join(t for t, m in zip(page.text, page.main) if m).split() == f"{block} second block".split()
+
+
+@pytest.mark.parametrize("source", ["<a " * 100_000, "<div>" * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<p><table><td>" + "<div>" * 100_000, "<a \"" * 100_000, "<a>x<div>" * 50_000, "<!" * 100_000])
+def test_broken_pages_are_read_in_linear_time(source):
+    start = time.process_time()
+    Page(source)
+    assert time.process_time() - start < 4
