@@ -2,7 +2,7 @@
 
 Output: P(word | h) = P(class | h) P(word | class, h) for words of the head; a word outside the head has a class
 for itself and its like, and the model gives the class alone. Documents lie one after another in parallel
-streams; the state is carried over windows and cleared where a document starts.
+streams; the state is carried over windows, in training and scoring alike, and cleared where a document starts.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ import numpy as np
 
 #: Width of embedding and state, steps in a window, words in a head class, streams at most.
 WIDTH, STEPS, CLASS_WORDS, STREAMS = 12, 32, 32, 512
-#: In training a document goes on in another stream, with a cleared state, after so many tokens; in scoring never.
-TRAIN_RUN = 4096
 RATE, CLIP = 0.15, 1.0
 
 
@@ -212,7 +210,6 @@ class Model:
 
     def train(self, docs: list[np.ndarray]) -> None:
         h = None
-        docs = [d[at : at + TRAIN_RUN] for d in docs for at in range(0, len(d), TRAIN_RUN)]
         for given, targets, index in streams(docs, self.end):
             h = np.zeros((WIDTH, given.shape[1]), np.float32) if h is None else h
             h = self.learn(given, targets, index, h)

@@ -8,7 +8,8 @@ weighted by tokens and computed by Spark; (4) every document is scored in one pa
 first token to its end; (5) the counts of words outside a bounded dictionary come from a join.
 
 As in the base, all words unseen in training are one symbol in each class. Reaches the driver: the dictionary,
-the statistics of the classes and the parameters, all of fixed size.
+the statistics of the classes and the parameters, all of fixed size. Copies are trained on what Spark puts in a task, so
+scores depend, a little, on how the input is partitioned; the counts and the base do not.
 
 Defined results: a null or empty text is its end token alone; without training documents counts are zero and the
 model is its start; repeated rows give one result each (as training documents each counts); null ids are held
