@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEXEMES = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())]))
 WORD = re.compile(r"[^\W_]+")
 
 #: The stop words of English.
@@ -134,9 +133,22 @@ def lexemes(text: str | None, stemmed: bool = True) -> list[tuple[str, int]] | N
     return [(stem(w), i) for i, w in words if w not in STOP_WORDS]
 
 
-@F.pandas_udf(LEXEMES)
-def english_lexemes(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else [{"lexeme": x, "pos": i} for x, i in lexemes(t)])
+@F.pandas_udf(T.ArrayType(T.StringType()))  # built without a session
+def _stems(words: pd.Series) -> pd.Series:
+    """Only the words of a row that are no stop words come here, and only their stems go back."""
+    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+
+
+#: Kept apart from what is made of it: merged into a later expression it would run once for each use.
+_stems_once = _stems.asNondeterministic()
+
+
+def english_lexemes(text):
+    """array<struct<lexeme,pos>>: splitting, stop words and positions are expressions, stemming alone is Python."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos")))
+    kept = F.filter(placed, lambda x: ~x["word"].isin(sorted(STOP_WORDS)))
+    return F.zip_with(kept, _stems_once(F.transform(kept, lambda x: x["word"])), lambda k, s: F.struct(s.alias("lexeme"), k["pos"].alias("pos")))
 
 
 def plain_lexemes(text):

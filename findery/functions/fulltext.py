@@ -1,4 +1,4 @@
-"""Full-text queries: web-style parsing, matching as columns, and cover-density rank as a pandas UDF."""
+"""Full-text queries: web-style parsing, matching of stored lexemes as columns, and cover-density rank of what matches."""
 
 from __future__ import annotations
 
@@ -125,31 +125,3 @@ def rank(node: Node) -> Callable[[Column], Column]:
         return entries.map(lambda xs: 0.0 if xs is None else cover_density([(x["pos"], x["lexeme"]) for x in xs], node))
 
     return lambda tsv: ranked(F.filter(tsv, lambda x: x["lexeme"].isin(wanted)))
-
-
-def _found(node: Node, seen: dict[str, set[int]]) -> bool:
-    """Whether a whole text matches: here a negation counts."""
-    if node.kind == "not":
-        return not _found(node.parts[0], seen)
-    if node.kind in ("and", "or"):
-        return (all if node.kind == "and" else any)(_found(p, seen) for p in node.parts)
-    return _holds(node, seen)
-
-
-def text_rank(text: str | None, node: Node, stemmed: bool = True) -> float | None:
-    """Cover density of a text; None if it does not match."""
-    entries = [(p, w) for w, p in lexemes(text or "", stemmed)]
-    seen: dict[str, set[int]] = {}
-    for entry in entries:
-        _grown(seen, entry)
-    return cover_density(entries, node) if _found(node, seen) else None
-
-
-def rank_text(node: Node, stemmed: bool = True) -> Callable[[Column], Column]:
-    """Rank straight from text, null without a match: one crossing to Python where no lexemes are stored."""
-
-    @F.pandas_udf("double")
-    def ranked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: text_rank(t, node, stemmed)).astype("float64")
-
-    return ranked

@@ -19,13 +19,24 @@ from .filters import live
 
 
 class Embedder(Protocol):
+    """model names what embed would use; embed_named also tells what it has used, which a fallback may change by batch."""
+
     model: str
     dimensions: int
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
+    def embed_named(self, texts: list[str]) -> tuple[str, list[list[float]]]: ...
+
+
+class Named:
+    """embed_named for an embedder of one model."""
 
-class HashingEmbedder:
+    def embed_named(self, texts: list[str]) -> tuple[str, list[list[float]]]:
+        return self.model, self.embed(texts)
+
+
+class HashingEmbedder(Named):
     """Words hashed to signed dimensions, normalised: deterministic and without a model file."""
 
     def __init__(self, dimensions: int = 64) -> None:
@@ -43,7 +54,7 @@ class HashingEmbedder:
         return out
 
 
-class ApiEmbedder:
+class ApiEmbedder(Named):
     """A remote model behind an HTTP API that takes {model, input} and returns {data: [{index, embedding}]}."""
 
     timeout = 30
@@ -71,8 +82,13 @@ class Fallback:
         if force_local and remote and remote.model != local.model:
             raise ValueError("the local model may be forced only in place of the same model")
         self.remote, self.local, self.force_local = remote, local, force_local
+        first = local if force_local or not remote else remote
+        self.model, self.dimensions = first.model, first.dimensions
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.embed_named(texts)[1]
 
-    def embed(self, texts: list[str]) -> tuple[str, list[list[float]]]:
+    def embed_named(self, texts: list[str]) -> tuple[str, list[list[float]]]:
         if self.remote and not self.force_local:
             try:
                 batches = [texts[i : i + EMBED_BATCH] for i in range(0, len(texts), EMBED_BATCH)]
@@ -94,21 +110,39 @@ def retried(call: Callable, attempts: int = 3, sleep: Callable[[float], None] =
 
 
 class EmbeddingCache:
-    """Vectors by model and text for a day; only what is missing is computed, in one call, order kept."""
+    """Vectors by model and text for a day; only what is missing is computed, in one call, order kept.
+
+    An embedder itself, for the queries of a driver: search(..., embed=cache.one). What another model than the expected
+    one makes is not held, and nothing held is mixed with it. The oldest vectors go when there are too many.
+    """
 
-    def __init__(self, embedder: Embedder, clock: Callable[[], float], ttl: int = EMBED_TTL) -> None:
-        self.embedder, self.clock, self.ttl = embedder, clock, ttl
+    def __init__(self, embedder: Embedder, clock: Callable[[], float] = time.time, ttl: int = EMBED_TTL, most: int = 100_000) -> None:
+        self.embedder, self.clock, self.ttl, self.most = embedder, clock, ttl, most
+        self.model, self.dimensions = embedder.model, embedder.dimensions
         self.held: dict[str, tuple[float, list[float]]] = {}
 
     def key(self, text: str) -> str:
         return hashlib.sha256(f"{self.embedder.model}\0{text}".encode()).hexdigest()
 
     def embed(self, texts: list[str]) -> list[list[float]]:
+        return self.embed_named(texts)[1]
+
+    def embed_named(self, texts: list[str]) -> tuple[str, list[list[float]]]:
         now = self.clock()
         missing = list(dict.fromkeys(t for t in texts if self.held.get(self.key(t), (0,))[0] <= now))
-        for text, vector in zip(missing, self.embedder.embed(missing) if missing else []):
+        model, vectors = self.embedder.embed_named(missing) if missing else (self.model, [])
+        if model != self.model:
+            return (model, vectors) if missing == texts else self.embedder.embed_named(texts)
+        for text, vector in zip(missing, vectors):
+            self.held.pop(self.key(text), None)
             self.held[self.key(text)] = (now + self.ttl, vector)
-        return [self.held[self.key(t)][1] for t in texts]
+        given = [self.held[self.key(t)][1] for t in texts]
+        for key in list(self.held)[: max(0, len(self.held) - self.most)]:
+            del self.held[key]
+        return model, given
+
+    def one(self, text: str) -> list[float]:
+        return self.embed([text])[0]
 
 
 def embed_text():
@@ -125,17 +159,28 @@ def pending(projects: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def embed_pending(projects: DataFrame, embeddings: DataFrame, embedder: Embedder, now) -> DataFrame:
-    """Rows to add to the embeddings."""
+    """Rows to put into the embeddings; each batch is marked with the model that made it."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("model string, embedding array<float>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [v for i in range(0, len(texts), EMBED_BATCH) for v in embedder.embed(texts.iloc[i : i + EMBED_BATCH].tolist())]
-            yield pd.Series(found, index=texts.index)
+            rows = []
+            for i in range(0, len(texts), EMBED_BATCH):
+                model, found = embedder.embed_named(texts.iloc[i : i + EMBED_BATCH].tolist())
+                rows += [(model, v) for v in found]
+            yield pd.DataFrame(rows, columns=["model", "embedding"], index=texts.index)
 
     at = F.lit(now).cast("timestamp")
-    rows = pending(projects, embeddings).withColumn("embedding", vectors("text"))
-    return rows.select("project_id", "embedding", F.lit(embedder.model).alias("model"), at.alias("created_at"), at.alias("updated_at"))
+    rows = pending(projects, embeddings).withColumn("made", vectors("text"))
+    return rows.select("project_id", "made.embedding", "made.model", at.alias("created_at"), at.alias("updated_at"))
+
+
+def upsert_embeddings(embeddings: DataFrame, made: DataFrame) -> DataFrame:
+    """The next embeddings: made replaces what a project has, but for its created_at; the rest stays. made names a project once."""
+    kept = embeddings.join(made.select("project_id"), "project_id", "left_anti")
+    before = embeddings.select("project_id", F.col("created_at").alias("_since"))
+    new = made.join(before, "project_id", "left").withColumn("created_at", F.coalesce("_since", "created_at"))
+    return kept.select(*made.columns).union(new.select(*made.columns))
 
 
 def with_parent(embeddings: DataFrame, projects: DataFrame) -> DataFrame:

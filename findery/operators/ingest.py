@@ -8,7 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import with_repository
+from ..functions.english import english_lexemes
+from ..functions.text import search_text, with_repository
 from ..schema import PROJECTS
 
 COLUMNS_A = [
@@ -23,7 +24,17 @@ class DuplicateKey(ValueError):
     """A feed names a project twice."""
 
 
+def with_lexemes(rows: DataFrame, stale: Column | None = None) -> DataFrame:
+    """rows with tsv, the lexemes of their search text; made anew only where stale, if that is given."""
+    if stale is None:
+        return rows.withColumn("tsv", english_lexemes(search_text()))
+    # a null text costs nothing in Python
+    made = english_lexemes(F.when(stale, search_text()))
+    return rows.withColumn("tsv", F.when(stale, made).otherwise(F.col("tsv")))
+
+
 def check_keys(feed: DataFrame) -> None:
+    """Every function that takes a feed does this once, unless it is told that it was done."""
     twice = feed.groupBy("airtable_id").count().where("count > 1").select("airtable_id").first()
     if twice:
         raise DuplicateKey(f"{twice[0]} is in the feed more than once")
@@ -40,12 +51,17 @@ def numbered(rows: DataFrame, start: Column, key: str) -> DataFrame:
     return placed.withColumn("id", (start + F.col("_before") + F.col("_rank")).cast("int")).drop("_block", "_rank", "_before")
 
 
-def upsert(projects: DataFrame, feed: DataFrame, columns: list[str], now, insert_only: tuple[str, ...] = ()) -> DataFrame:
+def upsert(
+    projects: DataFrame, feed: DataFrame, columns: list[str], now, insert_only: tuple[str, ...] = (), checked: bool = False
+) -> DataFrame:
     """The next snapshot with a column `changed`: inserted rows, and rows where a column differs or a tombstone falls.
 
-    Rows that do not change keep their updated_at. insert_only columns are written for new rows alone.
+    Rows that do not change keep their updated_at and lexemes. insert_only columns are written for new rows alone.
     """
-    check_keys(feed)
+    if not checked:
+        check_keys(feed)
+    if "tsv" not in projects.columns:  # a table from before lexemes were stored: all are made now
+        projects = projects.withColumn("tsv", F.lit(None).cast(PROJECTS["tsv"].dataType))
     at = F.lit(now).cast("timestamp")
     new = feed.select(F.col("airtable_id").alias("_key"), *[F.col(c).alias(f"_{c}") for c in [*columns, *insert_only]])
     both = projects.join(new, projects["airtable_id"] == F.col("_key"), "left")
@@ -62,21 +78,22 @@ def upsert(projects: DataFrame, feed: DataFrame, columns: list[str], now, insert
     defaults = {"github_stars": F.lit(0), "created_at": at, "updated_at": at}
     fresh = fresh.withColumns({f.name: defaults.get(f.name, F.lit(None)).cast(f.dataType) for f in PROJECTS if f.name not in have})
     names = [f.name for f in PROJECTS]
-    out = kept.select(*names, "changed").union(fresh.select(*names, F.lit(True).alias("changed")))
-    return with_repository(out).select(*names, "changed")
+    out = with_repository(kept.select(*names, "changed").union(fresh.select(*names, F.lit(True).alias("changed"))))
+    return with_lexemes(out, F.col("changed") | F.col("tsv").isNull()).select(*names, "changed")
 
 
-def upsert_a(projects: DataFrame, feed: DataFrame, now) -> DataFrame:
-    return upsert(projects, feed, COLUMNS_A, now, insert_only=("media_url",))
+def upsert_a(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
+    return upsert(projects, feed, COLUMNS_A, now, insert_only=("media_url",), checked=checked)
 
 
-def upsert_b(projects: DataFrame, feed: DataFrame, now) -> DataFrame:
-    return upsert(projects, feed, COLUMNS_B, now)
+def upsert_b(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
+    return upsert(projects, feed, COLUMNS_B, now, checked=checked)
 
 
-def update_media(projects: DataFrame, feed: DataFrame, now) -> DataFrame:
+def update_media(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
     """media_url as the feed has it, null too, for the projects it names."""
-    check_keys(feed)
+    if not checked:
+        check_keys(feed)
     new = feed.select(F.col("airtable_id").alias("_key"), F.col("media_url").alias("_media"))
     both = projects.join(new, projects["airtable_id"] == F.col("_key"), "left")
     changed = F.col("_key").isNotNull() & ~F.col("media_url").eqNullSafe(F.col("_media"))
@@ -116,7 +133,7 @@ def apply_feed_a(projects: DataFrame, feed: DataFrame, now, **how) -> DataFrame:
 
 def apply_feed_b(projects: DataFrame, feed: DataFrame, now, **how) -> DataFrame:
     one = upsert_b(projects, feed, now).withColumnRenamed("changed", "_first")
-    two = _either(update_media(one, feed, now)).withColumnRenamed("changed", "_first")
+    two = _either(update_media(one, feed, now, checked=True)).withColumnRenamed("changed", "_first")
     return _either(soft_delete(two, feed, now, **how))
 
 

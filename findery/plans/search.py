@@ -8,10 +8,10 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fulltext
+from ..functions import english, fulltext
 from ..functions.text import search_text, with_search_columns
 from ..operators import scoring
 from ..operators.filters import Envelope, envelope, live, page_of, user_predicate
@@ -51,8 +51,11 @@ def caps(limit: int) -> dict[str, int]:
     return {k: min(max(times * limit, least), most) for k, (times, least, most) in CAPS.items()}
 
 
-def top(df: DataFrame, score: str, cap: int) -> DataFrame:
-    return df.orderBy(F.col(score).desc(), F.col("id")).limit(cap)
+def lexemes(projects: DataFrame, stemmed: bool = True):
+    """The stored lexemes, or where a table has none (a fixture, a plain search) those of its text."""
+    if not stemmed:
+        return english.plain_lexemes(search_text())
+    return F.col("tsv") if "tsv" in projects.columns else english.english_lexemes(search_text())
 
 
 def lexical_scores(projects: DataFrame, parsed: Parsed, stemmed: bool = True, branches=BRANCHES) -> DataFrame:
@@ -70,12 +73,17 @@ def lexical_scores(projects: DataFrame, parsed: Parsed, stemmed: bool = True, br
     phrase = scoring.phrase_score(phrases)
     rows = rows.withColumn("_phrase", none if phrase is None else phrase)
     worded = mine & F.coalesce(F.col("_phrase") > 0, F.lit(False))
-    rank = fulltext.rank_text(node, stemmed)(search_text()) if node is not None else none
-    rows = rows.withColumn("_rank", rank).withColumn("_hit", mine & F.col("_rank").isNotNull())
+    if node is not None:
+        rows = rows.withColumn("_tsv", lexemes(projects, stemmed))
+        rows = rows.withColumn("_hit", mine & F.coalesce(fulltext.matches(F.col("_tsv"), node), F.lit(False)))
+    else:
+        rows = rows.withColumn("_hit", F.lit(False))
     rows = rows.where(F.col("_hit") | near | worded)
+    # only what was found is ranked, and of it only the query's words
+    rank = fulltext.rank(node)(F.when(F.col("_hit"), F.col("_tsv"))) if node is not None else none
     return rows.select(
         "id",
-        F.when(F.col("_hit"), F.col("_rank")).alias("fts"),
+        F.when(F.col("_hit"), rank).alias("fts"),
         F.when(worded, F.col("_phrase")).alias("phrase"),
         F.when(mine & near, scoring.literal_score(raw)).alias("literal"),
         F.when(near, F.col("_trigram")).alias("trigram"),
@@ -94,21 +102,21 @@ def candidates(
 ) -> DataFrame:
     """id and the five scores of every row that survives a branch's cap; 0 where a branch has not got it."""
     most = caps(limit)
-    lexical = lexical_scores(projects, parsed, stemmed, branches).persist()  # rows with a score, and five numbers each
-    parts = [
-        top(lexical.where(F.col(b).isNotNull()).select("id", F.lit(b).alias("branch"), F.col(b).alias("score")), "score", most[b])
-        for b in ("fts", "phrase", "literal", "trigram") if b in branches
-    ]
+    lexical = lexical_scores(projects, parsed, stemmed, branches)
+    chosen = [b for b in BRANCHES if b != "semantic" and b in branches] or ["fts"]
+    scored = lexical.select("id", F.inline(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(b).alias("score")) for b in chosen]))).where("score IS NOT NULL")
+    # one scan for all branches: each task keeps its best of a branch before anything moves
+    place = F.row_number().over(Window.partitionBy("branch").orderBy(F.col("score").desc(), "id"))
+    ranked = scored.withColumn("place", place).where(F.col("place") <= max(most[b] for b in chosen))
+    cap = F.create_map(*[F.lit(x) for b in chosen for x in (b, most[b])])
+    every = ranked.where(F.col("place") <= cap[F.col("branch")]).select("id", "branch", "score")
     if vector is not None and embeddings is not None and "semantic" in branches:
         close = nearest(embeddings, vector, most["semantic"])
         shown = live(projects).where(F.length("description") > SHOW_LETTERS)
         if parsed.user:
             shown = shown.where(user_predicate(parsed.user))
         close = close.join(shown.select("id"), "id", "left_semi")
-        parts.append(close.select("id", F.lit("semantic").alias("branch"), scoring.semantic_score(F.col("distance")).alias("score")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+        every = every.union(close.select("id", F.lit("semantic").alias("branch"), scoring.semantic_score(F.col("distance")).alias("score")))
     # one aggregation in place of five joins
     score = lambda b: F.coalesce(F.max(F.when(F.col("branch") == b, F.col("score"))), F.lit(0.0)).alias(b)
     found = every.groupBy("id").agg(*[score(b) for b in BRANCHES])
@@ -126,9 +134,9 @@ def fused(scores: DataFrame, w: dict[str, float]) -> DataFrame:
         + F.col("semantic") * w["semantic"]
         + F.col("trigram") * w["trigram"]
     )
-    scored = scores.withColumn("raw", raw)
-    best = scored.agg(F.max("raw")).scalar()
-    return scored.withColumn("best", best).withColumn("score", F.when(F.col("best") > 0, F.try_divide("raw", "best")).otherwise(0.0)).drop("best")
+    whole = Window.partitionBy()  # of candidates, which are no more than the caps' sum
+    scored = scores.withColumn("raw", raw).withColumn("best", F.max("raw").over(whole))
+    return scored.withColumn("score", F.when(F.col("best") > 0, F.try_divide("raw", "best")).otherwise(0.0)).drop("best")
 
 
 def search(
@@ -143,11 +151,12 @@ def search(
         return user_search(projects, parsed.user, limit, page)
     w = weights(fts, semantic, trigram)
     vector = embed(parsed.embed) if embed else None
-    # at most the caps' sum of rows, read more than once below
-    scored = fused(candidates(projects, embeddings, parsed, vector, size, branches, stemmed), w).persist()
-    rows = live(projects).join(F.broadcast(scored.select("id", "raw", "score")), "id")
+    # at most the caps' sum of rows
+    scored = fused(candidates(projects, embeddings, parsed, vector, size, branches, stemmed), w)
+    scored = scored.withColumn("total", F.count("*").over(Window.partitionBy()))
+    rows = live(projects).join(F.broadcast(scored.select("id", "raw", "score", "total")), "id")
     shown = rows.orderBy(F.col("raw").desc(), F.col("approved_at").desc_nulls_last(), F.col("id")).offset(offset).limit(size)
-    return shown.select(*PUBLIC, "score").withColumn("total", scored.agg(F.count("*")).scalar())
+    return shown.select(*PUBLIC, "score", "total")
 
 
 @dataclass(frozen=True)

@@ -188,21 +188,21 @@ def semantic_similarity_gated(p, spark, sf_dir):
 # fusion
 
 
-def fusion_sql(raw: str, phrases: list[str], limit: int, user: str | None, final: str) -> str:
-    """Four branches (no full text) with caps and default weights; `final` reads fused(id, ..., raw, score)."""
+def fusion_sql(raw: str, phrases: list[str], limit: int, user: str | None, final: str, rank: str | None = None) -> str:
+    """The branches, with full text where its rank is given, with caps and default weights; `final` reads fused(id, ..., raw, score)."""
     most = hybrid.caps(limit)
     mine = _user_sql(user) if user else "true"
-    s = f"s AS (SELECT *, {trigram_sql(raw)} AS tri, {literal_sql(raw)} AS lit, {phrase_sql(phrases) if phrases else '0.0'} AS phr, {mine} AS mine FROM {_SEARCHED})"
+    s = f"s AS (SELECT *, {trigram_sql(raw)} AS tri, {literal_sql(raw)} AS lit, {phrase_sql(phrases) if phrases else '0.0'} AS phr, {mine} AS mine, {rank or 'NULL'} AS ft FROM {_SEARCHED})"
     cut = lambda c, where, n: f"(SELECT id, {c} AS score FROM s WHERE {where} ORDER BY {c} DESC, id LIMIT {n})"
-    semantic = _SEMANTIC + (f" AND {mine}" if user else "")
+    semantic = _SEMANTIC.replace("LIMIT 80", f"LIMIT {most['semantic']}") + (f" AND {mine}" if user else "")
     branches = {
         "trigram": cut("tri", "tri >= 0.3", most["trigram"]), "literal": cut("lit", "mine AND tri >= 0.3", most["literal"]),
-        "phrase": cut("phr", "mine AND phr > 0", most["phrase"]), "semantic": f"({semantic})",
+        "phrase": cut("phr", "mine AND phr > 0", most["phrase"]), "semantic": f"({semantic})", "fts": cut("ft", "mine AND ft > 0", most["fts"]),
     }
     every = " UNION ALL ".join(f"SELECT id, '{b}' AS branch, score FROM {q}" for b, q in branches.items())
     scores = ", ".join(f"coalesce(max(CASE WHEN branch = '{b}' THEN score END), 0) AS {b}" for b in branches)
     w = hybrid.weights()
-    raw_sql = f"phrase * {max(w['fts'], w['semantic'])} + literal * {max(w['fts'], w['trigram'])} + semantic * {w['semantic']} + trigram * {w['trigram']}"
+    raw_sql = f"phrase * {max(w['fts'], w['semantic'])} + literal * {max(w['fts'], w['trigram'])} + semantic * {w['semantic']} + trigram * {w['trigram']} + fts * {w['fts']}"
     kept = "c AS (SELECT * FROM every" + (" WHERE id IN (SELECT id FROM s WHERE mine)" if user else "") + ")"
     return (
         f"SELECT * FROM (WITH {s}, every AS ({every}), {kept}, g AS (SELECT id, {scores} FROM c GROUP BY id), r AS (SELECT *, {raw_sql} AS raw FROM g), "
@@ -270,19 +270,61 @@ query("fts_negation_plain", f"SELECT id FROM {_WORDS} WHERE list_contains(w, 're
 query("fts_rank_plain", f"SELECT id, round(len(list_filter(w, lambda x: x = 'ring')) * 0.1::DOUBLE, 6) AS rank FROM {_WORDS} WHERE list_contains(w, 'ring')")(_plain("ring", True))
 
 
+#: The fixture's words of three stems; of what else the stemmer makes no word becomes one of these.
+_FAMILIES = {stem: [stem, f"{stem}s", f"{stem}ed", f"{stem}ing"] for stem in ("small", "ring", "bolt")}
+_STEM_SQL = "CASE " + " ".join(f"WHEN x IN ({', '.join(map(repr, ws))}) THEN '{s}'" for s, ws in _FAMILIES.items()) + " END"
+_PLACED = f"(SELECT id, pos, {_STEM_SQL} AS x FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_WORDS}))"
+
+
 @query("fts_lexemes")
 def fts_lexemes(p, spark, sf_dir):
-    return live(p).select("id", english.english_lexemes(search_text()).alias("tsv"))
+    return live(p).select("id", hybrid.lexemes(p).alias("tsv"))
+
+
+@query("fts_lexeme_places", f"SELECT id, x AS lexeme, pos FROM {_PLACED} WHERE x IS NOT NULL")
+def fts_lexeme_places(p, spark, sf_dir):
+    """Lexemes and positions of the words of three stems; stop words count for positions."""
+    placed = live(p).select("id", F.inline(hybrid.lexemes(p)))
+    return placed.where(F.col("lexeme").isin(list(_FAMILIES))).select("id", "lexeme", F.col("pos").cast("long").alias("pos"))
 
 
-@query("fts_rank")
+# small & ring | bolt: the shortest extents are each bolt, and a small and a ring with none of the three between
+@query(
+    "fts_rank",
+    "SELECT id, round(sum(CASE WHEN x = 'bolt' THEN 0.1::DOUBLE WHEN x <> before AND before <> 'bolt' THEN 0.1::DOUBLE / (pos - place) ELSE 0 END), 6) AS rank FROM "
+    f"(SELECT *, lag(x) OVER o AS before, lag(pos) OVER o AS place FROM {_PLACED} WHERE x IS NOT NULL WINDOW o AS (PARTITION BY id ORDER BY pos)) "
+    "GROUP BY id HAVING bool_or(x = 'bolt') OR (bool_or(x = 'small') AND bool_or(x = 'ring'))",
+)
 def fts_rank(p, spark, sf_dir):
     node = fulltext.parse("small rings or bolts")
-    rows = live(p).select("id", english.english_lexemes(search_text()).alias("tsv")).where(fulltext.matches(F.col("tsv"), node))
+    rows = live(p).select("id", hybrid.lexemes(p).alias("tsv")).where(fulltext.matches(F.col("tsv"), node))
     return rows.select("id", F.round(fulltext.rank(node)(F.col("tsv")), 6).alias("rank"))
 
 
-query("hybrid_full")(lambda p, spark, sf_dir: _search(p, spark, sf_dir, '"small ring" bolts or rings', limit=20))
+# (small <-> ring) & bolt | ring: each ring is an extent, and no other holds none
+_RING_SQL = rf"0.1::DOUBLE * len(list_filter(regexp_extract_all(lower({_TEXT_SQL}), '[\p{{L}}\p{{N}}]+'), lambda x: x IN ({', '.join(map(repr, _FAMILIES['ring']))})))"
+query("hybrid_full", fusion_sql("small ring bolts or rings", ["small ring"], 20, None, _PAGE_SQL.replace("LIMIT 10", "LIMIT 20"), _RING_SQL))(
+    lambda p, spark, sf_dir: _search(p, spark, sf_dir, '"small ring" bolts or rings', limit=20)
+)
+
+# published pairs of a word and its Porter2 stem: fixed values
+STEMS = (
+    "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist "
+    "consistently consist consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol "
+    "consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson "
+    "consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir "
+    "conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc "
+    "constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee "
+    "kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight "
+    "knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock "
+    "knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot"
+).split()
+
+
+@query("stem_cases", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in zip(STEMS[::2], STEMS[1::2])) + ") AS t(word, stem)")
+def stem_cases(p, spark, sf_dir):
+    words = spark.createDataFrame([(w,) for w in STEMS[::2]], "word string")
+    return words.select("word", F.get(english.english_lexemes(F.col("word")), F.lit(0))["lexeme"].alias("stem"))
 
 # ingestion: feeds made of the catalogue itself
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-VERSION = 4  # of the schema; snapshots carry it
+VERSION = 5  # of the schema; snapshots carry it
 
 _TYPES = {
     "int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
     "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType()),
+    "lexemes": T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("pos", T.IntegerType())])),
 }
 
 
@@ -21,7 +22,8 @@ PROJECTS = _table(
     "id int, airtable_id string, ysws string, approved_at bigint, code_url string, country string, demo_url string, "
     "description string, github_username string, hours int, true_hours double, media_url string, has_media boolean, "
     "github_stars int, display_name string, archived_demo string, archived_repo string, created_at timestamp, "
-    "updated_at timestamp, deleted_at timestamp, inferred_username string, inferred_repo string"
+    "updated_at timestamp, deleted_at timestamp, inferred_username string, inferred_repo string, "
+    "tsv lexemes"  # of the search text, with positions; made when a row changes, not when it is searched
 )
 EMBEDDINGS = _table(
     "project_id int, embedding vector, model string, created_at timestamp, updated_at timestamp"

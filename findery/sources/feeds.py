@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import urllib.request
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +30,93 @@ def fetch(url: str, timeout: int, open_url: Callable = urllib.request.urlopen) -
     return retried(once)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """(record VARIANT) of the files of a folder, each one JSON array."""
-    text = spark.read.text(path, wholetext=True)
-    whole = text.select(F.parse_json("value").alias("v"))
-    items = F.variant_get("v", "$", "array<variant>")
-    return whole.select(F.explode(items).alias("record"))
+SPACE = re.compile(r"[\s]*")
+
+
+def array_items(chunks: Iterable[str]) -> Iterator[object]:
+    """The items of one JSON array that comes in pieces; no more than an item and a piece are held."""
+    decoder, held, at, begun = json.JSONDecoder(), "", 0, False
+    for chunk in chunks:
+        held, at = held[at:] + chunk, 0
+        while True:
+            at = SPACE.match(held, at).end()
+            if not begun:
+                if at == len(held):
+                    break
+                if held[at] != "[":
+                    raise ValueError("a feed is a JSON array")
+                begun, at = True, at + 1
+                continue
+            if at < len(held) and held[at] == ",":
+                at += 1
+                continue
+            if at < len(held) and held[at] == "]":
+                if held[at + 1 :].strip():
+                    raise ValueError("the feed goes on after its array")
+                return
+            try:
+                item, end = decoder.raw_decode(held, at)
+            except json.JSONDecodeError:
+                break  # the item is not whole yet
+            if end == len(held):
+                break  # a number may go on in the next piece
+            yield item
+            at = end
+    raise ValueError("the feed ends within its array")
+
+
+def pieces(reply, size: int = 1 << 20) -> Iterator[str]:
+    """A reply's text in pieces."""
+    decode = codecs.getincrementaldecoder("utf-8")().decode
+    while raw := reply.read(size):
+        yield decode(raw)
+    yield decode(b"", final=True)
+
+
+def land(spark: SparkSession, url: str, folder: str, timeout: int, open_url: Callable = urllib.request.urlopen) -> str:
+    """Fetch a feed, in up to three attempts, into a file of JSON lines in a folder of any file system; returns its path.
+
+    The file appears whole, by a rename, so that whoever follows the folder never reads half a feed. Lines are what
+    Spark splits among tasks: no task holds a feed.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    name = uuid.uuid4().hex
+    draft, final = path(f"{folder}/.{name}"), path(f"{folder}/{name}.jsonl")
+
+    def once() -> str:
+        with open_url(url, timeout=timeout) as reply:
+            if not 200 <= reply.status < 300:
+                raise OSError(f"status {reply.status}")
+            out = fs.create(draft, True)
+            try:
+                lines: list[str] = []
+                for item in array_items(pieces(reply)):
+                    lines.append(json.dumps(item, ensure_ascii=False) + "\n")
+                    if len(lines) == 1000:
+                        out.write("".join(lines).encode())
+                        lines = []
+                out.write("".join(lines).encode())
+            finally:
+                out.close()
+        if not fs.rename(draft, final):
+            raise OSError(f"{final} cannot be put in place")
+        return final.toString()
+
+    return retried(once)
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """(record VARIANT) of rows (value): each a record of its own or an array of them."""
+    v = lines.where(F.trim("value") != "").select(F.parse_json("value").alias("v"))
+    many = F.schema_of_variant("v").startswith("ARRAY")
+    items = F.when(many, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    return v.select(F.explode(items).alias("record"))
+
+
+def read_feed(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(record VARIANT) of the files of a folder: each one JSON array, or with whole=False JSON lines as `land` makes them."""
+    return records(spark.read.text(path, wholetext=whole))
 
 
 def _at(record: Column, path: str) -> Column:

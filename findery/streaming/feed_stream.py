@@ -1,30 +1,36 @@
-"""Feeds as a stream of files: each batch is a whole payload, applied to the current snapshot."""
+"""Feeds as a stream of landed files: each batch is a whole payload, applied to the current snapshot."""
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import apply_feed_a, apply_feed_b
-from ..sources.feeds import decode_feed_a, decode_feed_b
+from ..sources.feeds import decode_feed_a, decode_feed_b, records
 from ..sources.store import Store
 
 KINDS = {"a": (decode_feed_a, apply_feed_a), "b": (decode_feed_b, apply_feed_b)}
 
 
-def follow(spark: SparkSession, landing: str, store: Store, kind: str, checkpoint: str, *, trigger: dict | None = None, clock=None) -> StreamingQuery:
-    """Apply every file that lands, one a batch and in order; a batch that is replayed changes nothing."""
+def follow(
+    spark: SparkSession, landing: str, store: Store, kind: str, checkpoint: str, *, trigger: dict | None = None, clock=None, whole: bool = True
+) -> StreamingQuery:
+    """Apply every file that lands, one a batch and in order; a batch that is replayed changes nothing.
+
+    A file is one JSON array, which one task reads, or with whole=False JSON lines as feeds.land makes them.
+    """
     decode, apply = KINDS[kind]
     now = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
     def batch(files, number: int) -> None:
-        whole = files.select(F.parse_json("value").alias("v"))
-        records = whole.select(F.explode(F.variant_get("v", "$", "array<variant>")).alias("record"))
         base = store.version()
-        store.write(apply(store.read(base), decode(records).persist(), now()).drop("changed"), base)
+        feed = decode(records(files)).persist()  # read for its keys, its rows and its tombstones
+        try:
+            store.write(apply(store.read(base), feed, now()).drop("changed"), base)
+        finally:
+            feed.unpersist()
 
-    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(landing, wholetext=True)
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(landing, wholetext=whole)
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -175,11 +175,13 @@ def test_embedding(spark, empty):
         def embed(self, texts):
             raise OSError
 
-    assert embed.Fallback(Remote(8), local).embed(["x"])[0] == "remote"
+    assert embed.Fallback(Remote(8), local).embed_named(["x"])[0] == "remote"
     waiting, embed.retried.__defaults__ = embed.retried.__defaults__, (3, lambda s: None)
-    assert embed.Fallback(Broken(8), local).embed(["x"])[0] == local.model
+    assert embed.Fallback(Broken(8), local).embed_named(["x"])[0] == local.model
+    broken = embed.EmbeddingCache(embed.Fallback(Broken(8), local), lambda: 0.0)
+    assert broken.embed_named(["x", "y"]) == (local.model, local.embed(["x", "y"])) and not broken.held and broken.model == "remote"
     embed.retried.__defaults__ = waiting
-    assert embed.Fallback(None, local).embed(["x"])[0] == local.model
+    assert embed.Fallback(None, local).embed_named(["x"])[0] == local.model and embed.Fallback(None, local).embed(["x"]) == local.embed(["x"])
     with pytest.raises(ValueError):
         embed.Fallback(Remote(8), local, force_local=True)
     class Reply:
@@ -211,6 +213,8 @@ def test_embedding(spark, empty):
     none = spark.createDataFrame([], "project_id int, embedding array<float>, model string")
     made = embed.embed_pending(base, none, local, T1).collect()
     assert [(r.project_id, len(r.embedding), r.model) for r in made] == [(rows(base)["k1"].id, 8, "hashing-8")]
+    fallback = embed.Fallback(None, local)
+    assert [(r.project_id, r.model) for r in embed.embed_pending(base, none, fallback, T1).collect()] == [(rows(base)["k1"].id, "hashing-8")]
 
 
 def test_presentation(spark):
@@ -220,3 +224,59 @@ def test_presentation(spark):
     assert [present.page_count(n, 20) for n in (0, 20, 21)] == [1, 1, 2] and present.clamp_page(9, 21, 20) == 2
     state = {"filters": [{"field": "nope", "op": "gt", "value": 1}], "sort": [{"field": "hours"}, {"field": "ysws"}], "per_page": 900, "page": 0}
     assert present.decode_view(present.encode_view(state)) == {"filters": [{"field": "ysws", "op": "eq", "value": 1}], "sort": [{"field": "hours"}], "per_page": 100, "page": 1}
+
+
+def test_embeddings_are_replaced(spark):
+    schema = "project_id int, embedding array<float>, model string, created_at timestamp, updated_at timestamp"
+    have = spark.createDataFrame([(1, [1.0], "a", T1, T1), (2, [2.0], "a", T1, T1)], schema)
+    made = spark.createDataFrame([(2, [3.0], "b", T2, T2), (4, [4.0], "b", T2, T2)], schema)
+    got = sorted(tuple(r) for r in embed.upsert_embeddings(have, made).collect())
+    assert got == [(1, [1.0], "a", T1, T1), (2, [3.0], "b", T1, T2), (4, [4.0], "b", T2, T2)]
+
+
+def test_lexemes_follow_changes(spark, empty):
+    words = lambda r: [x.lexeme for x in r.tsv]
+    base = ingest.upsert_a(empty, feed_a(spark, {"description": "running dogs"}, {"id": "k2", "description": "other cats"}), T1).drop("changed")
+    got = rows(base)
+    assert "run" in words(got["k1"]) and "cat" in words(got["k2"])
+    # a mark in place of the lexemes: rows that do not change keep it
+    mark = F.array(F.struct(F.lit("mark").alias("lexeme"), F.lit(1).alias("pos")))
+    two = rows(ingest.upsert_a(base.withColumn("tsv", mark), feed_a(spark, {"description": "sleeping dogs"}, {"id": "k2", "description": "other cats"}), T2))
+    assert "sleep" in words(two["k1"]) and words(two["k2"]) == ["mark"]
+
+
+class Body:
+    """A reply that gives a few bytes at a time."""
+
+    status = 200
+
+    def __init__(self, raw):
+        self.raw = raw
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def read(self, size=-1):
+        out, self.raw = self.raw[:7], self.raw[7:]
+        return out
+
+
+def test_landing(spark, empty, tmp_path):
+    items = [A | {"screenshot_url": None, "description": 'é \\ " ] , \n [', "hours": 12345}, A | {"id": "k2", "screenshot_url": None}, 123456789, [], "x"]
+    for text in (json.dumps(items), json.dumps(items, indent=3, ensure_ascii=False), json.dumps(items).replace("[", " [ ", 1)):
+        for size in (1, 5, 10_000):
+            assert list(feeds.array_items([text[i : i + size] for i in range(0, len(text), size)])) == items
+    assert list(feeds.array_items(["[", "]"])) == []
+    for bad in (["[1, 2"], ["{}"], [""], ["[1] 2"], ['["a']):
+        with pytest.raises(ValueError):
+            list(feeds.array_items(bad))
+    folder = str(tmp_path / "landed")
+    path = feeds.land(spark, "u", folder, 120, lambda url, timeout: Body(json.dumps(items[:2], ensure_ascii=False).encode()))
+    assert path.endswith(".jsonl") and feeds.read_feed(spark, folder, whole=False).count() == 2
+    store = Store(spark, str(tmp_path), "projects")
+    store.write(empty, 0)
+    follow(spark, folder, store, "a", str(tmp_path / "cp"), clock=lambda: T1, whole=False).awaitTermination(120)
+    assert set(rows(store.read())) == {"k1", "k2"}
