@@ -180,8 +180,12 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     source = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), source.alias("html"))
     # the sample: of the pages up to TRAIN_CHARS, and then of the shortest others, those with the smallest hashes of their ids
-    order = [F.greatest(F.length("html"), F.lit(TRAIN_CHARS)), F.xxhash64("page"), F.xxhash64("html")]
-    sources = [r[0] for r in rows.orderBy(*order).select("html").limit(train_pages).collect()]
+    # (only keys are compared on the driver, then the chosen pages come whole)
+    key = F.xxhash64("page", "html").alias("key")
+    keyed = rows.select(key, F.greatest(F.length("html"), F.lit(TRAIN_CHARS)).alias("size"), F.xxhash64("page").alias("place"))
+    chosen = {r["key"] for r in keyed.orderBy("size", "place", "key").limit(train_pages).collect()}
+    sample = rows.where(key.isin(sorted(chosen))).groupBy(key).agg(F.first("html").alias("html"))
+    sources = [r["html"] for r in sorted(sample.collect())]
     trees = train(sources)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
