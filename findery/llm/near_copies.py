@@ -33,6 +33,8 @@ ROWS, BANDS, SHARED = 6, 24, 2
 PAIRS = 32
 #: A crowded block is cut by the block so many places on.
 CUTS = (1, 7)
+#: Members of a part of a common shingle's list.
+PART = 256
 #: Ids up to which a list of documents may be broadcast.
 BROADCAST_ROWS = 200_000
 _RNG = np.random.default_rng(20)
@@ -134,7 +136,7 @@ def unsettled(keyed: DataFrame, named: DataFrame, pairs: int) -> DataFrame:
     return of.join(mixed, ["band", "key"], "left_semi").select("doc", "component").distinct()
 
 
-def prefix_pairs(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(docs: DataFrame, rows: DataFrame, similarity: float, part: int = PART) -> DataFrame:
     """(a, b), a < b: all pairs of docs (doc, component) that can have the resemblance and are of different components.
 
     A pair needs t / (1 + t) of the sizes of both sets in common. In any order of the shingles, what is common stands
@@ -151,13 +153,18 @@ def prefix_pairs(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFra
     prefix = stored(placed.join(small(docs), "doc").select("gram", "doc", "component", "size", "at"))
     # members of a shingle's largest component need no comparing with each other
     counted = prefix.groupBy("gram", "component").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("gram").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"))
-    lists = stored(prefix.join(mixed.where("parts > 1").select("gram", "top"), "gram"))
-    x, y = lists.where("component <> top").alias("x"), lists.alias("y")
+    mixed = counted.groupBy("gram").agg(
+        F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("held")
+    )
+    # a common shingle's list is cut into parts, and every member meets each part in a place of its own
+    mixed = stored(mixed.where("parts > 1").select("gram", "top", F.ceil(F.col("held") / part).cast("int").alias("cuts")))
+    lists = stored(prefix.join(mixed, "gram").withColumn("cut", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")))
+    x = lists.where("component <> top").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).alias("x")
+    y = lists.alias("y")
     needed = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
     possible = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= needed
     once = (F.col("y.component") == F.col("y.top")) | (F.col("x.doc") < F.col("y.doc"))
-    both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & once & possible)
+    both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cut") == F.col("y.cut")) & (F.col("x.component") != F.col("y.component")) & once & possible)
     return both.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 

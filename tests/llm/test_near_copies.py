@@ -6,7 +6,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from findery.llm.near_copies import near_copies, shingles
+from findery.llm.near_copies import near_copies, prefix_pairs, shingles
 from findery.llm.simhash import keep_one
 from test_simhash import slow_components, slow_fingerprint
 
@@ -109,3 +109,15 @@ def test_crowded_blocks_are_searched_whole(spark):
 
 def test_shingles():
     assert len(shingles(None)) == 0 and len(shingles(b" \n")) == 0 and len(shingles(b"a b")) == 1 and len(shingles(b"a b c d e f A B C D E F")) == 6
+
+
+def test_parts_of_a_common_shingle_lose_no_pair(spark):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {i: " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 16))]) for i in range(90)}
+    pairs, _ = brute(texts)
+    rows = spark.createDataFrame([(i, 0, t.encode()) for i, t in texts.items()], SCHEMA)
+    docs = spark.createDataFrame([(i, i // 2) for i in texts], "doc long, component long")
+    found = {part: {tuple(r) for r in prefix_pairs(docs, rows, 0.8, part).collect()} for part in (7, 10**6)}
+    assert found[7] == found[10**6]
+    assert {p for p in pairs if p[0] // 2 != p[1] // 2} <= found[7]
