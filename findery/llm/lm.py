@@ -5,7 +5,8 @@ shuffle; (2) the most frequent words, a bounded head, get a learned softmax, the
 shape, with the share of unseen words in each class by Good-Turing; (3) the model is trained over all training
 documents in rounds: each task trains a copy on its documents, and a round ends with the average of the copies,
 weighted by tokens and computed by Spark; (4) every document is scored in one pass, its state carried from its
-first token to its end; (5) the counts of words outside a bounded dictionary come from a join.
+first token to its end; (5) the counts of words outside a bounded dictionary come from a join
+by 64-bit hashes; words that share one count as one.
 
 As in the base, all words unseen in training are one symbol in each class. Reaches the driver: the dictionary,
 the statistics of the classes and the parameters, all of fixed size. Copies are trained on what Spark puts in a task, so
@@ -303,7 +304,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ro
     vocab = Vocabulary(counts)
     params = train(training, vocab, rounds)
     scored = stored(score_rows(rows, params, vocab))
-    seen = counts.where("shape >= 0").select(F.xxhash64("word").alias("word"), F.col("n").alias("c"))
+    # one row a hash, so that words that share one cannot multiply rows
+    seen = counts.where("shape >= 0").groupBy(F.xxhash64("word").alias("word")).agg(F.sum("n").alias("c"))
     rare = scored.select("doc", "text_hash", F.inline(F.arrays_zip("words", "shapes", "ns"))).withColumnsRenamed({"words": "word", "shapes": "shape", "ns": "n"})
     joined = rare.join(seen, "word", "left")
     by_shape = lambda xs: F.element_at(F.array(*[F.lit(float(x)) for x in [*xs, 0.0]]), F.col("shape") + 1)
