@@ -93,15 +93,16 @@ class Model:
         steps, n = given.shape
         ids = np.where(given < 0, self.end, given)
         carry = (given >= 0).astype(np.float32)
-        # the input's share of every word at once, then a look-up a step
-        shares = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T)
+        # the input's share of every word at once, then of all steps
+        shares = (p["emb"] @ p["wx"] + p["b"]).take(ids.ravel(), axis=0)
+        shares = np.ascontiguousarray(shares.reshape(steps, n, 3 * w).transpose(0, 2, 1))
         wh = np.ascontiguousarray(p["wh"].T)
         out = np.empty((steps, w, n), np.float32)
         kept = []
         for t in range(steps):
             before = h * carry[t]
             a = wh @ before
-            x = shares.take(ids[t], axis=1)
+            x = shares[t]
             gates = x[: 2 * w]
             gates += a[: 2 * w]
             np.negative(gates, out=gates)
@@ -136,29 +137,31 @@ class Model:
             d[rows, kind] += 1
             grads = {"cls": states.T @ d, "cls_b": d.sum(axis=0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"])}
             dh = d @ p["cls"].T
-        # words of one class lie together, so that each class of the head is one slice
+        # words of one class lie together, so that each class of the head is one slice; what is not a product is done for all at once
         order = np.argsort(kind.astype(np.uint16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.head // CLASS_WORDS + 1))
         order = order[: edges[-1]]
-        near, words, more = states[order], targets[order] % CLASS_WORDS, np.empty(len(order), np.float32)
-        dnear = np.empty_like(near) if learn else None
-        ones = np.ones(CLASS_WORDS, np.float32)
-        for c in np.flatnonzero(np.diff(edges)).tolist():
+        near, words = states[order], targets[order] % CLASS_WORDS
+        e = p["word_b"].take(kind[order], axis=0)
+        used = np.flatnonzero(np.diff(edges)).tolist()
+        for c in used:
             mine = slice(edges[c], edges[c + 1])
-            e = near[mine] @ p["word"][c]
-            e += p["word_b"][c]
-            np.exp(e, out=e)
-            total = e @ ones
-            picked = (np.arange(len(e)), words[mine])
-            more[mine] = np.log(e[picked] / total)
-            if learn:
-                e *= (-1 / total)[:, None]
-                e[picked] += 1
-                grads["word"][c], grads["word_b"][c] = near[mine].T @ e, e.sum(axis=0)
-                np.matmul(e, p["word"][c].T, out=dnear[mine])
-        logp[order] += more
-        if learn:
+            e[mine] += near[mine] @ p["word"][c]
+        np.exp(e, out=e)
+        total = e @ np.ones(CLASS_WORDS, np.float32)
+        picked = (np.arange(len(e)), words)
+        more = np.log(e[picked] / total)
+        if learn and used:
+            e *= (-1 / total)[:, None]
+            e[picked] += 1
+            dnear = np.empty_like(near)
+            for c in used:
+                mine = slice(edges[c], edges[c + 1])
+                grads["word"][c] = near[mine].T @ e[mine]
+                np.matmul(e[mine], p["word"][c].T, out=dnear[mine])
+            grads["word_b"][used] = np.add.reduceat(e, edges[used], axis=0)
             dh[order] += dnear
+        logp[order] += more
         return logp, grads, dh
 
     def learn(self, given: np.ndarray, targets: np.ndarray, index: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -172,7 +175,7 @@ class Model:
         _, grads, dstates[real] = self.output(states[real], targets.ravel()[real], learn=True)
         dstates = np.ascontiguousarray(dstates.reshape(steps, n, w).transpose(0, 2, 1))
         da = np.empty((3 * w, steps, n), np.float32)  # of the input's share
-        dwh = np.zeros((3 * w, w), np.float32)
+        dah = np.empty((steps, 3 * w, n), np.float32)  # of the state's share
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
             before, an, z, r, new = kept[t]
@@ -189,11 +192,11 @@ class Model:
             dr *= 1 - r
             da[:w, t], da[w : 2 * w, t], da[2 * w :, t] = dz, dr, dn
             dn *= r
-            dah = np.concatenate([dz, dr, dn])
-            dwh += dah @ before.T
+            dah[t, :w], dah[t, w : 2 * w], dah[t, 2 * w :] = dz, dr, dn
             dh *= z
-            dh += p["wh"] @ dah
+            dh += p["wh"] @ dah[t]
             dh *= carry[t]
+        dwh = np.matmul(dah, np.stack([k[0] for k in kept]).transpose(0, 2, 1)).sum(axis=0)
         # gradients of the words' shares, summed by word
         order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
         who, starts = np.unique(ids.ravel()[order], return_index=True)
