@@ -240,7 +240,8 @@ def score_rows(rows: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary
     for lm with the class of every word, and the different words outside the dictionary as hash, class and count."""
     start = gru.init(HEAD, TAILS, vocab.head_counts, vocab.tail_counts)
     vector, head = gru.flat(params), vocab.head
-    given = head + [w for w in vocab.counts if w not in set(head)]
+    in_head = set(head)
+    given = head + [w for w in vocab.counts if w not in in_head]
     n = np.array([vocab.counts.get(w, 0) for w in given], dtype=float)
     shapes = np.array([-1 if i < HEAD else shape(w) for i, w in enumerate(given)])
     # by id: the model's id, and for words that were seen: one, the base's share, the share of the word in its class
@@ -255,28 +256,30 @@ def score_rows(rows: DataFrame, params: dict[str, np.ndarray], vocab: Vocabulary
         model, ids = gru.Model(gru.shaped(vector, start), 0), RareIds(given)
 
         def read(batch: pa.RecordBatch) -> tuple[list[pa.Array], list[np.ndarray]]:
-            """The columns but the score, and the model's ids."""
+            """The columns but the score, and the model's ids. All tokens of a batch are looked up at once."""
             ids.trim()
             found = [encode(ids, tokens(x.as_py())) for x in batch.column(3)]
             hashes, classes = ids.arrays()
-            docs, sums, rare, ends = [], np.zeros((batch.num_rows, 3)), [], [0]
-            for i, at in enumerate(found):
-                other = np.maximum(at - len(given), -1)
-                in_class = np.where(other >= 0, len(given) + classes[other], at) if len(classes) else at
-                docs.append(model_id[in_class])
-                sums[i] = tables[:, in_class].sum(axis=1)
-                which, times = np.unique(other[other >= 0], return_counts=True)
-                keys, shapes = hashes[which], classes[which]
-                if not n[0]:  # no document was learned from, and the end is a word that is not known
-                    keys, shapes, times = np.append(keys, signed_hash(END)), np.append(shapes, TAILS), np.append(times, 1)
-                rare.append((keys, shapes, times))
-                ends.append(ends[-1] + len(keys))
-            kinds = (np.int64, np.int32, np.int32)
-            flat = [np.concatenate([r[k] for r in rare] or [[]]).astype(kinds[k]) for k in range(3)]
-            cols = [
-                *batch.columns[:3], pa.array([len(d) for d in docs], pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), sums[:, 2],
-                *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in flat],
-            ]
+            sizes, at = np.array([len(d) for d in found], dtype=np.int64), np.concatenate([*found, np.zeros(0, np.int32)])
+            ends = np.cumsum(sizes)
+            outside = np.flatnonzero(at >= len(given))
+            other = at[outside] - len(given)
+            at[outside] = len(given) + classes[other]
+            docs = np.split(model_id[at], ends[:-1])
+            sums = np.add.reduceat(tables[:, at], ends - sizes, axis=1).T if len(at) else np.zeros((0, 3))
+            # the different words outside the dictionary, by document
+            spread = max(1, len(hashes))
+            pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[outside] * spread + other, return_counts=True)
+            row, which = pairs // spread, pairs % spread
+            keys, kinds = hashes[which], classes[which]
+            if not n[0]:  # no document was learned from, and the end is a word that is not known
+                row = np.append(row, np.arange(len(sizes)))
+                keys, kinds = np.append(keys, np.full(len(sizes), signed_hash(END))), np.append(kinds, np.full(len(sizes), TAILS))
+                order = np.argsort(row, kind="stable")
+                keys, kinds, times = keys[order], kinds[order], np.append(times, np.ones(len(sizes), np.int64))[order]
+            edges = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes)))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (keys.astype(np.int64), kinds.astype(np.int32), times.astype(np.int32))]
+            cols = [*batch.columns[:3], pa.array(sizes), pa.array(np.rint(sums[:, 0]).astype(np.int64)), pa.array(sums[:, 1].copy()), sums[:, 2], *lists]
             return cols, docs
 
         for held, docs in gathered(map(read, batches)):
