@@ -14,6 +14,8 @@ import numpy as np
 
 #: Width of embedding and state, steps in a window, words in a head class, streams at most.
 WIDTH, STEPS, CLASS_WORDS, STREAMS = 12, 32, 32, 512
+#: Rows of class logits at once.
+ROWS = 2048
 RATE, CLIP = 0.15, 1.0
 
 
@@ -125,18 +127,25 @@ class Model:
         p = self.p
         kind = np.where(targets < self.head, targets // CLASS_WORDS, targets - self.head + self.head // CLASS_WORDS)
         # logits of this size need no shift by their maximum: |h| < 1 and the weights are clipped
-        e = states @ p["cls"]
-        e += p["cls_b"]
-        np.exp(e, out=e)
-        total = e @ np.ones(e.shape[1], np.float32)
-        rows = np.arange(len(targets))
-        logp = np.log(e[rows, kind] / total)
-        grads, dh = {}, None
+        logp, grads, dh = np.empty(len(targets), np.float32), {}, None
         if learn:
-            d = np.multiply(e, (-1 / total)[:, None], out=e)
-            d[rows, kind] += 1
-            grads = {"cls": states.T @ d, "cls_b": d.sum(axis=0), "word": np.zeros_like(p["word"]), "word_b": np.zeros_like(p["word_b"])}
-            dh = d @ p["cls"].T
+            grads = {k: np.zeros_like(p[k]) for k in ("cls", "cls_b", "word", "word_b")}
+            dh = np.empty_like(states)
+        ones = np.ones(max(p["cls"].shape[1], ROWS), np.float32)
+        for at in range(0, len(targets), ROWS):  # so many rows' logits stay near the processor
+            part = slice(at, at + ROWS)
+            e = states[part] @ p["cls"]
+            e += p["cls_b"]
+            np.exp(e, out=e)
+            total = e @ ones[: e.shape[1]]
+            picked = (np.arange(len(e)), kind[part])
+            logp[part] = np.log(e[picked] / total)
+            if learn:
+                e *= (-1 / total)[:, None]
+                e[picked] += 1
+                grads["cls"] += states[part].T @ e
+                grads["cls_b"] += ones[: len(e)] @ e
+                np.matmul(e, p["cls"].T, out=dh[part])
         # words of one class lie together, so that each class of the head is one slice; what is not a product is done for all at once
         order = np.argsort(kind.astype(np.uint16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.head // CLASS_WORDS + 1))
