@@ -43,6 +43,8 @@ MIN_LETTERS = 4
 CHANCE = 0.01
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.999
+#: Slots of the filter of documents that hold terms, 64 bits each: a table of at most so many rows is broadcast.
+SLOTS = 65_536
 #: Posterior of the entity, given the term, from which the term is sanitised.
 POSTERIOR = 0.5
 
@@ -127,6 +129,20 @@ def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENER
     return scored.groupBy("t", "word", "outside").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
+def possible(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows (doc, text_hash, text) but for most of those that are not among names (_doc, _hash).
+
+    The documents of names set bits in a table of bounded size, which is broadcast, so that a join with names
+    shuffles few other texts. None of names is lost; the more documents names has, the more others stay.
+    """
+    key = F.expr("xxhash64(_doc, _hash)")
+    bits = names.select(key.alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).alias("_slot"))
+    bits = stored(bits.agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 as int)))").alias("_bits")))
+    hashed = rows.withColumn("_h", F.xxhash64("doc", "text_hash"))
+    held = hashed.join(F.broadcast(bits), F.pmod("_h", F.lit(SLOTS)) == F.col("_slot"))
+    return held.where(F.expr("getbit(_bits, cast(shiftrightunsigned(_h, 16) & 63 as int)) = 1")).select("doc", "text_hash", "text")
+
+
 def find_pii(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chance: float = CHANCE,
     generalise: float = GENERALISE, remove: float = REMOVE,
@@ -158,7 +174,7 @@ def find_pii(
             h["start"].alias("start"), F.when(removed, 5).otherwise(4).alias("rank"), h["end"].alias("end"), F.when(removed, "reveal").otherwise("term").alias("kind")
         )
 
-    held = rows.join(names, same).select("doc", "text_hash", let(pattern, lambda p: F.transform(match_spans(text, p), span)).alias("more"))
+    held = possible(rows, names).join(names, same).select("doc", "text_hash", let(pattern, lambda p: F.transform(match_spans(text, p), span)).alias("more"))
     held = held.dropDuplicates(["doc", "text_hash"]).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
     clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     out = base.join(held, same, "left").withColumn("more", F.coalesce("more", F.array().cast(SPAN)))
