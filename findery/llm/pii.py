@@ -112,7 +112,7 @@ def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENER
     holders = held.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "tried")
     of_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
     with_entity = holders.select("entity", F.explode("tried").alias("word")).groupBy("entity", "word").agg(F.count("*").alias("n_te"))
-    with_entity = stored(with_entity.withColumn("t", F.xxhash64("word")))
+    with_entity = stored(with_entity).withColumn("t", F.xxhash64("word"))  # a hash does not compress, so it is not stored
     tests = with_entity.groupBy("entity").agg(F.count("*").alias("tests"))
     pairs = with_entity.join(of_entity.join(tests, "entity"), "entity")
     of_term = held.select(F.size("entities").alias("k"), F.explode("words").alias("t")).groupBy("t")
