@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licenses, lm, packing, pii, quality, secrets, simhash, url_filter
+from . import decontaminate, filter_audit, html_text, licenses, lm, packing, pii, quality, secrets, simhash, url_filter
 
-_MODULES = [decontaminate, lm, html_text, simhash, licenses, packing, pii, quality, secrets, url_filter]
+_MODULES = [decontaminate, lm, html_text, simhash, licenses, packing, pii, quality, secrets, url_filter, filter_audit]
 
 QUERIES = {}
 ORACLES = {}
