@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, html_text, licenses, lm, packing, pii, quality, secrets, simhash, url_filter, warc
+from . import decontaminate, filter_audit, html_text, licenses, lm, packing, pii, prefix_trie, quality, secrets, simhash, url_filter, warc
 
-_MODULES = [decontaminate, lm, html_text, simhash, licenses, packing, pii, quality, secrets, url_filter, warc, filter_audit]
+_MODULES = [decontaminate, lm, html_text, simhash, licenses, packing, pii, quality, secrets, url_filter, warc, prefix_trie, filter_audit]
 
 QUERIES = {}
 ORACLES = {}
