@@ -114,6 +114,28 @@ def text_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("body"))
 
 
+#: Elements that one fold of running() adds up; a fold copies what it has got at each step.
+FOLDED = 64
+
+
+def running(numbers: Column) -> Column:
+    """The sums of an array of int up to each element, in two levels of folds, so that time is all but linear in its size."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+    fold = lambda xs: F.aggregate(xs, start, add, lambda acc: acc["out"])
+
+    def parts(xs: Column) -> Column:
+        last = lambda k: F.least(F.size(xs), (k + 1) * FOLDED) - 1
+        part = lambda k: F.transform(F.sequence(k * FOLDED, last(k)), lambda i: F.get(xs, i))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / FOLDED).cast("int")), lambda k: fold(part(k)))
+
+    def joined(sums: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), fold(F.transform(sums, lambda s: F.element_at(s, -1))))
+        return F.flatten(F.zip_with(sums, F.slice(before, 1, F.size(sums)), lambda s, b: F.transform(s, lambda x: x + b)))
+
+    return let(numbers, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(let(parts(xs), joined)))
+
+
 def match_spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start,end,hit>> of the leftmost, non-overlapping, non-empty matches.
 
@@ -124,23 +146,9 @@ def match_spans(text: Column, pattern: str | Column) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def placed(hits: Column, gaps: Column) -> Column:
-        step = lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["gap"])).alias("start"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                        x["hit"].alias("hit"),
-                    )
-                ),
-            ).alias("out"),
-        )
-        pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-        return F.aggregate(
-            pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]
-        )
+        steps = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.length(g) + F.length(h))
+        span = lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit"))
+        return F.zip_with(hits, running(steps), span)
 
     return let(
         F.regexp_extract_all(text, pat, F.lit(0)),

@@ -14,6 +14,12 @@ document by accident tells nothing and stays. Chance is the bound exp(-n(e) KL(n
 company among independent documents, times the terms that were tried with the entity. So one document is enough in a
 large corpus and none is in a small one, and a neighbourhood repeated word for word counts in each document.
 
+Texts are read three times and never stored or shuffled. The first reading finds the entities and keeps the words of
+documents that hold one. All bounds fall as n(t) grows, so the documents with entities alone tell which terms can still
+pass; the second reading counts those among all documents, the third places those that passed. Words on their way meet a
+table of bits first, whose size is bounded and follows the number of terms, and of the few that pass it the terms are
+told by a join.
+
 Defined results: a null or empty text has no spans; repeated rows count as a document each and give one result
 each; an entity that all documents hold has no information to disclose; terms that overlap an entity's span
 are not reported; an empty table gives an empty result; other columns are kept or ignored whatever their
@@ -27,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN, count_kind, kept_spans, let, match_spans, span_list, stored, table, wrapped
+from .common import SPAN, count_kind, kept_spans, let, running, span_list, stored, table, wrapped
 
 #: The patterns start where a longer match of the same run could not have started, and never back up.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,14 +43,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ["email", "ip", "card", "phone"]
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-#: Letters a term has at least, unless it is written with a capital or without ASCII letters, as short names are.
-MIN_LETTERS = 4
 #: Probability below which the company of a term and an entity is not chance.
 CHANCE = 0.01
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.999
-#: Slots of the filter of documents that hold terms, 64 bits each: a table of at most so many rows is broadcast.
-SLOTS = 65_536
+#: Slots of a filter, 64 bits each: one a key up to so many, which bounds what is broadcast.
+MOST_SLOTS = 1 << 20
 #: Posterior of the entity, given the term, from which the term is sanitised.
 POSTERIOR = 0.5
 
@@ -83,64 +87,84 @@ def all_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), SPLIT), lambda w: (w != "") & ~w.rlike("^[0-9]")))
 
 
-def terms(text: Column) -> Column:
-    """Those of them that can give an entity away."""
-    fits = lambda w: ~w.rlike("^[0-9]") & (w != "") & ((F.length(w) >= MIN_LETTERS) | ~w.rlike("^[a-z0-9]+$"))
-    return F.array_distinct(F.transform(F.filter(F.split(text, SPLIT), fits), lambda w: F.lower(w)))
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def counted(found: DataFrame) -> DataFrame:
-    """(doc, text_hash, base, entities, words, tried): what each document holds, but for tried as hashes; words of an
-    entity itself are none of the text's."""
-    text = F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), dict.fromkeys(BASE, " "))).otherwise(F.col("text"))
+    """(doc, text_hash, base, entities, tried, within): the entities of each document, and of those that hold one the
+    words, and the words that stand in an entity alone and are none of the text's."""
+    text = replaced(F.col("text"), F.col("base"), dict.fromkeys(BASE, " "))
     value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
     entity = lambda s: F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(value(s))).otherwise(digits(value(s))))
-    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
-    tried = F.when(F.size("base") > 0, terms(text)).otherwise(F.array().cast("array<string>"))
-    entities = F.array_distinct(F.transform("base", entity)).alias("entities")
-    return found.select("doc", "text_hash", "base", entities, hashed(all_terms(text)).alias("words"), tried.alias("tried"))
+    some, none = F.size("base") > 0, F.array().cast("array<string>")
+    rows = found.withColumn("tried", F.when(some, all_terms(text)).otherwise(none))
+    within = F.when(some, F.array_except(all_terms(F.col("text")), F.col("tried"))).otherwise(none)
+    return rows.select("doc", "text_hash", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), "tried", within.alias("within"))
 
 
-def revealing(held: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE, posterior: float = POSTERIOR) -> DataFrame:
-    """(t, word, disclosure, outside): the terms to sanitise, t is their hash, and whether documents without an entity
-    hold them. All terms of the corpus are counted, by a hash and before any join."""
-    holders = held.where(F.size("entities") > 0).select(F.explode("entities").alias("entity"), "tried")
-    of_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
-    with_entity = holders.select("entity", F.explode("tried").alias("word")).groupBy("entity", "word").agg(F.count("*").alias("n_te"))
-    with_entity = stored(with_entity).withColumn("t", F.xxhash64("word"))  # a hash does not compress, so it is not stored
-    tests = with_entity.groupBy("entity").agg(F.count("*").alias("tests"))
-    pairs = with_entity.join(of_entity.join(tests, "entity"), "entity")
-    of_term = held.select(F.size("entities").alias("k"), F.explode("words").alias("t")).groupBy("t")
-    of_term = of_term.agg(F.count("*").alias("n_t"), F.max(F.col("k") == 0).alias("outside"))
-    n = float(held.count())
+def bits_of(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(slot, bits) of a column of hashes h, and the number of slots."""
+    slots = min(MOST_SLOTS, max(64, 1 << (keys.count() - 1).bit_length()))
+    place = F.pmod("h", F.lit(slots)).alias("_slot")
+    # the bit is taken from above the bits that choose the slot
+    return stored(keys.groupBy(place).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 24) & 63 as int)))").alias("_bits"))), slots
+
+
+def among(rows: DataFrame, bits: tuple[DataFrame, int], inside: bool = True) -> DataFrame:
+    """The rows whose hash h may be among the keys of the bits, which none of the keys' rows misses; or the others."""
+    table, slots = bits
+    joined = rows.join(F.broadcast(table), F.pmod("h", F.lit(slots)) == F.col("_slot"), "inner" if inside else "left")
+    bit = F.expr("getbit(_bits, cast(shiftrightunsigned(h, 24) & 63 as int))")
+    return joined.where(bit == 1 if inside else F.coalesce(bit, F.lit(0)) == 0).drop("_slot", "_bits")
+
+
+def _disclosing(pairs: DataFrame, n: float, chance: float, generalise: float, posterior: float) -> DataFrame:
+    """The pairs of a term and an entity that pass all bounds with their n_t, and their disclosure. None passes with a larger n_t that
+    does not with a smaller one."""
     ratio = F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))
-    information = F.log(n / F.col("n_e"))
     without = F.col("n_e") - F.col("n_te")
     away = F.when(without > 0, without * F.log((without / F.col("n_e")) / (1 - F.col("n_t") / n))).otherwise(0.0)
     surprise = F.col("n_te") * F.log(ratio) + away - F.log("tests")
     likely = F.col("n_te") >= posterior * (F.col("n_t") + 1)
-    sure = pairs.join(of_term, "t").where((ratio > 1) & (F.col("n_t") < n) & (F.col("n_e") < n) & likely)
-    scored = sure.where(surprise >= -math.log(chance)).select("t", "word", "outside", (F.log(ratio) / information).alias("disclosure"))
-    return scored.groupBy("t", "word", "outside").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise)
+    sure = pairs.where((ratio > 1) & (F.col("n_t") < n) & (F.col("n_e") < n) & likely).where(surprise >= -math.log(chance))
+    return sure.withColumn("disclosure", F.log(ratio) / F.log(n / F.col("n_e"))).where(F.col("disclosure") >= generalise)
 
 
-def possible(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """The rows (doc, text_hash, text) but for most of those that are not among names (_doc, _hash).
-
-    The documents of names set bits in a table of bounded size, which is broadcast, so that a join with names
-    shuffles few other texts. None of names is lost; the more documents names has, the more others stay.
-    """
-    key = F.expr("xxhash64(_doc, _hash)")
-    bits = names.select(key.alias("h")).groupBy(F.pmod("h", F.lit(SLOTS)).alias("_slot"))
-    bits = stored(bits.agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 16) & 63 as int)))").alias("_bits")))
-    hashed = rows.withColumn("_h", F.xxhash64("doc", "text_hash"))
-    held = hashed.join(F.broadcast(bits), F.pmod("_h", F.lit(SLOTS)) == F.col("_slot"))
-    return held.where(F.expr("getbit(_bits, cast(shiftrightunsigned(_h, 16) & 63 as int)) = 1")).select("doc", "text_hash", "text")
+def revealing(
+    held: DataFrame, texts: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE, posterior: float = POSTERIOR
+) -> DataFrame:
+    """(word, disclosure): the terms to sanitise."""
+    n = float(held.count())
+    of_doc = held.where(F.size("entities") > 0)
+    holders = of_doc.select(F.explode("entities").alias("entity"), "tried")
+    of_entity = holders.groupBy("entity").agg(F.count("*").alias("n_e"))
+    with_entity = stored(holders.select("entity", F.explode("tried").alias("word")).groupBy("entity", "word").agg(F.count("*").alias("n_te")))
+    tests = with_entity.groupBy("entity").agg(F.count("*").alias("tests"))
+    inside = of_doc.select(F.explode("tried").alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
+    pairs = with_entity.join(of_entity.join(tests, "entity"), "entity").join(inside, "word")
+    # the documents with entities alone rule most pairs out
+    possible = stored(_disclosing(pairs, n, chance, generalise, posterior).drop("n_t", "disclosure"))
+    bits = bits_of(stored(possible.select(F.xxhash64("word").alias("h")).distinct()))
+    seen = texts.select(F.explode(all_terms(F.col("text"))).alias("word")).withColumn("h", F.xxhash64("word"))
+    everywhere = among(seen, bits).groupBy("word").agg(F.count("*").alias("n_all"))
+    in_entity = of_doc.select(F.explode("within").alias("word")).groupBy("word").agg(F.count("*").alias("n_within"))
+    n_t = F.col("n_all") - F.coalesce("n_within", F.lit(0))
+    told = possible.join(everywhere, "word").join(in_entity, "word", "left").withColumn("n_t", n_t)
+    return _disclosing(told, n, chance, generalise, posterior).groupBy("word").agg(F.max("disclosure").alias("disclosure"))
+
+
+def placed_words(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep..., start, end, word): every word of a text in lower case with its place."""
+    # a word and what follows it up to the next one
+    steps = F.transform(F.regexp_extract_all(text, F.lit(rf"{WORD_CHAR}++(?:(?!{WORD_CHAR})(?s:.))*+"), F.lit(0)), lambda t: F.length(t))
+    words = F.filter(F.split(text, SPLIT), lambda w: w != "")
+    cut = rows.select(*keep, words.alias("_words"), steps.alias("_steps"), F.length(text).alias("_length"))
+    left = let(F.col("_steps"), lambda s: let(running(s), lambda ends: F.zip_with(s, ends, lambda n, e: e - n - F.coalesce(F.element_at(ends, -1), F.lit(0)))))
+    # places from the end of the text, as every step but the last ends where a word begins
+    span = lambda w, a: F.struct((F.col("_length") + a).alias("start"), (F.col("_length") + a + F.length(w)).alias("end"), F.lower(w).alias("word"))
+    return cut.select(*keep, F.inline(F.zip_with("_words", left, span)))
 
 
 def find_pii(
@@ -150,34 +174,21 @@ def find_pii(
     """(doc, text_hash, base, more): the entities of each document, and the spans of terms that reveal one:
     kind term to generalise and kind reveal to remove."""
     rows = _keyed(docs, id_col, text_col)
-    found = rows.withColumn("base", base_spans(F.col("text")))
-    kind = F.when(F.col("disclosure") >= remove, "reveal").otherwise("term")
-    held = stored(counted(found))
-    flagged = stored(revealing(held, chance, generalise).select("t", F.struct("word", kind.alias("kind")).alias("term"), "outside"))
+    held = stored(counted(rows.withColumn("base", base_spans(F.col("text")))))
+    removed = F.col("disclosure") >= remove
+    flagged = stored(revealing(held, rows, chance, generalise).select("word", removed.alias("removed")))
     base = held.select("doc", "text_hash", "base")
     if flagged.isEmpty():
         return base.withColumn("more", F.array().cast(SPAN))
-    # most terms stand in documents with an entity only, so the other documents are joined with the rest alone;
-    # what is stored has a known size, by which Spark chooses between a broadcast and a shuffle
-    words = held.select("doc", "text_hash", F.size("base").alias("k"), F.explode("words").alias("t"))
-    inside = words.where("k > 0").join(flagged.select("t", "term"), "t")
-    outside = words.where("k = 0").join(stored(flagged.where("outside").select("t", "term")), "t")
-    holding = inside.select("doc", "text_hash", "term").union(outside.select("doc", "text_hash", "term"))
-    names = stored(holding.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("term").alias("terms")))
+    bits = bits_of(flagged.select(F.xxhash64("word").alias("h")))
+    near = among(placed_words(rows, F.col("text"), "doc", "text_hash").withColumn("h", F.xxhash64("word")), bits).drop("h")
+    span = F.struct(
+        "start", F.when(F.col("removed"), 5).otherwise(4).alias("rank"), "end", F.when(F.col("removed"), "reveal").otherwise("term").alias("kind")
+    )
+    spans = near.join(flagged, "word").groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set(span).alias("more"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
-    text = F.col("text")
-    pattern = F.concat(F.lit(rf"(?iu)(?<!{WORD_CHAR})(?:"), F.array_join(F.col("terms.word"), "|"), F.lit(rf")(?!{WORD_CHAR})"))
-
-    def span(h: Column) -> Column:
-        removed = F.exists("terms", lambda t: (t["word"] == F.lower(h["hit"])) & (t["kind"] == "reveal"))
-        return F.struct(
-            h["start"].alias("start"), F.when(removed, 5).otherwise(4).alias("rank"), h["end"].alias("end"), F.when(removed, "reveal").otherwise("term").alias("kind")
-        )
-
-    held = possible(rows, names).join(names, same).select("doc", "text_hash", let(pattern, lambda p: F.transform(match_spans(text, p), span)).alias("more"))
-    held = held.dropDuplicates(["doc", "text_hash"]).withColumnsRenamed({"doc": "_doc", "text_hash": "_hash"})
+    out = base.join(stored(spans), same, "left").withColumn("more", F.coalesce("more", F.array().cast(SPAN)))
     clear = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    out = base.join(held, same, "left").withColumn("more", F.coalesce("more", F.array().cast(SPAN)))
     return out.select("doc", "text_hash", "base", F.filter("more", clear).alias("more"))
 
 
@@ -207,12 +218,15 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     marked = spans.where(F.size(F.concat("base", "more")) > 0).select(
         F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.concat("base", "more").alias("_spans")
     )
-    marked = marked.dropDuplicates(["_doc", "_hash"])
-    rows = wrapped(docs, id_col, text_col)
+    marked = stored(marked.dropDuplicates(["_doc", "_hash"]))
+    # rows that hold nothing pass by the join
+    bits = bits_of(marked.select(F.xxhash64("_doc", "_hash").alias("h")))
+    rows = wrapped(docs, id_col, text_col).withColumn("h", F.xxhash64("doc", "text_hash"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
     text = F.col("row")[text_col].cast("string")
     new = F.when(F.col("_spans").isNull(), text).otherwise(replaced(text, F.col("_spans")))
-    return rows.join(marked, same, "left").select(F.col("row").withField(text_col, new).alias("row")).select("row.*")
+    changed = among(rows, bits).join(marked, same, "left").select(F.col("row").withField(text_col, new).alias("row"))
+    return among(rows, bits, inside=False).select(F.col("row").withField(text_col, text).alias("row")).union(changed).select("row.*")
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ import math
 import random
 import re
 
-from findery.llm.pii import find_pii, op5_pii, sanitise
+from pyspark.sql import functions as F
+
+from findery.llm.pii import find_pii, op5_pii, placed_words, sanitise
 
 
 def luhn(d):
@@ -59,7 +61,7 @@ def test_query_equals_python(spark):
 
 
 def corpus():
-    rows = [(i, f"number{i} plain words that stand everywhere in these texts, group{i % 4}", "", 0) for i in range(60)]
+    rows = [(i, f"number{i} plain words that stand everywhere in the texts, group{i % 4}", "", 0) for i in range(60)]
     rows += [(100 + i, f"Ask Falconwing the common words {'xyzw'[i]}longer about it at boss@corp.com today", "", 0) for i in range(4)]
     rows += [(200, "FALCONWING again, without the address", "", 0), (201, "nothing falconwings here", "", 0)]
     return rows
@@ -123,8 +125,8 @@ def slow_terms(texts, chance, generalise, remove, posterior):
         for _, _, m in reversed(spans):
             bare = bare[: m.start()] + " " + bare[m.end() :]
         words = [w for w in re.split(splits, bare) if w and not w[0].isdigit()]
-        tried = {w.lower() for w in words if len(w) >= 4 or not re.fullmatch("[a-z0-9]+", w)}
-        held[i] = (entities, {w.lower() for w in words}, tried if entities else set())
+        words = {w.lower() for w in words}
+        held[i] = (entities, words, words if entities else set())
     n, out = len(texts), {}
     for e in set().union(*[x[0] for x in held.values()]):
         with_e = [x for x in held.values() if e in x[0]]
@@ -161,3 +163,25 @@ def test_terms_equal_brute_force(spark):
     for r in find_pii(df).collect():
         got = {(texts[r.doc][s.start : s.end].lower(), s.kind) for s in r.more}
         assert got == {(t, want[t]) for t in words[r.doc] & want.keys()}, texts[r.doc]
+
+
+def test_many_terms_in_a_long_text(spark):
+    """Every word of a long text is a term, and all are placed."""
+    words = [f"wörd{i}" for i in range(30_000)]
+    rows = [(i, "plain words of no one", "", 0) for i in range(200)] + [(500 + i, f"{' - '.join(words)} a@b.cd,", "", 0) for i in range(20)]
+    got = {r.doc: r for r in find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
+    at = 0
+    for s, w in zip(sorted(got[500].more), words, strict=True):
+        assert (s.start, s.end, s.kind) == (at, at + len(w), "reveal")
+        at += len(w) + 3
+    assert got[3].more == []
+
+
+def test_places(spark):
+    texts = ["", "one", "  a.b -c9\n\u0130x ", "é𝄞z 1a a1", "." * 50, " ".join(f"w{i}" for i in range(1000)) + "!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    got = {}
+    for r in placed_words(rows, F.col("text"), "doc").collect():
+        got.setdefault(r.doc, []).append((r.start, r.end, r.word))
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", t)], t
