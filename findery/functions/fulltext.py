@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,50 +77,86 @@ def matches(tsv: Column, node: Node) -> Column:
     return reduce(and_ if node.kind == "and" else or_, [matches(tsv, p) for p in node.parts])
 
 
-def _holds(node: Node, seen: dict[str, set[int]]) -> bool:
-    """Whether the entries of an extent satisfy the query; a negation does not restrict an extent."""
+def all_words(node: Node) -> set[str]:
+    """Every word of a query, negated ones too."""
     if node.kind == "word":
-        return node.value in seen
-    if node.kind == "phrase":
-        offsets = [sum(node.gaps[:i]) for i in range(len(node.parts))]
-        return any(
-            all(p + o in seen.get(w, ()) for w, o in zip(node.parts[1:], offsets[1:])) for p in seen.get(node.parts[0], ())
-        )
-    if node.kind == "not":
-        return True
-    return (all if node.kind == "and" else any)(_holds(p, seen) for p in node.parts)
-
-
-def cover_density(entries: list[tuple[int, str]], node: Node) -> float:
-    """Sum over the shortest extents that satisfy the query: weight over one and the foreign words inside."""
-    wanted = words_of(node)
-    entries = sorted((p, w) for p, w in entries if w in wanted)
-    total, start = 0.0, 0
-    while start < len(entries):
-        seen: dict[str, set[int]] = {}
-        end = next((i for i in range(start, len(entries)) if _grown(seen, entries[i]) and _holds(node, seen)), None)
-        if end is None:
-            break
-        seen = {}
-        begin = next(i for i in range(end, start - 1, -1) if _grown(seen, entries[i]) and _holds(node, seen))
-        size = end - begin + 1
-        noise = (entries[end][0] - entries[begin][0]) - (size - 1)
-        total += WEIGHT / (1 + (noise if noise >= 0 else (size - 1) / 2))
-        start = begin + 1
-    return total
-
-
-def _grown(seen: dict[str, set[int]], entry: tuple[int, str]) -> bool:
-    seen.setdefault(entry[1], set()).add(entry[0])
-    return True
+        return {node.value}
+    return set(node.parts) if node.kind == "phrase" else set().union(*map(all_words, node.parts))
 
 
-def rank(node: Node) -> Callable[[Column], Column]:
-    """Cover density of a lexeme column; only the query's words cross to Python."""
-    wanted = sorted(words_of(node))
+def matches_nothing(node: Node) -> bool:
+    """Whether a text with none of the query's words matches."""
+    if node.kind in ("word", "phrase"):
+        return False
+    found = [matches_nothing(p) for p in node.parts]
+    return not found[0] if node.kind == "not" else all(found) if node.kind == "and" else any(found)
+
 
-    @F.pandas_udf("double")
-    def ranked(entries: pd.Series) -> pd.Series:
-        return entries.map(lambda xs: 0.0 if xs is None else cover_density([(x["pos"], x["lexeme"]) for x in xs], node))
+def _leaves(node: Node) -> list[Node]:
+    """Words and phrases that count for an extent; a negation does not restrict one."""
+    if node.kind in ("word", "phrase"):
+        return [node]
+    return [] if node.kind == "not" else [leaf for p in node.parts for leaf in _leaves(p)]
 
-    return lambda tsv: ranked(F.filter(tsv, lambda x: x["lexeme"].isin(wanted)))
+
+def _begin(node: Node, last: dict[Node, Column], here: Column) -> Column:
+    """The latest place from which what was read up to here satisfies the query; negative where none does."""
+    if node.kind in ("word", "phrase"):
+        return last[node]
+    if node.kind == "not":
+        return here
+    parts = [_begin(p, last, here) for p in node.parts]
+    return parts[0] if len(parts) == 1 else (F.least if node.kind == "and" else F.greatest)(*parts)
+
+
+def cover_density(tsv: Column, node: Node) -> Column:
+    """Sum over the shortest extents that satisfy the query: weight over one and the foreign words inside.
+
+    One pass over the query's entries by position. For each entry the latest beginning of an extent that ends there
+    follows from the places where the words and phrases were met last; the extent is a shortest one if it begins
+    later than the one before.
+    """
+    wanted, leaves = sorted(words_of(node)), list(dict.fromkeys(_leaves(node)))
+    if not wanted:
+        return F.lit(0.0)
+    entries = F.array_sort(F.transform(F.filter(tsv, lambda x: x["lexeme"].isin(wanted)), lambda x: F.struct(x["pos"].alias("pos"), x["lexeme"].alias("lexeme"))))
+    name = {leaf: f"l{i}" for i, leaf in enumerate(leaves)}
+
+    def met(es: Column, leaf: Node, x: Column) -> Column:
+        """The place of a phrase's first word, if its last one is the entry and the others are where they should be."""
+        offsets = [sum(leaf.gaps[:i]) for i in range(len(leaf.parts))]
+        first = x["pos"] - offsets[-1]
+        place = lambda w, o: F.array_position(F.transform(es, lambda e: F.struct(e["pos"], e["lexeme"])), F.struct((first + o).alias("pos"), F.lit(w).alias("lexeme")))
+        there = reduce(and_, [place(w, o) > 0 for w, o in zip(leaf.parts, offsets)])
+        return F.when((x["lexeme"] == leaf.parts[-1]) & there, place(leaf.parts[0], 0).cast("int") - 1)
+
+    def step(es: Column):
+        def run(acc: Column, x: Column) -> Column:
+            here = acc["at"]
+            seen = {
+                leaf: F.when(x["lexeme"] == leaf.value, here).otherwise(acc[n]) if leaf.kind == "word" else F.coalesce(met(es, leaf, x), acc[n])
+                for leaf, n in name.items()
+            }
+
+            def grown(begin: Column) -> Column:
+                extra = here - begin
+                noise = x["pos"] - F.get(es, begin)["pos"] - extra
+                rank = F.lit(WEIGHT) / (1 + F.when(noise >= 0, noise).otherwise(extra / 2))
+                new = (begin >= 0) & (begin > acc["best"])
+                total = acc["total"] + F.when(new, rank).otherwise(0.0)
+                return F.struct(
+                    (here + 1).alias("at"), F.when(new, begin).otherwise(acc["best"]).alias("best"), total.alias("total"), *[seen[leaf].alias(n) for leaf, n in name.items()]
+                )
+
+            return F.transform(F.array(F.least(_begin(node, seen, here), here)), grown)[0]
+
+        return run
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("best"), F.lit(0.0).alias("total"), *[F.lit(-1).alias(n) for n in name.values()])
+    fold = lambda es: F.aggregate(es, start, step(es), lambda acc: acc["total"])
+    return F.when(tsv.isNotNull(), F.transform(F.array(entries), fold)[0]).otherwise(0.0)
+
+
+def rank(node: Node) -> Callable[[Column], Column]:
+    """Cover density of a lexeme column as an expression."""
+    return lambda tsv: cover_density(tsv, node)

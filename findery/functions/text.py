@@ -48,10 +48,10 @@ def trigram_set(c: Column) -> Column:
 def similarity(c: Column, query: str) -> Column:
     """Shared trigrams over all trigrams, null for null, 0 if both have none."""
     wanted = F.array(*[F.lit(g) for g in trigrams(query)]).cast("array<string>")
-    own = trigram_set(c)
-    shared = lambda g: F.size(F.array_intersect(g, wanted))
-    ratio = lambda g: F.coalesce(F.try_divide(shared(g), F.size(g) + F.size(wanted) - shared(g)), F.lit(0.0))
-    return F.when(c.isNotNull(), F.transform(F.array(own), ratio)[0])
+    # each of the sets and counts is bound once
+    counts = F.transform(F.array(trigram_set(c)), lambda g: F.struct(F.size(g).alias("own"), F.size(F.array_intersect(g, wanted)).alias("shared")))
+    ratio = F.transform(counts, lambda n: F.coalesce(F.try_divide(n["shared"], n["own"] + F.size(wanted) - n["shared"]), F.lit(0.0)))[0]
+    return F.when(c.isNotNull(), ratio)
 
 
 def with_repository(df):

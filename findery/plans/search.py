@@ -7,6 +7,7 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..functions.text import search_text, with_search_columns
 from ..operators import scoring
 from ..operators.filters import Envelope, envelope, live, page_of, user_predicate
 from ..operators.lookup import user_search
+from ..sources.inverted import SearchIndex
+from ..sources.vectors import VectorCells
 from ..schema import CAPS, PUBLIC, SHOW_LETTERS, TRIGRAM_THRESHOLD, WEIGHTS, BadRequest
 
 BRANCHES = ["fts", "phrase", "literal", "semantic", "trigram"]
@@ -68,10 +71,11 @@ def lexical_scores(projects: DataFrame, parsed: Parsed, stemmed: bool = True, br
     raw, phrases = scoring.raw_query(parsed.text), scoring.quoted_phrases(parsed.text)
     rows = with_search_columns(live(projects)).withColumn("_mine", user_predicate(parsed.user) if parsed.user else F.lit(True))
     mine, none = F.coalesce("_mine", F.lit(False)), F.lit(None).cast("double")
-    rows = rows.withColumn("_trigram", scoring.trigram_score(raw) if raw else none)
-    near = F.coalesce(F.col("_trigram") >= TRIGRAM_THRESHOLD, F.lit(False))
     phrase = scoring.phrase_score(phrases)
-    rows = rows.withColumn("_phrase", none if phrase is None else phrase)
+    scored = F.struct((scoring.trigram_score(raw) if raw else none).alias("_trigram"), (none if phrase is None else phrase).alias("_phrase"))
+    # generated, so that a score is worked out once and not again in each filter and column that reads it
+    rows = rows.select("*", F.inline(F.array(scored)))
+    near = F.coalesce(F.col("_trigram") >= TRIGRAM_THRESHOLD, F.lit(False))
     worded = mine & F.coalesce(F.col("_phrase") > 0, F.lit(False))
     if node is not None:
         rows = rows.withColumn("_tsv", lexemes(projects, stemmed))
@@ -90,6 +94,39 @@ def lexical_scores(projects: DataFrame, parsed: Parsed, stemmed: bool = True, br
     )
 
 
+def indexed_scores(projects: DataFrame, parsed: Parsed, index: SearchIndex, branches=BRANCHES) -> DataFrame:
+    """The same as lexical_scores from an index of lexemes and trigrams: a row's text is read only if the index found it.
+
+    Phrases are substrings of descriptions, which no index holds; a query with quotes scans their columns, and nothing
+    else. A query that texts without any of its words match is left to the scan of all rows.
+    """
+    node = fulltext.parse(parsed.text) if "fts" in branches else None
+    if node is not None and fulltext.matches_nothing(node):
+        return lexical_scores(projects, parsed, branches=branches)
+    spark, raw, phrase = projects.sparkSession, scoring.raw_query(parsed.text), scoring.phrase_score(scoring.quoted_phrases(parsed.text))
+    none = F.lit(None).cast("double")
+    found = []
+    if node is not None:
+        found.append(index.matches(spark, node).select("id", "version", fulltext.rank(node)(F.col("tsv")).alias("_fts"), none.alias("_trigram")))
+    if raw:
+        found.append(index.similar(spark, raw).select("id", "version", none.alias("_fts"), F.col("score").alias("_trigram")))
+    parts = []
+    rows = with_search_columns(live(projects)).withColumn("_mine", F.coalesce(user_predicate(parsed.user), F.lit(False)) if parsed.user else F.lit(True))
+    if found:
+        both = reduce(DataFrame.union, found).groupBy("id", "version").agg(F.max("_fts").alias("_fts"), F.max("_trigram").alias("_trigram"))
+        # former states of a project are in the index too, but its updated_at is another one now
+        kept = rows.withColumn("version", F.col("updated_at")).join(both, ["id", "version"])
+        near = F.col("_trigram").isNotNull()
+        literal = F.when(F.col("_mine") & near, scoring.literal_score(raw))
+        parts.append(kept.select("id", F.when(F.col("_mine"), F.col("_fts")).alias("fts"), none.alias("phrase"), literal.alias("literal"), F.col("_trigram").alias("trigram")))
+    if phrase is not None:
+        worded = rows.where("_mine").select("id", none.alias("fts"), phrase.alias("phrase"), none.alias("literal"), none.alias("trigram"))
+        parts.append(worded.where("phrase > 0"))
+    if not parts:
+        return lexical_scores(projects, parsed, branches=branches)
+    return reduce(DataFrame.union, parts)
+
+
 def nearest(embeddings: DataFrame, vector: list[float], cap: int) -> DataFrame:
     """The closest vectors of all that are stored, whatever their projects."""
     distance = scoring.cosine_distance(F.col("embedding"), vector)
@@ -98,11 +135,12 @@ def nearest(embeddings: DataFrame, vector: list[float], cap: int) -> DataFrame:
 
 
 def candidates(
-    projects: DataFrame, embeddings: DataFrame | None, parsed: Parsed, vector: list[float] | None, limit: int, branches=BRANCHES, stemmed: bool = True
-) -> DataFrame:
+    projects: DataFrame, embeddings: DataFrame | VectorCells | None, parsed: Parsed, vector: list[float] | None, limit: int, branches=BRANCHES, stemmed: bool = True,
+    index: SearchIndex | None = None,
+) -> DataFrame:
     """id and the five scores of every row that survives a branch's cap; 0 where a branch has not got it."""
     most = caps(limit)
-    lexical = lexical_scores(projects, parsed, stemmed, branches)
+    lexical = lexical_scores(projects, parsed, stemmed, branches) if index is None or not stemmed else indexed_scores(projects, parsed, index, branches)
     chosen = [b for b in BRANCHES if b != "semantic" and b in branches] or ["fts"]
     scored = lexical.select("id", F.inline(F.array(*[F.struct(F.lit(b).alias("branch"), F.col(b).alias("score")) for b in chosen]))).where("score IS NOT NULL")
     # one scan for all branches: each task keeps its best of a branch before anything moves
@@ -111,7 +149,7 @@ def candidates(
     cap = F.create_map(*[F.lit(x) for b in chosen for x in (b, most[b])])
     every = ranked.where(F.col("place") <= cap[F.col("branch")]).select("id", "branch", "score")
     if vector is not None and embeddings is not None and "semantic" in branches:
-        close = nearest(embeddings, vector, most["semantic"])
+        close = embeddings.nearest(projects.sparkSession, vector, most["semantic"]) if isinstance(embeddings, VectorCells) else nearest(embeddings, vector, most["semantic"])
         shown = live(projects).where(F.length("description") > SHOW_LETTERS)
         if parsed.user:
             shown = shown.where(user_predicate(parsed.user))
@@ -140,11 +178,14 @@ def fused(scores: DataFrame, w: dict[str, float]) -> DataFrame:
 
 
 def search(
-    projects: DataFrame, embeddings: DataFrame | None, query: str, *, limit: int | None = None, page: int | None = None,
+    projects: DataFrame, embeddings: DataFrame | VectorCells | None, query: str, *, limit: int | None = None, page: int | None = None,
     fts: float | None = None, semantic: float | None = None, trigram: float | None = None,
-    embed: Callable[[str], list[float]] | None = None, branches=BRANCHES, stemmed: bool = True,
+    embed: Callable[[str], list[float]] | None = None, branches=BRANCHES, stemmed: bool = True, index: SearchIndex | None = None,
 ) -> DataFrame:
-    """A page of public columns with score and total. A query for a user alone lists that user's projects."""
+    """A page of public columns with score and total. A query for a user alone lists that user's projects.
+
+    With an index its tables are searched in place of all rows; embeddings may be cells of vectors, of which the nearest are read.
+    """
     size, _, offset = page_of(limit, page, "search")
     parsed = parse_filters(query)
     if parsed.user and not parsed.text:
@@ -152,7 +193,7 @@ def search(
     w = weights(fts, semantic, trigram)
     vector = embed(parsed.embed) if embed else None
     # at most the caps' sum of rows
-    scored = fused(candidates(projects, embeddings, parsed, vector, size, branches, stemmed), w)
+    scored = fused(candidates(projects, embeddings, parsed, vector, size, branches, stemmed, index), w)
     scored = scored.withColumn("total", F.count("*").over(Window.partitionBy()))
     rows = live(projects).join(F.broadcast(scored.select("id", "raw", "score", "total")), "id")
     shown = rows.orderBy(F.col("raw").desc(), F.col("approved_at").desc_nulls_last(), F.col("id")).offset(offset).limit(size)

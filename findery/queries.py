@@ -15,6 +15,9 @@ from .operators.filters import Filter, Request, live, matching, run_query
 from .plans import search as hybrid
 from .schema import PUBLIC
 from .sources import feeds, fixtures
+from .sources.inverted import SearchIndex
+from .sources.shared import shared_folder
+from .sources.vectors import VectorCells
 from .sources.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,12 +292,14 @@ def fts_lexeme_places(p, spark, sf_dir):
 
 
 # small & ring | bolt: the shortest extents are each bolt, and a small and a ring with none of the three between
-@query(
-    "fts_rank",
+_RANK_SQL = (
     "SELECT id, round(sum(CASE WHEN x = 'bolt' THEN 0.1::DOUBLE WHEN x <> before AND before <> 'bolt' THEN 0.1::DOUBLE / (pos - place) ELSE 0 END), 6) AS rank FROM "
     f"(SELECT *, lag(x) OVER o AS before, lag(pos) OVER o AS place FROM {_PLACED} WHERE x IS NOT NULL WINDOW o AS (PARTITION BY id ORDER BY pos)) "
-    "GROUP BY id HAVING bool_or(x = 'bolt') OR (bool_or(x = 'small') AND bool_or(x = 'ring'))",
+    "GROUP BY id HAVING bool_or(x = 'bolt') OR (bool_or(x = 'small') AND bool_or(x = 'ring'))"
 )
+
+
+@query("fts_rank", _RANK_SQL)
 def fts_rank(p, spark, sf_dir):
     node = fulltext.parse("small rings or bolts")
     rows = live(p).select("id", hybrid.lexemes(p).alias("tsv")).where(fulltext.matches(F.col("tsv"), node))
@@ -307,6 +312,55 @@ query("hybrid_full", fusion_sql("small ring bolts or rings", ["small ring"], 20,
     lambda p, spark, sf_dir: _search(p, spark, sf_dir, '"small ring" bolts or rings', limit=20)
 )
 
+# the same from tables beside the catalogue: lexemes, trigrams, cells of vectors
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], object]):
+    """What an application has built of some tables already."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    made = lambda: SearchIndex(shared_folder(spark, "index")).build(ingest.with_lexemes(fixtures.projects(spark, sf_dir)))
+    return _built(spark, sf_dir, "index", made)
+
+
+def vector_cells(spark: SparkSession, sf_dir: str) -> VectorCells:
+    return _built(spark, sf_dir, "cells", lambda: VectorCells(shared_folder(spark, "cells")).build(fixtures.embeddings(spark, sf_dir)))
+
+
+def _current(found: DataFrame, p: DataFrame) -> DataFrame:
+    """What an index found, of projects that are live and in the state that it was found in."""
+    return found.join(live(p).select("id", F.col("updated_at").alias("version")), ["id", "version"], "left_semi")
+
+
+@query("fts_rank_indexed", _RANK_SQL)
+def fts_rank_indexed(p, spark, sf_dir):
+    node = fulltext.parse("small rings or bolts")
+    found = _current(search_index(spark, sf_dir).matches(spark, node), p)
+    return found.select("id", F.round(fulltext.rank(node)(F.col("tsv")), 6).alias("rank"))
+
+
+@query("trigram_match_indexed", f"SELECT id, round({trigram_sql(_RAW)}, 6) AS score FROM live WHERE {trigram_sql(_RAW)} >= 0.3")
+def trigram_match_indexed(p, spark, sf_dir):
+    return _current(search_index(spark, sf_dir).similar(spark, _RAW), p).select("id", F.round("score", 6).alias("score"))
+
+
+query("hybrid_indexed", fusion_sql("small ring bolts or rings", ["small ring"], 20, None, _PAGE_SQL.replace("LIMIT 10", "LIMIT 20"), _RING_SQL))(
+    lambda p, spark, sf_dir: _search(p, spark, sf_dir, '"small ring" bolts or rings', limit=20, index=search_index(spark, sf_dir))
+)
+
+
+@query("vector_topk_cells", f"SELECT id, round(distance, 6) AS distance FROM {_NEAREST}")
+def vector_topk_cells(p, spark, sf_dir):
+    found = vector_cells(spark, sf_dir).nearest(spark, _vector(spark, sf_dir), 80)
+    return found.select("id", F.round("distance", 6).alias("distance"))
+
+
 # published pairs of a word and its Porter2 stem: fixed values
 STEMS = (
     "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist "

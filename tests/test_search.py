@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from findery.functions import fulltext
+from findery.functions import english, fulltext
 from findery.functions.english import english_lexemes, lexemes, stem
 from findery.functions.text import like_normalise, similarity, trigram_set, trigrams, with_repository
 from findery.operators import ingest, scoring
@@ -77,15 +77,42 @@ def test_queries_parse():
     assert p('"ring of gold"').gaps == (2,)
 
 
-def test_cover_density():
-    rank = lambda words, q: round(fulltext.cover_density([(i, w) for i, w in enumerate(words.split(), 1)], fulltext.parse(q, False)), 6)
-    assert rank("a b c a", "a") == 0.2
-    assert rank("a b", "a b") == 0.1
-    assert rank("a x x b", "a b") == round(0.1 / 3, 6)
-    assert rank("a b a", "a b") == 0.2
-    assert rank("a x b", '"a b"') == 0 and rank("a b x a b", '"a b"') == 0.2
-    assert rank("a c", "a or b") == 0.1
-    assert rank("a", "-b") == 0
+def slow_holds(node, seen):
+    if node.kind == "word":
+        return node.value in seen
+    if node.kind == "phrase":
+        offsets = [sum(node.gaps[:i]) for i in range(len(node.parts))]
+        return any(all(p + o in seen.get(w, ()) for w, o in zip(node.parts, offsets)) for p in seen.get(node.parts[0], ()))
+    if node.kind == "not":
+        return True
+    return (all if node.kind == "and" else any)(slow_holds(p, seen) for p in node.parts)
+
+
+def slow_density(entries, node):
+    """Every extent tried: those that satisfy the query and hold no smaller one that does."""
+    entries = sorted((p, w) for p, w in entries if w in fulltext.words_of(node))
+    holds = lambda a, b: slow_holds(node, {w: {p for p, x in entries[a : b + 1] if x == w} for _, w in entries[a : b + 1]})
+    good = [(a, b) for a in range(len(entries)) for b in range(a, len(entries)) if holds(a, b)]
+    least = [(a, b) for a, b in good if not any((c, d) != (a, b) and a <= c and d <= b for c, d in good)]
+    noise = lambda a, b: entries[b][0] - entries[a][0] - (b - a)
+    return sum(0.1 / (1 + (n if (n := noise(a, b)) >= 0 else (b - a) / 2)) for a, b in least)
+
+
+def test_cover_density(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["a b c a", "a b", "a x x b", "a b a", "a x b", "a b x a b", "a c", "a", "", "a a b b a b"] + [" ".join(rng.choice("abcdx") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", english.plain_lexemes(F.col("t")).alias("tsv")).persist()
+    known = {"a": {0: 0.2}, "a b": {1: 0.1, 2: 0.1 / 3, 3: 0.2}, '"a b"': {4: 0, 5: 0.2}, "a or c": {6: 0.2}, "-b": {7: 0}}
+    for q in [*known, "a b c", "a b or c", '"a b c" or d', 'a -c "b d"', '"a a"', "a or -b", "d", '"a b" "b a"', "a a"]:
+        node = fulltext.parse(q, False)
+        got = {r.i: r.rank for r in df.select("i", fulltext.rank(node)(F.col("tsv")).alias("rank")).collect()}
+        for i, t in enumerate(texts):
+            assert math.isclose(got[i], slow_density(list(enumerate(t.split(), 1)), node), abs_tol=1e-9), (q, t)
+        for i, value in known.get(q, {}).items():
+            assert math.isclose(got[i], value, abs_tol=1e-9)
+    assert "Python" not in df.select(fulltext.rank(fulltext.parse('a "b c"', False))(F.col("tsv")))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stored_lexemes(spark):
