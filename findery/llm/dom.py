@@ -10,12 +10,15 @@ import numpy as np
 
 # fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-SKIPPED = frozenset("head script style noscript template iframe svg math textarea select button object canvas title".split())
+#: Elements whose content is never text of the page: code, forms, and what stands in for a picture (svg, canvas, object) where it
+#: cannot be drawn. Formulas are text, but for their annotations, which say the same in another notation.
+SKIPPED = frozenset("head script style noscript template iframe svg textarea select button object canvas title annotation annotation-xml".split())
 RAW = frozenset("script style textarea title noscript iframe template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr input".split()
+    "strike strong sub sup time tt u var wbr input "
+    "annotation annotation-xml math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext "
+    "mtr munder munderover semantics".split()
 )
 #: A start tag closes these open elements, up to the given boundaries.
 CLOSES = {
@@ -199,7 +202,7 @@ class Page:
                     continue
             if not closing:
                 if name in SKIPPED and not attrs.endswith("/"):
-                    flush() if name not in ("svg", "math", "button", "select") else run.append(" ")
+                    flush() if name not in ("svg", "annotation", "annotation-xml", "button", "select") else run.append(" ")
                     if name in ("select", "textarea", "button"):
                         self.inputs[tags.node()] += 1
                     if name in RAW:

@@ -90,8 +90,10 @@ def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places, labels = [], set()
             for needle, label in needles:
                 at = flat.find(needle)
+                before, counted = 0, 0
                 while at >= 0:
-                    places.append(flat.count(b" ", 0, at))
+                    counted, before = counted + flat.count(b" ", before, at), at
+                    places.append(counted)
                     labels.add(label)
                     at = flat.find(needle, at + 1)
             rows.append((len(words), len(places), min(places, default=None), max(places, default=None), sorted(labels)))

@@ -106,3 +106,9 @@ def test_broken_pages_are_read_in_linear_time(source):
     start = time.process_time()
     Page(source)
     assert time.process_time() - start < 4
+
+
+def test_formulas_stay():
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>x=1/2</annotation></math> hold.</p><p>A <svg><text>no</text></svg> b</p></article></body>"
+    assert [t for t in Page(page).text if t] == ["Let x=12 hold.", "A b"]
+    assert [t for t in Page("<p>Let <math>x=2</math> hold.</p>").text if t] == ["Let x=2 hold."]

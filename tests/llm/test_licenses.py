@@ -86,3 +86,19 @@ def test_spans_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], SCHEMA)
     for r in find_licenses(df, notices=notices).collect():
         assert [(s.first, s.last, s.label) for s in r.spans] == slow(texts[r.doc_id].split()), texts[r.doc_id]
+
+
+def test_a_long_text_of_phrases():
+    """Places are counted forward: time grows with the text, not with its square."""
+    import time
+
+    import pyarrow as pa
+
+    from findery.llm.licenses import base
+
+    batch = lambda n: pa.RecordBatch.from_pydict({"doc": [1], "text_hash": [1], "body": [b"x mit license" * 1 + b" mit license" * n]})
+    start = time.perf_counter()
+    (got,) = base(iter([batch(80_000)]))
+    assert time.perf_counter() - start < 2
+    row = got.to_pylist()[0]
+    assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (160_003, 80_001, 1, 160_001)
