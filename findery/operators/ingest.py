@@ -52,11 +52,12 @@ def numbered(rows: DataFrame, start: Column, key: str) -> DataFrame:
 
 
 def upsert(
-    projects: DataFrame, feed: DataFrame, columns: list[str], now, insert_only: tuple[str, ...] = (), checked: bool = False
+    projects: DataFrame, feed: DataFrame, columns: list[str], now, insert_only: tuple[str, ...] = (), checked: bool = False, last_id: Column | None = None
 ) -> DataFrame:
     """The next snapshot with a column `changed`: inserted rows, and rows where a column differs or a tombstone falls.
 
     Rows that do not change keep their updated_at and lexemes. insert_only columns are written for new rows alone.
+    New ids follow last_id, where projects are a part of the catalogue.
     """
     if not checked:
         check_keys(feed)
@@ -73,7 +74,7 @@ def upsert(
         | {"deleted_at": F.when(~F.col("changed"), F.col("deleted_at")), "updated_at": F.when(F.col("changed"), at).otherwise(F.col("updated_at"))}
     )
     fresh = feed.join(projects.select("airtable_id"), "airtable_id", "left_anti").select("airtable_id", *columns, *insert_only)
-    fresh = numbered(fresh, F.coalesce(projects.agg(F.max("id")).scalar(), F.lit(0)), "airtable_id")
+    fresh = numbered(fresh, F.coalesce(projects.agg(F.max("id")).scalar() if last_id is None else last_id, F.lit(0)), "airtable_id")
     have = {"id", "airtable_id", *columns, *insert_only}
     defaults = {"github_stars": F.lit(0), "created_at": at, "updated_at": at}
     fresh = fresh.withColumns({f.name: defaults.get(f.name, F.lit(None)).cast(f.dataType) for f in PROJECTS if f.name not in have})
@@ -82,12 +83,12 @@ def upsert(
     return with_lexemes(out, F.col("changed") | F.col("tsv").isNull()).select(*names, "changed")
 
 
-def upsert_a(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
-    return upsert(projects, feed, COLUMNS_A, now, insert_only=("media_url",), checked=checked)
+def upsert_a(projects: DataFrame, feed: DataFrame, now, checked: bool = False, last_id: Column | None = None) -> DataFrame:
+    return upsert(projects, feed, COLUMNS_A, now, insert_only=("media_url",), checked=checked, last_id=last_id)
 
 
-def upsert_b(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
-    return upsert(projects, feed, COLUMNS_B, now, checked=checked)
+def upsert_b(projects: DataFrame, feed: DataFrame, now, checked: bool = False, last_id: Column | None = None) -> DataFrame:
+    return upsert(projects, feed, COLUMNS_B, now, checked=checked, last_id=last_id)
 
 
 def update_media(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
@@ -122,17 +123,18 @@ def soft_delete(projects: DataFrame, feed: DataFrame, now, *, allow_empty: bool
 
 
 def changes(snapshot: DataFrame) -> int:
+    """Rows that a snapshot changes; one that is written tells it by the way (Catalogue.merge)."""
     return snapshot.where("changed").count()
 
 
-def apply_feed_a(projects: DataFrame, feed: DataFrame, now, **how) -> DataFrame:
+def apply_feed_a(projects: DataFrame, feed: DataFrame, now, *, checked: bool = False, last_id: Column | None = None, **how) -> DataFrame:
     """Upsert, then tombstones; changed if either changed the row."""
-    one = upsert_a(projects, feed, now).withColumnRenamed("changed", "_first")
+    one = upsert_a(projects, feed, now, checked, last_id).withColumnRenamed("changed", "_first")
     return _either(soft_delete(one, feed, now, **how))
 
 
-def apply_feed_b(projects: DataFrame, feed: DataFrame, now, **how) -> DataFrame:
-    one = upsert_b(projects, feed, now).withColumnRenamed("changed", "_first")
+def apply_feed_b(projects: DataFrame, feed: DataFrame, now, *, checked: bool = False, last_id: Column | None = None, **how) -> DataFrame:
+    one = upsert_b(projects, feed, now, checked, last_id).withColumnRenamed("changed", "_first")
     two = _either(update_media(one, feed, now, checked=True)).withColumnRenamed("changed", "_first")
     return _either(soft_delete(two, feed, now, **how))
 

@@ -18,6 +18,7 @@ from .sources import feeds, fixtures
 from .sources.inverted import SearchIndex
 from .sources.shared import shared_folder
 from .sources.vectors import VectorCells
+from .sources.catalogue import Catalogue
 from .sources.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,6 +432,29 @@ def upsert_feed_b(p, spark, sf_dir):
     return _merged(ingest.upsert_b(p, spark.sql(_FEED_B, projects=p), NOW), ingest.COLUMNS_B, ["media_url"])
 
 
+def _differs_sql(columns: list[str]) -> str:
+    return " OR ".join(f"p.{c} IS DISTINCT FROM f.{c}" for c in columns)
+
+
+_APPLIED_SQL = (
+    f"SELECT p.airtable_id, {', '.join(f'CASE WHEN f.airtable_id IS NULL THEN p.{c} ELSE f.{c} END AS {c}' for c in ingest.COLUMNS_A)}, p.media_url, f.airtable_id IS NULL AS deleted, "
+    f"CASE WHEN f.airtable_id IS NULL THEN p.deleted_at IS NULL ELSE {_differs_sql(ingest.COLUMNS_A)} OR p.deleted_at IS NOT NULL END AS touched "
+    f"FROM projects p LEFT JOIN ({_FEED_A.format(projects='projects')}) f USING (airtable_id) UNION ALL "
+    f"SELECT airtable_id, {', '.join(ingest.COLUMNS_A)}, media_url, false, true FROM ({_FEED_A.format(projects='projects')}) WHERE airtable_id NOT IN (SELECT airtable_id FROM projects)"
+)
+
+
+@query("merge_feed_a", _APPLIED_SQL)
+def merge_feed_a(p, spark, sf_dir):
+    """The catalogue stored in buckets, and a feed merged into it."""
+    catalogue = Catalogue(spark, shared_folder(spark, "catalogue"), 8).create(ingest.with_lexemes(p))
+    catalogue.merge(spark.sql(_FEED_A, projects=p), "a", NOW)
+    at = F.lit(NOW).cast("timestamp")
+    return catalogue.read().select(
+        "airtable_id", *ingest.COLUMNS_A, "media_url", F.col("deleted_at").isNotNull().alias("deleted"), (F.col("updated_at") == at).alias("touched"),
+    )
+
+
 @query(
     "media_update",
     f"SELECT p.id, CASE WHEN f.airtable_id IS NULL THEN p.media_url ELSE f.media_url END AS media_url, "

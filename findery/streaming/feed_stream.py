@@ -7,30 +7,32 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import apply_feed_a, apply_feed_b
+from ..sources.catalogue import Catalogue, exclusive
 from ..sources.feeds import decode_feed_a, decode_feed_b, records
-from ..sources.store import Store
+from ..sources.inverted import SearchIndex
 
-KINDS = {"a": (decode_feed_a, apply_feed_a), "b": (decode_feed_b, apply_feed_b)}
+DECODERS = {"a": decode_feed_a, "b": decode_feed_b}
 
 
 def follow(
-    spark: SparkSession, landing: str, store: Store, kind: str, checkpoint: str, *, trigger: dict | None = None, clock=None, whole: bool = True
+    spark: SparkSession, landing: str, catalogue: Catalogue, kind: str, checkpoint: str, *, trigger: dict | None = None, clock=None, whole: bool = True,
+    index: SearchIndex | None = None,
 ) -> StreamingQuery:
     """Apply every file that lands, one a batch and in order; a batch that is replayed changes nothing.
 
-    A file is one JSON array, which one task reads, or with whole=False JSON lines as feeds.land makes them.
+    A file is one JSON array, which one task reads, or with whole=False JSON lines as feeds.land makes them. While
+    another run is at work on the catalogue a batch is passed over: the next one is a whole payload too. An index
+    gets the rows that a batch changes.
     """
-    decode, apply = KINDS[kind]
     now = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
     def batch(files, number: int) -> None:
-        base = store.version()
-        feed = decode(records(files)).persist()  # read for its keys, its rows and its tombstones
-        try:
-            store.write(apply(store.read(base), feed, now()).drop("changed"), base)
-        finally:
-            feed.unpersist()
+        with exclusive(spark, catalogue.path) as mine:
+            if mine:
+                at = now()
+                merged = catalogue.merge(DECODERS[kind](records(files)), kind, at)
+                if index is not None and merged.changed:
+                    index.refresh(catalogue.changes(merged, at))
 
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(landing, wholetext=whole)
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -10,7 +10,8 @@ from findery.functions import present
 from findery.operators import embed, ingest
 from findery.schema import PROJECTS
 from findery.sources import feeds
-from findery.sources.store import Store
+from findery.sources.catalogue import Catalogue, exclusive
+from findery.sources.inverted import SearchIndex
 from findery.streaming.feed_stream import follow
 
 T1, T2 = datetime(2025, 1, 1), datetime(2025, 2, 1)
@@ -102,29 +103,67 @@ def test_ids_have_no_gaps(spark, empty):
     assert sorted(r.id for r in ingest.upsert_a(empty, many, T1).collect()) == list(range(1, 701))
 
 
-def test_store(spark, empty, tmp_path):
-    store = Store(spark, str(tmp_path), "projects")
-    with pytest.raises(LookupError):
-        store.read()
-    assert store.write(empty, 0) == 1
-    two = ingest.upsert_a(store.read(), feed_a(spark, {}), T1).drop("changed")
-    assert store.write(two, 1) == 2 and store.read().count() == 1 and store.read(1).count() == 0
-    with pytest.raises(RuntimeError):
-        store.write(two, 1)
-    assert Store(spark, str(tmp_path), "projects").version() == 2
+def files(folder):
+    return {str(f): f.stat().st_mtime_ns for f in folder.rglob("bucket=*/*.parquet")}
+
+
+def test_merge_rewrites_what_changes(spark, empty, tmp_path):
+    base = ingest.upsert_a(empty, feed_a(spark, *[{"id": f"k{i}", "hours": i} for i in range(300)]), T1).drop("changed")
+    catalogue = Catalogue(spark, str(tmp_path), 16).create(base)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        catalogue.create(base)
+    assert sorted(catalogue.read().columns) == sorted(base.columns) and rows(catalogue.read()) == rows(base)
+    # one per cent: two rows change, one goes, one comes
+    changes = [{"id": f"k{i}", "hours": i, "description": "new" if i in (7, 8) else "d"} for i in range(300) if i != 50] + [{"id": "fresh"}]
+    before, feed = files(tmp_path), feed_a(spark, *changes)
+    got = catalogue.merge(feed, "a", T2)
+    want = ingest.apply_feed_a(base, feed, T2)
+    assert (got.changed, 1 <= len(got.buckets) <= 4) == (4, True) == (want.where("changed").count(), True)
+    assert got.written == catalogue.read(got.buckets).count() < 150
+    assert rows(catalogue.read()) == rows(want.drop("changed"))
+    after = files(tmp_path)
+    assert {f for f in before if before[f] == after.get(f)} == {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in got.buckets}
+    assert {r.airtable_id for r in catalogue.changes(got, T2).collect()} == {"k7", "k8", "k50", "fresh"}
+    # the same again changes nothing and writes nothing
+    again = catalogue.merge(feed, "a", datetime(2025, 3, 1))
+    assert (again.changed, again.buckets) == (0, []) and files(tmp_path) == after
+    with pytest.raises(ValueError, match="empty"):
+        catalogue.merge(feed.limit(0), "a", T2)
+    with pytest.raises(ingest.DuplicateKey):
+        catalogue.merge(feed.union(feed.limit(1)), "a", T2)
+    gone = catalogue.merge(feed.limit(0), "a", T2, allow_empty=True, scope=F.col("airtable_id").isin("k1", "k2"))
+    assert gone.changed == 2 and rows(catalogue.read())["k3"].deleted_at is None
+
+
+def test_merge_of_the_other_feed(spark, empty, tmp_path):
+    base = ingest.upsert_a(empty, feed_a(spark, {}, {"id": "k2"}, {"id": "k3"}), T1).drop("changed")
+    catalogue = Catalogue(spark, str(tmp_path), 4).create(base)
+    feed = base.where("airtable_id <> 'k3'").select("airtable_id", *ingest.COLUMNS_B, F.when(F.col("airtable_id") == "k1", F.col("media_url")).alias("media_url"))
+    got = catalogue.merge(feed, "b", T2)  # k2 loses its media, k3 goes
+    assert got.changed == 2 and rows(catalogue.read()) == rows(ingest.apply_feed_b(base, feed, T2).drop("changed"))
+
+
+def test_one_run_at_a_time(spark, tmp_path):
+    with exclusive(spark, str(tmp_path)) as one, exclusive(spark, str(tmp_path)) as two:
+        assert one and not two
+    with exclusive(spark, str(tmp_path)) as three:
+        assert three
+        with exclusive(spark, str(tmp_path), stale=-1) as lost:
+            assert lost
 
 
 def test_stream(spark, empty, tmp_path):
-    store = Store(spark, str(tmp_path), "projects")
-    store.write(empty, 0)
+    store = Catalogue(spark, str(tmp_path / "projects"), 4).create(empty)
+    index = SearchIndex(str(tmp_path / "index"), buckets=4)
     landing = tmp_path / "landing"
     landing.mkdir()
     (landing / "1.json").write_text(json.dumps([A | {"screenshot_url": None}, A | {"id": "k2", "screenshot_url": None}], indent=1))
-    follow(spark, str(landing), store, "a", str(tmp_path / "cp"), clock=lambda: T1).awaitTermination(120)
+    follow(spark, str(landing), store, "a", str(tmp_path / "cp"), clock=lambda: T1, index=index).awaitTermination(120)
     (landing / "2.json").write_text(json.dumps([A | {"screenshot_url": None}]))
     follow(spark, str(landing), store, "a", str(tmp_path / "cp"), clock=lambda: T2).awaitTermination(120)
     got = rows(store.read())
-    assert store.version() == 3 and got["k1"].deleted_at is None and got["k2"].deleted_at == T2
+    assert set(got) == {"k1", "k2"} and got["k1"].deleted_at is None and got["k2"].deleted_at == T2
+    assert {(r.id, r.version) for r in index.lexemes.of(spark, ["prog"]).collect()} == {(got["k1"].id, T1), (got["k2"].id, T1)}
 
 
 def test_fetching():
@@ -276,7 +315,6 @@ def test_landing(spark, empty, tmp_path):
     folder = str(tmp_path / "landed")
     path = feeds.land(spark, "u", folder, 120, lambda url, timeout: Body(json.dumps(items[:2], ensure_ascii=False).encode()))
     assert path.endswith(".jsonl") and feeds.read_feed(spark, folder, whole=False).count() == 2
-    store = Store(spark, str(tmp_path), "projects")
-    store.write(empty, 0)
+    store = Catalogue(spark, str(tmp_path / "projects"), 4).create(empty)
     follow(spark, folder, store, "a", str(tmp_path / "cp"), clock=lambda: T1, whole=False).awaitTermination(120)
     assert set(rows(store.read())) == {"k1", "k2"}
