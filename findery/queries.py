@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import english, fulltext, present
@@ -292,6 +292,15 @@ def fts_lexeme_places(p, spark, sf_dir):
     return placed.where(F.col("lexeme").isin(list(_FAMILIES))).select("id", "lexeme", F.col("pos").cast("long").alias("pos"))
 
 
+_STOPS_SQL = ", ".join(map(repr, sorted(english.STOP_WORDS)))
+
+
+@query("fts_lexeme_positions", f"SELECT id, pos FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_WORDS}) WHERE x NOT IN ({_STOPS_SQL})")
+def fts_lexeme_positions(p, spark, sf_dir):
+    """Where the lexemes of all words stand: what is cut into words and what is stopped."""
+    return live(p).select("id", F.inline(hybrid.lexemes(p))).select("id", F.col("pos").cast("long").alias("pos"))
+
+
 # small & ring | bolt: the shortest extents are each bolt, and a small and a ring with none of the three between
 _RANK_SQL = (
     "SELECT id, round(sum(CASE WHEN x = 'bolt' THEN 0.1::DOUBLE WHEN x <> before AND before <> 'bolt' THEN 0.1::DOUBLE / (pos - place) ELSE 0 END), 6) AS rank FROM "
@@ -376,10 +385,32 @@ STEMS = (
 ).split()
 
 
-@query("stem_cases", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in zip(STEMS[::2], STEMS[1::2])) + ") AS t(word, stem)")
+@query(
+    "stem_cases",
+    f"SELECT p_partkey, w[1] AS word, w[2] AS stem FROM (SELECT p_partkey, [[{'], ['.join(f'{w!r}, {s!r}' for w, s in zip(STEMS[::2], STEMS[1::2]))}]][p_partkey % {len(STEMS) // 2} + 1] AS w FROM part)",
+)
 def stem_cases(p, spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in STEMS[::2]], "word string")
-    return words.select("word", F.get(english.english_lexemes(F.col("word")), F.lit(0))["lexeme"].alias("stem"))
+    """Each part is given one of the words by its key."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    word = F.get(F.array(*[F.lit(w) for w in STEMS[::2]]), (F.col("p_partkey") % (len(STEMS) // 2)).cast("int"))
+    words = parts.select("p_partkey", word.alias("word"))
+    return words.select("p_partkey", "word", F.get(english.english_lexemes(F.col("word")), F.lit(0))["lexeme"].alias("stem"))
+
+
+_PART_FORMS = ["", "s", "ed", "ing", "ly"]
+
+
+@query(
+    "stem_part_words",
+    "SELECT p_partkey, w || f AS word, CASE WHEN f = 'ly' AND NOT regexp_matches(w, '[cdeghkmnrt]$') THEN w || 'li' ELSE w END AS stem FROM "
+    f"(SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), (SELECT unnest({_PART_FORMS}) AS f) WHERE regexp_matches(w, '^(small|ring|bolt|widget)$')",
+)
+def stem_part_words(p, spark, sf_dir):
+    """Words of the parts' names and forms of them."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bases = parts.select("p_partkey", F.explode(F.split("p_name", " ")).alias("w")).where(F.col("w").isin("small", "ring", "bolt", "widget"))
+    words = bases.select("p_partkey", F.explode(F.array(*[F.concat("w", F.lit(f)) for f in _PART_FORMS])).alias("word"))
+    return words.select("p_partkey", "word", F.get(english.english_lexemes(F.col("word")), F.lit(0))["lexeme"].alias("stem"))
 
 # ingestion: feeds made of the catalogue itself
 
@@ -505,17 +536,38 @@ DECODED = [
 _quote = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("decode_variants", "SELECT * FROM (VALUES " + ", ".join(f"({_quote(d)}, {_quote(j)}, CAST({_quote(v)} AS VARCHAR))" for d, j, v in DECODED) + ") AS t(decoder, json, value)")
-def decode_variants(p, spark, sf_dir):
-    cases = spark.createDataFrame([c[:2] for c in DECODED], "decoder string, json string")
+_CASE_SQL = "(SELECT row_number() OVER () - 1 AS n, * FROM (VALUES " + ", ".join(f"({_quote(d)}, {_quote(j)}, CAST({_quote(v)} AS VARCHAR))" for d, j, v in DECODED) + ") AS t(decoder, json, value))"
+#: Values of the events in the forms that feeds give them.
+_FORMS = {
+    "timestamp": ("CAST(user_id AS VARCHAR)", "CAST(user_id AS VARCHAR)"),
+    "int": ("CAST(event_id AS VARCHAR)", "CAST(event_id AS VARCHAR)"),
+    "string": ("concat('[\"', event_type, '\", 1]')", "event_type"),
+    "float": ("concat('[', CAST(event_id AS VARCHAR), '.5]')", "concat(CAST(event_id AS VARCHAR), '.5')"),
+    "screenshot": ("concat('[null, {\"z\": {\"url\": \"last\"}, \"a\": [[{\"url\": \"', event_type, '\"}]]}]')", "event_type"),
+}
+
+
+def _decoded(cases: DataFrame) -> Column:
     record = F.parse_json(F.concat(F.lit('{"x":'), F.col("json"), F.lit("}")))
-    rows = cases.withColumn("r", record)
     decoders = {"timestamp": feeds.timestamp, "int": feeds.null_int, "string": feeds.null_string, "float": feeds.null_float, "screenshot": feeds.screenshot}
-    parts = [rows.where(F.col("decoder") == d).select("decoder", "json", f(F.col("r"), "$.x").cast("string").alias("value")) for d, f in decoders.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return F.coalesce(*[F.when(F.col("decoder") == d, f(F.when(F.col("decoder") == d, record).otherwise(F.parse_json(F.lit('{"x":null}'))), "$.x").cast("string")) for d, f in decoders.items()])
+
+
+@query("decode_variants", f"SELECT event_id, decoder, json, c.value AS value FROM events JOIN {_CASE_SQL} c ON n = event_id % {len(DECODED)}")
+def decode_variants(p, spark, sf_dir):
+    """Each event is given one of the cases by its id."""
+    cases = F.array(*[F.struct(F.lit(d).alias("decoder"), F.lit(j).alias("json")) for d, j, _ in DECODED])
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get(cases, (F.col("event_id") % len(DECODED)).cast("int")).alias("c"))
+    rows = events.select("event_id", "c.*")
+    return rows.select("event_id", "decoder", "json", _decoded(rows).alias("value"))
+
+
+@query("decode_events", " UNION ALL ".join(f"SELECT event_id, '{d}' AS decoder, {value} AS value FROM events" for d, (_, value) in _FORMS.items()))
+def decode_events(p, spark, sf_dir):
+    """Columns of the events as JSON of several forms, and what the decoders make of them."""
+    forms = F.array(*[F.struct(F.lit(d).alias("decoder"), F.expr(form.replace("VARCHAR", "STRING")).alias("json")) for d, (form, _) in _FORMS.items()])
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.inline(forms))
+    return rows.select("event_id", "decoder", _decoded(rows).alias("value"))
 
 
 # presentation

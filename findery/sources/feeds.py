@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.embed import retried
 
@@ -203,31 +202,33 @@ def null_float(record: Column, path: str, required: bool = True) -> Column:
     )
 
 
-def first_url(text: str | None) -> str | None:
-    """The first URL in JSON: a string, an object's url, or the first in its values (by key) or items."""
+#: Levels of arrays and objects that a screenshot's URL is looked for in; deeper ones cannot be decoded.
+LEVELS = 12
 
-    def walk(x):
-        if isinstance(x, str):
-            return x if x and x != "null" else None
-        if isinstance(x, dict):
-            if isinstance(x.get("url"), str):
-                return x["url"] or None
-            return next((u for k in sorted(x) if (u := walk(x[k])) is not None), None)
-        if isinstance(x, list):
-            return next((u for y in x if (u := walk(y)) is not None), None)
-        return None
 
-    return None if text is None else walk(json.loads(text))
+def first_url(value: Column, levels: int = LEVELS) -> Column:
+    """The first URL in a variant: a string, an object's url, or the first in its values (by key) or items.
 
-
-@F.pandas_udf(T.StringType())
-def _first_url(text):
-    return text.map(first_url)
+    One expression, unfolded as many times as there are levels.
+    """
+    kind, text = _kind(value), F.try_variant_get(value, "$", "string")
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    if not levels:
+        return F.when(nested, _fail("a URL nested so deeply", value).cast("string")).when((kind == "STRING") & ~text.isin("", "null"), text)
+    url = _at(value, "$.url")
+    by_key = F.try_variant_get(value, "$", "map<string,variant>")
+    values = F.transform(F.array_sort(F.map_keys(by_key)), lambda k: F.element_at(by_key, k))
+    inner = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), values)
+    first = F.get(F.filter(F.transform(inner, lambda x: first_url(x, levels - 1)), lambda u: u.isNotNull()), F.lit(0))
+    return (
+        F.when(kind == "STRING", F.when(~text.isin("", "null"), text))
+        .when(kind.startswith("OBJECT") & (_kind(url) == "STRING"), F.nullif(F.try_variant_get(url, "$", "string"), F.lit("")))
+        .when(nested, first)
+    )
 
 
 def screenshot(record: Column, path: str) -> Column:
-    """Values nest without bound, which an expression cannot walk; only their JSON crosses to Python."""
-    return _first_url(F.to_json(_at(record, path)))
+    return first_url(_at(record, path))
 
 
 def decode_feed_a(records: DataFrame) -> DataFrame:

@@ -63,6 +63,41 @@ def test_absent_fields_fail(spark):
             feeds.decode_feed_b(records(spark, [{"id": "k", "fields": {"YSWS–Name": "p", "Hours Spent": bad}}])).collect()
 
 
+def slow_url(x):
+    if isinstance(x, str):
+        return x if x and x != "null" else None
+    if isinstance(x, dict) and isinstance(x.get("url"), str):
+        return x["url"] or None
+    inner = [x[k] for k in sorted(x)] if isinstance(x, dict) else x if isinstance(x, list) else []
+    return next((u for y in inner if (u := slow_url(y)) is not None), None)
+
+
+def test_urls_in_nested_values(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def made(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return [None, 3, rng.choice(["", "null", "u1", "u2"]), True][kind]
+        if kind == 4:
+            return [made(depth - 1) for _ in range(rng.randrange(4))]
+        return {k: made(depth - 1) for k in rng.sample(["a", "url", "B", "é", "z"], rng.randrange(4))}
+
+    values = [made(5) for _ in range(400)]
+    deep = "u"
+    for i in range(feeds.LEVELS):
+        deep = [deep] if i % 2 else {"k": deep}
+    df = records(spark, [{"x": v} for v in [*values, deep]]).withColumn("n", F.monotonically_increasing_id())
+    got = df.select("n", F.to_json("record").alias("j"), feeds.screenshot(F.col("record"), "$.x").alias("u"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        assert r.u == slow_url(json.loads(r.j)["x"]), r.j
+    with pytest.raises(Exception, match="cannot decode"):
+        records(spark, [{"x": [deep]}]).select(feeds.screenshot(F.col("record"), "$.x")).collect()
+
+
 def test_scenarios(spark, empty):
     one = ingest.apply_feed_a(empty, feed_a(spark, {}, {"id": "k2"}), T1).persist()
     got = rows(one)
