@@ -121,18 +121,19 @@ class Request:
     sort_direction: str | None = None
     limit: int | None = None
     page: int | None = None
+    collation: str | None = None
 
     @classmethod
     def from_json(cls, text: str) -> Request:
         raw = json.loads(text)
-        unknown = set(raw) - {"filters", "order_by", "sort_direction", "limit", "page"}
+        unknown = set(raw) - {"filters", "order_by", "sort_direction", "limit", "page", "collation"}
         if unknown:
             raise BadRequest(f"unknown keys: {sorted(unknown)}")
         try:
             filters = [Filter(f["field"], f["op"], f.get("value")) for f in raw.get("filters") or []]
         except (KeyError, TypeError, AttributeError):
             raise BadRequest("a filter needs a field and an op") from None
-        return cls(filters, raw.get("order_by"), raw.get("sort_direction"), raw.get("limit"), raw.get("page"))
+        return cls(filters, raw.get("order_by"), raw.get("sort_direction"), raw.get("limit"), raw.get("page"), raw.get("collation"))
 
 
 def page_of(limit: int | None, page: int | None, endpoint: str) -> tuple[int, int, int]:
@@ -144,11 +145,16 @@ def page_of(limit: int | None, page: int | None, endpoint: str) -> tuple[int, in
     return size, number, (number - 1) * size
 
 
-def order_of(order_by: str | None, direction: str | None) -> list[Column]:
-    """Nulls last either way; the id settles ties."""
+def order_of(order_by: str | None, direction: str | None, collation: str | None = None) -> list[Column]:
+    """Nulls last either way; the id settles ties. Text is ordered by its bytes, or by a collation of Spark's such as UNICODE."""
     if order_by is not None and order_by not in FIELDS:
         raise BadRequest(f"unknown field: {order_by}")
-    column = F.col(FIELDS[order_by or "approved_at"][0])
+    name, kind = FIELDS[order_by or "approved_at"]
+    column = F.col(name)
+    if collation and kind in ("text", "bool"):  # a flag is ordered by the url behind it
+        if not re.fullmatch("[A-Za-z0-9_]+", collation):
+            raise BadRequest(f"no collation: {collation}")
+        column = F.collate(column, collation)
     return [column.asc_nulls_last() if (direction or "").lower() == "asc" else column.desc_nulls_last(), F.col("id").asc()]
 
 
@@ -160,7 +166,7 @@ def run_query(projects: DataFrame, request: Request) -> DataFrame:
     """The page's public columns and, on every row, the total before paging."""
     found = matching(projects, request.filters)
     size, _, offset = page_of(request.limit, request.page, "query")
-    rows = found.orderBy(*order_of(request.order_by, request.sort_direction)).offset(offset).limit(size).select(*PUBLIC)
+    rows = found.orderBy(*order_of(request.order_by, request.sort_direction, request.collation)).offset(offset).limit(size).select(*PUBLIC)
     # one narrow count beside the top-k, in place of a window over all rows in one partition
     return rows.withColumn("total", found.agg(F.count("*")).scalar())
 

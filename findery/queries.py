@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import english, fulltext, present
 from .functions.text import search_text, similarity, with_repository, with_search_columns
-from .operators import embed, ingest, lookup, scoring
+from .operators import cached, embed, ingest, lookup, scoring
 from .operators.filters import Filter, Request, live, matching, run_query
 from .plans import search as hybrid
 from .schema import PUBLIC
@@ -84,6 +84,11 @@ _paged("sort_asc_nulls_last", Request([], "true_hours", "ASC", 100), "true", "tr
 _paged("sort_by_media", Request([], "has_media", "desc", 50), "true", "media_url DESC NULLS LAST", 50)
 _paged("empty_page_total_zero", Request(_SMALL, limit=100, page=1000), _SMALL_SQL, "approved_at DESC NULLS LAST", 100, 99_900)
 
+_FOLDED = "display_name COLLATE NOCASE"
+query("sort_text_collated", f"SELECT {PUB}, (SELECT count(*) FROM live) AS total FROM live ORDER BY {_FOLDED} DESC NULLS LAST, id LIMIT 100")(
+    lambda p, *_: run_query(p, Request([], "display_name", "desc", 100, collation="UNICODE_CI"))
+)
+
 # look-ups
 
 query("project_by_id", f"SELECT {PUB} FROM live WHERE id = 171")(lambda p, *_: lookup.project(p, "171"))
@@ -519,6 +524,40 @@ def embed_vectors(p, spark, sf_dir):
     return made.select("project_id", F.size("embedding").alias("dimensions"), "model")
 
 
+_TEXTS = "(SELECT id, trim(coalesce(display_name, '') || ' ' || coalesce(description, ''), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM live WHERE length(description) >= 35)"
+
+
+@query("embed_cached", f"SELECT id, first % 6 = 0 AS hit, CASE WHEN first % 6 = 0 THEN 1 ELSE 16 END AS dimensions FROM (SELECT id, min(id) OVER (PARTITION BY text) AS first FROM {_TEXTS})")
+def embed_cached(p, spark, sf_dir):
+    """A cache of a third of the texts, half of it expired: what is not held is embedded."""
+    texts = live(p).where(F.length("description") >= 35).select("id", embed.embed_text().alias("text"))
+    embedder = embed.HashingEmbedder(16)
+    first = texts.groupBy("text").agg(F.min("id").alias("first")).where("first % 3 = 0")
+    expires = F.lit(NOW).cast("timestamp") + F.when(F.col("first") % 2 == 0, F.expr("INTERVAL 1 HOUR")).otherwise(F.expr("INTERVAL -1 HOUR"))
+    vector = F.array(F.col("first").cast("float"))
+    cache = first.select(cached.text_key(embedder.model, F.col("text")).alias("key"), vector.alias("embedding"), F.lit(embedder.model).alias("model"), expires.alias("expires_at"))
+    answers, _ = cached.embed_cached(texts, cache, embedder, NOW)
+    return answers.select("id", "hit", F.size("embedding").alias("dimensions"))
+
+
+_ASKED_SQL = "SELECT id, CASE id % 5 WHEN 0 THEN CAST(id AS VARCHAR) WHEN 1 THEN 'none' || CAST(id AS VARCHAR) ELSE airtable_id END AS key FROM projects"
+
+
+@query(
+    "media_cached",
+    f"SELECT a.key, CASE WHEN a.id % 4 = 0 THEN CASE WHEN a.id % 8 = 0 THEN NULL ELSE 'held' END WHEN a.id % 5 = 1 THEN NULL ELSE media_url END AS media_url, a.id % 4 = 0 AS hit "
+    f"FROM ({_ASKED_SQL}) a JOIN projects p USING (id)",
+)
+def media_cached(p, spark, sf_dir):
+    """Every project asked for by id, external id or a name that no project has; a quarter is held, some as nothing, and a quarter has expired."""
+    asked = p.select("id", F.expr("CASE id % 5 WHEN 0 THEN CAST(id AS STRING) WHEN 1 THEN concat('none', CAST(id AS STRING)) ELSE airtable_id END AS key"))
+    url = F.when(F.col("id") % 8 != 0, F.lit("held"))
+    expires = F.lit(NOW).cast("timestamp") + F.when(F.col("id") % 4 == 0, F.expr("INTERVAL 1 SECOND")).otherwise(F.expr("INTERVAL 0 SECOND"))
+    cache = asked.where("id % 2 = 0").select("key", url.alias("media_url"), expires.alias("expires_at"))
+    answers, _ = cached.media_cached(asked, p, cache, NOW)
+    return answers.select("key", "media_url", "hit")
+
+
 query("embeddings_of_projects", "SELECT project_id, model FROM project_embeddings WHERE project_id IN (SELECT id FROM projects)")(
     lambda p, spark, sf_dir: embed.with_parent(fixtures.embeddings(spark, sf_dir), p).select("project_id", "model")
 )

@@ -53,11 +53,18 @@ class Catalogue:
         rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket")
 
+    def find(self, key: str) -> DataFrame:
+        """The rows of an external id: its bucket is the only partition read, and Bloom filters pass over row groups."""
+        rows = self.spark.read.schema(SCHEMA).parquet(self.path)
+        bucket = F.pmod(F.xxhash64(F.lit(key)), F.lit(self.buckets)).cast("int")
+        return rows.where((F.col("bucket") == bucket) & (F.col("airtable_id") == key)).drop("bucket")
+
     def _write(self, rows: DataFrame, mode: str, seen: Observation | None = None) -> None:
         dealt = self._bucketed(rows).repartition("bucket").sortWithinPartitions("bucket", "id")  # look-ups by id skip row groups
         if seen is not None:
             dealt = dealt.observe(seen, F.count("*").alias("written"), F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0)).alias("changed")).drop("changed")
-        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        writer = dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#airtable_id", "true")
+        writer.partitionBy("bucket").parquet(self.path)
 
     def touched(self, feed: DataFrame, columns: list[str], scope: Column | None = None) -> list[int]:
         """The buckets in which a feed changes, adds or deletes a row."""

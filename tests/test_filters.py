@@ -99,3 +99,16 @@ def test_plan_is_pushed_down(spark, tmp_path, projects):
     rows = run_query(df, Request([Filter("github_stars", "gte", 10)], limit=5))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(github_stars,10)" in plan and "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
+def test_collated_order(spark):
+    from findery.operators.filters import BadRequest, order_of
+
+    names = ["zebra", "Zoo", "\u00e9tage", "Etage", "eta", "\u00c4pfel", "apfel", "zoo", None]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, display_name string")
+    got = lambda *how: [r.display_name for r in df.orderBy(*order_of("display_name", *how)).collect()]
+    assert got("asc", "UNICODE") == ["apfel", "\u00c4pfel", "eta", "Etage", "\u00e9tage", "zebra", "zoo", "Zoo", None]
+    assert got("asc") == ["Etage", "Zoo", "apfel", "eta", "zebra", "zoo", "\u00c4pfel", "\u00e9tage", None]
+    assert got("desc", "UNICODE_CI_AI")[:3] == ["Zoo", "zoo", "zebra"]
+    with pytest.raises(BadRequest):
+        order_of("display_name", "asc", "x; y")

@@ -178,6 +178,18 @@ def test_merge_of_the_other_feed(spark, empty, tmp_path):
     assert got.changed == 2 and rows(catalogue.read()) == rows(ingest.apply_feed_b(base, feed, T2).drop("changed"))
 
 
+def test_find_reads_one_bucket(spark, empty, tmp_path):
+    base = ingest.upsert_a(empty, feed_a(spark, *[{"id": f"k{i}", "hours": i} for i in range(100)]), T1).drop("changed")
+    catalogue = Catalogue(spark, str(tmp_path), 16).create(base)
+    found = catalogue.find("k42")
+    assert [(r.airtable_id, r.hours) for r in found.collect()] == [("k42", 42)] and catalogue.find("none").count() == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(airtable_id,k42)" in plan
+    leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    leaf.executeColumnar().count()
+    assert leaf.metrics().apply("numFiles").value() == 1 < len(files(tmp_path))
+
+
 def test_one_run_at_a_time(spark, tmp_path):
     with exclusive(spark, str(tmp_path)) as one, exclusive(spark, str(tmp_path)) as two:
         assert one and not two
@@ -201,6 +213,88 @@ def test_stream(spark, empty, tmp_path):
     assert {(r.id, r.version) for r in index.lexemes.of(spark, ["prog"]).collect()} == {(got["k1"].id, T1), (got["k2"].id, T1)}
 
 
+@pytest.fixture
+def server():
+    """A feed on a local port: .payload is served, with .tag as its state; .asked counts requests by method."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.server.asked[self.command] = self.server.asked.get(self.command, 0) + 1
+            if self.server.failures:
+                self.server.failures -= 1
+                self.send_error(503)
+                return
+            body = json.dumps(self.server.payload).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.send_header("ETag", self.server.tag)
+            self.end_headers()
+            if self.command == "GET":
+                self.wfile.write(body)
+
+        do_HEAD = do_GET
+
+        def log_message(self, *_):
+            pass
+
+    at = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    at.payload, at.tag, at.asked, at.failures = [], "one", {}, 0
+    threading.Thread(target=at.serve_forever, daemon=True).start()
+    yield at
+    at.shutdown()
+
+
+def test_feed_as_a_data_source(spark, empty, tmp_path, server):
+    from findery.sources.feed_source import FeedSource
+    from findery.streaming.feed_stream import follow_url
+
+    url = f"http://127.0.0.1:{server.server_port}/"
+    server.payload, server.failures = [A | {"screenshot_url": None}, A | {"id": "k2", "screenshot_url": None}], 1
+    spark.dataSource.register(FeedSource)
+    batch = spark.read.format("json_feed").option("url", url).load()
+    assert {r.airtable_id for r in feeds.decode_feed_a(feeds.records(batch)).collect()} == {"k1", "k2"}
+    catalogue = Catalogue(spark, str(tmp_path / "projects"), 4).create(empty)
+    run = lambda at: follow_url(spark, url, catalogue, "a", str(tmp_path / "cp"), clock=lambda: at).awaitTermination(120)
+    run(T1)
+    assert set(rows(catalogue.read())) == {"k1", "k2"}
+    # a restarted stream passes over what it has applied, and applies what is new
+    seen = server.asked["GET"]
+    run(T2)
+    assert server.asked["GET"] == seen and rows(catalogue.read())["k1"].updated_at == T1
+    server.payload, server.tag = server.payload[:1], "two"
+    run(T2)
+    got = rows(catalogue.read())
+    assert server.asked["GET"] > seen and got["k2"].deleted_at == T2 and got["k1"].updated_at == T1
+
+
+def test_caches_as_tables(spark, empty):
+    from datetime import timedelta
+
+    from findery.operators import cached
+
+    none = spark.createDataFrame([], cached.VECTORS)
+    texts = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c")], "n int, text string")
+    one, cache = cached.embed_cached(texts, none, embed.HashingEmbedder(8), T1)
+    got = {r.n: r for r in one.collect()}
+    want = embed.HashingEmbedder(8)
+    assert [round(x, 5) for x in got[1].embedding] == [round(x, 5) for x in want.embed(["a b"])[0]] and got[2].embedding == got[1].embedding
+    assert got[3].embedding is None and not got[4].hit and cache.count() == 2
+    two, later = cached.embed_cached(texts.union(spark.createDataFrame([(5, "d")], texts.schema)), cache, embed.HashingEmbedder(8), T1 + timedelta(hours=23))
+    assert {r.n: r.hit for r in two.collect()} == {1: True, 2: True, 3: None, 4: True, 5: False} and later.count() == 3
+    three, last = cached.embed_cached(texts, later, embed.HashingEmbedder(8), T1 + timedelta(hours=24))
+    assert {r.hit for r in three.where("text IS NOT NULL").collect()} == {False} and last.count() == 3
+    base = ingest.upsert_a(empty, feed_a(spark, {}, {"id": "k2", "screenshot_url": None}), T1).drop("changed").persist()
+    ids = {k: r.id for k, r in rows(base).items()}
+    asked = spark.createDataFrame([("k1",), ("k2",), (str(ids["k1"]),), ("k9",), ("99999999999",), (None,), ("k1",)], "key string")
+    got, held = cached.media_cached(asked, base, spark.createDataFrame([], cached.MEDIA), T1)
+    assert sorted(((r.key, r.media_url, r.hit) for r in got.collect()), key=str) == sorted([("k1", "m", False)] * 2 + [("k2", None, False), (str(ids["k1"]), "m", False), ("k9", None, False), ("99999999999", None, False), (None, None, None)], key=str)
+    again, _ = cached.media_cached(asked, base.limit(0), held, T1 + timedelta(minutes=59))
+    assert all(r.hit for r in again.where("key IS NOT NULL").collect()) and again.where("media_url = 'm'").count() == 3
+    assert cached.media_cached(asked, base.limit(0), held, T1 + timedelta(hours=1))[0].where("media_url IS NOT NULL").count() == 0
+
+
 def test_fetching():
     waits = []
 
