@@ -70,6 +70,26 @@ def stored(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Slots of a filter of bits, 64 bits each: one a key up to so many, which bounds what is broadcast.
+MOST_SLOTS = 1 << 20
+
+
+def bits_of(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(slot, bits) of a column of hashes h, and the number of slots."""
+    slots = min(MOST_SLOTS, max(64, 1 << (keys.count() - 1).bit_length()))
+    place = F.pmod("h", F.lit(slots)).alias("_slot")
+    # the bit is taken from above the bits that choose the slot
+    return stored(keys.groupBy(place).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 24) & 63 as int)))").alias("_bits"))), slots
+
+
+def among(rows: DataFrame, bits: tuple[DataFrame, int], inside: bool = True) -> DataFrame:
+    """The rows whose hash h may be among the keys of the bits, which none of the keys' rows misses; or the others."""
+    table, slots = bits
+    joined = rows.join(F.broadcast(table), F.pmod("h", F.lit(slots)) == F.col("_slot"), "inner" if inside else "left")
+    bit = F.expr("getbit(_bits, cast(shiftrightunsigned(h, 24) & 63 as int))")
+    return joined.where(bit == 1 if inside else F.coalesce(bit, F.lit(0)) == 0).drop("_slot", "_bits")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind a value once inside an expression, so that lambdas don't evaluate it for each element."""
     return F.transform(F.array(value), body)[0]

@@ -2,7 +2,8 @@
 
 The benchmark's n-grams form a hash set that is broadcast while it has few enough windows and little enough text, both
 measured first; document windows are hashed with numpy over whole Arrow batches, looked up, and each hit is verified
-word by word. A larger benchmark is joined by window over a shuffle instead, with the same result, for scanning and for cutting.
+word by word. A larger benchmark is joined by window over a shuffle instead, with the same result, for scanning and for cutting;
+windows that a bounded table of the benchmark's hash bits does not know take no part in the shuffle.
 
 Defined results: a null or wordless text has no words and is never contaminated; a null or wordless item
 has no windows; an item with a null id marks words and is not counted among the items; ids are compared as Spark's
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UPPER, WORD_BYTES, releasing, small_batches, stored, table, text_bytes
+from .common import UPPER, WORD_BYTES, among, bits_of, releasing, small_batches, stored, table, text_bytes
 
 N = 10
 #: Bytes and windows of a benchmark that may be collected and broadcast (about 60 bytes a window); beyond either, windows are joined.
@@ -222,7 +223,9 @@ def _hits(rows: DataFrame, owned: DataFrame) -> DataFrame:
     placed = [worded.select("_row", F.lit(k).alias("size"), F.inline(_grams(F.col("w"), F.lit(k)))) for k in sizes]
     if not placed:
         return rows.sparkSession.createDataFrame([], "_row long, items array<string>, spans array<struct<first:bigint,last:bigint>>, n_hit long")
-    seen = reduce(DataFrame.union, placed)
+    # most windows are none of the benchmark's: they end at a table of bits of bounded size, and only the others are shuffled
+    bits = bits_of(owned.select(F.xxhash64("gram").alias("h")))
+    seen = among(reduce(DataFrame.union, placed).withColumn("h", F.xxhash64("gram")), bits).drop("h")
     hits = seen.join(owned, ["gram", "size"]).groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"),
         F.array_sort(F.collect_set(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("size") - 1).alias("last")))).alias("runs"),

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN, count_kind, kept_spans, let, running, span_list, stored, table, wrapped
+from .common import SPAN, among, bits_of, count_kind, kept_spans, let, running, span_list, stored, table, wrapped
 
 #: The patterns start where a longer match of the same run could not have started, and never back up.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -47,8 +47,6 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CHANCE = 0.01
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.85, 0.999
-#: Slots of a filter, 64 bits each: one a key up to so many, which bounds what is broadcast.
-MOST_SLOTS = 1 << 20
 #: Posterior of the entity, given the term, from which the term is sanitised.
 POSTERIOR = 0.5
 
@@ -104,22 +102,6 @@ def counted(found: DataFrame) -> DataFrame:
     return rows.select("doc", "text_hash", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), "tried", within.alias("within"))
 
 
-def bits_of(keys: DataFrame) -> tuple[DataFrame, int]:
-    """(slot, bits) of a column of hashes h, and the number of slots."""
-    slots = min(MOST_SLOTS, max(64, 1 << (keys.count() - 1).bit_length()))
-    place = F.pmod("h", F.lit(slots)).alias("_slot")
-    # the bit is taken from above the bits that choose the slot
-    return stored(keys.groupBy(place).agg(F.expr("bit_or(shiftleft(1L, cast(shiftrightunsigned(h, 24) & 63 as int)))").alias("_bits"))), slots
-
-
-def among(rows: DataFrame, bits: tuple[DataFrame, int], inside: bool = True) -> DataFrame:
-    """The rows whose hash h may be among the keys of the bits, which none of the keys' rows misses; or the others."""
-    table, slots = bits
-    joined = rows.join(F.broadcast(table), F.pmod("h", F.lit(slots)) == F.col("_slot"), "inner" if inside else "left")
-    bit = F.expr("getbit(_bits, cast(shiftrightunsigned(h, 24) & 63 as int))")
-    return joined.where(bit == 1 if inside else F.coalesce(bit, F.lit(0)) == 0).drop("_slot", "_bits")
-
-
 def _disclosing(pairs: DataFrame, n: float, chance: float, generalise: float, posterior: float) -> DataFrame:
     """The pairs of a term and an entity that pass all bounds with their n_t, and their disclosure. None passes with a larger n_t that
     does not with a smaller one."""

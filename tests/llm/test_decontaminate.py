@@ -5,6 +5,9 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from findery.llm.common import among, bits_of
 from findery.llm.decontaminate import decontaminate, find_overlaps
 
 DOCS = "doc_id long, text string, n_hit string, item_id int"
@@ -82,3 +85,23 @@ def test_ids_that_are_not_whole_numbers(spark):
         items = spark.createDataFrame([(ids[0], "alpha beta", 0), (ids[1], "gamma", 0)], ITEMS.replace("long", kind))
         one, two = (sorted(map(str, find_overlaps(docs, items, **x).collect())) for x in ({}, {"broadcast_chars": 0}))
         assert one == two
+
+
+def test_few_windows_are_shuffled(spark):
+    """The join of a large benchmark: windows that are none of it stop before the exchange."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400)), "", 0) for i in range(200)], DOCS)
+    items = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(100)), 0) for i in range(40)], ITEMS)
+    found = find_overlaps(docs, items, broadcast_windows=0)
+    assert found.count() == 200
+    plan = found._jdf.queryExecution()
+    found._jdf.queryExecution().executedPlan()
+    text = plan.optimizedPlan().toString()
+    assert "getbit" in text and text.index("Join Inner") < text.index("getbit")  # below the join of the windows
+    seen = among(spark.createDataFrame([(i,) for i in range(100_000)], "n long").select(F.xxhash64("n").alias("h"), "n"), bits_of(spark.range(1000).select(F.xxhash64("id").alias("h"))))
+    got = {r.n for r in seen.select("n").collect()}
+    assert set(range(1000)) <= got and len(got) < 5000
+    rest = among(spark.range(5000).select(F.xxhash64("id").alias("h"), "id"), bits_of(spark.range(1000).select(F.xxhash64("id").alias("h"))), inside=False)
+    assert 3700 < rest.count() <= 4000 and rest.where("id < 1000").count() == 0
+    none = bits_of(spark.range(0).select(F.xxhash64("id").alias("h")))
+    assert among(spark.range(9).select(F.xxhash64("id").alias("h")), none).count() == 0
