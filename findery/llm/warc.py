@@ -44,7 +44,7 @@ from .common import releasing, small_batches, stored, stored_dir, table
 
 #: An archive is closed at so many bytes before compression, or records.
 FILE_BYTES, FILE_RECORDS = 64 << 20, 20_000
-LEVEL = 3  # of gzip
+LEVEL = 1  # of gzip
 SALTS = 16
 MOST_TASKS = 20_000
 #: The fields of a record's line in the two versions of ARC.
