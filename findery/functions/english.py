@@ -1,7 +1,9 @@
 """English lexemes: words, stop words and the Porter2 stemmer, as a pandas UDF.
 
-Words are runs of letters and digits. Hosts, addresses and hyphenated words are not tokens of their own, which
-is a known difference from a database's parser.
+Text is cut into tokens of overlapping classes, each with a place of its own: an e-mail address is one; a URL is itself,
+then its host, then its path; a host is one; a hyphenated compound is itself, then its parts; a word is one. Only words
+and parts are stemmed or stopped. A compound as a whole is kept as it is written, and numbers with points are cut at them,
+which are known differences from a database's parser.
 """
 
 from __future__ import annotations
@@ -15,6 +17,15 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
 
+#: The classes of tokens, the first that fits counts. W stands for a letter or digit, L for a letter, X and Y for what hosts and names in
+#: addresses have beside W; Spark's and SQL's regular expressions name these in one way and Python's in another.
+_HOST = r"WX*(?:\.WX*)*\.LL+"
+_CLASSES = rf"WY*@WX*(?:\.WX*)+|(?:[a-z]+://)?{_HOST}/[^ \t\r\n<>\"']*|(?:[a-z]+://)?{_HOST}|LW*(?:-W+)+|W+"
+_NAMED = {"W": r"[\p{L}\p{N}]", "L": r"\p{L}", "X": r"[\p{L}\p{N}-]", "Y": r"[\p{L}\p{N}._%+-]"}
+_IN_PYTHON = {"W": r"[^\W_]", "L": r"[^\W\d_]", "X": r"(?:[^\W_]|-)", "Y": r"(?:[^\W_]|[._%+-])"}
+TOKEN = re.sub("[WLXY]", lambda m: _NAMED[m[0]], _CLASSES)
+_PYTHON_TOKEN = re.compile(re.sub("[WLXY]", lambda m: _IN_PYTHON[m[0]], _CLASSES))
+
 #: The stop words of English.
 STOP_WORDS = frozenset(
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them "
@@ -127,12 +138,23 @@ def lexemes(text: str | None, stemmed: bool = True) -> list[tuple[str, int]] | N
     """(lexeme, position from 1); stop words take a position and are left out. Without stemming all words stay."""
     if text is None:
         return None
-    words = enumerate(WORD.findall(text.lower()), 1)
     if not stemmed:
-        return [(w, i) for i, w in words]
+        return [(w, i) for i, w in enumerate(WORD.findall(text.lower()), 1)]
+    words = enumerate((t for m in _PYTHON_TOKEN.finditer(text.lower()) for t in parts_of(m[0])), 1)
     return [(stem(w), i) for i, w in words if w not in STOP_WORDS]
 
 
+def parts_of(token: str) -> list[str]:
+    """A token and what it is made of."""
+    bare = re.sub("^[a-z]+://", "", token)
+    if "@" in token and "/" not in token:
+        return [token]
+    if "/" in bare:
+        host, _, path = bare.partition("/")
+        return [bare, host, f"/{path}"]
+    return [bare] if "." in bare or "-" not in bare else [bare, *bare.split("-")]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))  # built without a session
 def _stems(words: pd.Series) -> pd.Series:
     """Only the words of a row that are no stop words come here, and only their stems go back."""
@@ -143,10 +165,25 @@ def _stems(words: pd.Series) -> pd.Series:
 _stems_once = _stems.asNondeterministic()
 
 
+def tokens(text):
+    """array<string>: the tokens of a text in lower case and what they are made of, in order."""
+
+    def parts(t):
+        bare = F.regexp_replace(t, "^[a-z]+://", "")
+        path = F.regexp_replace(bare, "^[^/]*", "")
+        return (
+            F.when(t.contains("@") & ~t.contains("/"), F.array(t))
+            .when(bare.contains("/"), F.array(bare, F.substring_index(bare, "/", 1), path))
+            .when(bare.contains(".") | ~bare.contains("-"), F.array(bare))
+            .otherwise(F.concat(F.array(bare), F.split(bare, "-")))
+        )
+
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), parts))
+
+
 def english_lexemes(text):
     """array<struct<lexeme,pos>>: splitting, stop words and positions are expressions, stemming alone is Python."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos")))
+    placed = F.transform(tokens(text), lambda w, i: F.struct(w.alias("word"), (i + 1).alias("pos")))
     kept = F.filter(placed, lambda x: ~x["word"].isin(sorted(STOP_WORDS)))
     return F.zip_with(kept, _stems_once(F.transform(kept, lambda x: x["word"])), lambda k, s: F.struct(s.alias("lexeme"), k["pos"].alias("pos")))
 

@@ -262,6 +262,17 @@ _TEXT_SQL = (
 _WORDS = rf"(SELECT id, regexp_extract_all(lower({_TEXT_SQL}), '[\p{{L}}\p{{N}}]+') AS w FROM live)"
 
 
+#: The tokens of the text and what they are made of, as english.tokens has them.
+_TOKEN_RE = english.TOKEN.replace("'", "''")
+_BARE = "regexp_replace(t, '^[a-z]+://', '')"
+_TOKEN_LIST = (
+    f"flatten(list_transform(regexp_extract_all(lower({_TEXT_SQL}), '{_TOKEN_RE}'), lambda t: CASE WHEN contains(t, '@') AND NOT contains(t, '/') THEN [t] "
+    f"WHEN contains({_BARE}, '/') THEN [{_BARE}, split_part({_BARE}, '/', 1), regexp_replace({_BARE}, '^[^/]*', '')] "
+    f"WHEN contains({_BARE}, '.') OR NOT contains({_BARE}, '-') THEN [{_BARE}] ELSE list_concat([{_BARE}], string_split({_BARE}, '-')) END))"
+)
+_TOKENS = f"(SELECT id, {_TOKEN_LIST} AS w FROM live)"
+
+
 def _plain(text: str, ranked: bool = False):
     def run(p, *_):
         node = fulltext.parse(text, stemmed=False)
@@ -282,7 +293,14 @@ query("fts_rank_plain", f"SELECT id, round(len(list_filter(w, lambda x: x = 'rin
 #: The fixture's words of three stems; of what else the stemmer makes no word becomes one of these.
 _FAMILIES = {stem: [stem, f"{stem}s", f"{stem}ed", f"{stem}ing"] for stem in ("small", "ring", "bolt")}
 _STEM_SQL = "CASE " + " ".join(f"WHEN x IN ({', '.join(map(repr, ws))}) THEN '{s}'" for s, ws in _FAMILIES.items()) + " END"
-_PLACED = f"(SELECT id, pos, {_STEM_SQL} AS x FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_WORDS}))"
+_PLACED = f"(SELECT id, pos, {_STEM_SQL} AS x FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_TOKENS}))"
+
+
+@query("fts_token_classes", f"SELECT id, pos, x AS token FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_TOKENS}) WHERE regexp_matches(x, '[^\\p{{L}}\\p{{N}}]')")
+def fts_token_classes(p, spark, sf_dir):
+    """Addresses, URLs, hosts and compounds, with their places among all tokens."""
+    placed = live(p).select("id", F.posexplode(english.tokens(search_text())).alias("pos", "token"))
+    return placed.where(F.col("token").rlike(r"[^\p{L}\p{N}]")).select("id", (F.col("pos") + 1).cast("long").alias("pos"), "token")
 
 
 @query("fts_lexemes")
@@ -300,7 +318,7 @@ def fts_lexeme_places(p, spark, sf_dir):
 _STOPS_SQL = ", ".join(map(repr, sorted(english.STOP_WORDS)))
 
 
-@query("fts_lexeme_positions", f"SELECT id, pos FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_WORDS}) WHERE x NOT IN ({_STOPS_SQL})")
+@query("fts_lexeme_positions", f"SELECT id, pos FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM {_TOKENS}) WHERE x NOT IN ({_STOPS_SQL})")
 def fts_lexeme_positions(p, spark, sf_dir):
     """Where the lexemes of all words stand: what is cut into words and what is stopped."""
     return live(p).select("id", F.inline(hybrid.lexemes(p))).select("id", F.col("pos").cast("long").alias("pos"))
@@ -322,7 +340,7 @@ def fts_rank(p, spark, sf_dir):
 
 
 # (small <-> ring) & bolt | ring: each ring is an extent, and no other holds none
-_RING_SQL = rf"0.1::DOUBLE * len(list_filter(regexp_extract_all(lower({_TEXT_SQL}), '[\p{{L}}\p{{N}}]+'), lambda x: x IN ({', '.join(map(repr, _FAMILIES['ring']))})))"
+_RING_SQL = f"0.1::DOUBLE * len(list_filter({_TOKEN_LIST}, lambda x: x IN ({', '.join(map(repr, _FAMILIES['ring']))})))"
 query("hybrid_full", fusion_sql("small ring bolts or rings", ["small ring"], 20, None, _PAGE_SQL.replace("LIMIT 10", "LIMIT 20"), _RING_SQL))(
     lambda p, spark, sf_dir: _search(p, spark, sf_dir, '"small ring" bolts or rings', limit=20)
 )

@@ -115,8 +115,29 @@ def test_cover_density(spark):
     assert "Python" not in df.select(fulltext.rank(fulltext.parse('a "b c"', False))(F.col("tsv")))._jdf.queryExecution().executedPlan().toString()
 
 
+#: Text and the tokens that it is made of, by hand.
+CLASSES = {
+    "Mail boss.x@Corp.com now": ["mail", "boss.x@corp.com", "now"],
+    "see http://Example.com/stuff/index.html, or": ["see", "example.com/stuff/index.html,", "example.com", "/stuff/index.html,", "or"],
+    "at example.org. And end.then": ["at", "example.org", "and", "end.then"],
+    "https://x.io small-ring up-to-date": ["x.io", "small-ring", "small", "ring", "up-to-date", "up", "to", "date"],
+    "12.5 2024-01-01 -x x- a--b a_b-c": ["12", "5", "2024", "01", "01", "x", "x", "a", "b", "a", "b-c", "b", "c"],
+    "a@b x@y.z/w été-fin.fr/à 日本-語": ["a", "b", "x@y.z", "w", "été-fin.fr/à", "été-fin.fr", "/à", "日本-語", "日本", "語"],
+    "a.b-c.de/": ["a.b-c.de/", "a.b-c.de", "/"],
+}
+
+
+def test_token_classes(spark):
+    df = spark.createDataFrame([(t,) for t in CLASSES], "t string")
+    for r in df.select("t", english.tokens(F.col("t")).alias("w")).collect():
+        assert r.w == CLASSES[r.t], r.t
+    assert fulltext.parse("small-ring").parts == ("small-ring", "small", "ring")
+    got = df.select("t", english_lexemes(F.col("t")).alias("v")).where(fulltext.matches(F.col("v"), fulltext.parse("example.com small-rings or example.com"))).collect()
+    assert [r.t for r in got] == ["see http://Example.com/stuff/index.html, or"]
+
+
 def test_stored_lexemes(spark):
-    texts = ["small ring", "a small red ring and a ring", "ring small", "red bolts", "", None, "Rings of small_things", "Straße ÉTÉ x2"]
+    texts = ["small ring", "a small red ring and a ring", "ring small", "red bolts", "", None, "Rings of small_things", "Straße ÉTÉ x2", *CLASSES]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] and [(x.lexeme, x.pos) for x in r[0]] for r in df.select(english_lexemes(F.col("t"))).collect()]
     assert [g or [] for g in got] == [lexemes(t or "") for t in texts] and got[5] is None
