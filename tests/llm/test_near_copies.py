@@ -121,3 +121,24 @@ def test_parts_of_a_common_shingle_lose_no_pair(spark):
     found = {part: {tuple(r) for r in prefix_pairs(docs, rows, 0.8, part).collect()} for part in (7, 10**6)}
     assert found[7] == found[10**6]
     assert {p for p in pairs if p[0] // 2 != p[1] // 2} <= found[7]
+
+
+def test_candidates_below_the_limit(spark):
+    """A shared passage just below the limit makes no candidates; changed copies of one text do only close to it."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(370)]
+
+    def mutated(k):
+        out = list(base)
+        for i in rng.sample(range(370), k):
+            out[i] = word()
+        return out
+
+    def candidates(texts):
+        rows = spark.createDataFrame([(i, i, " ".join(t).encode()) for i, t in enumerate(texts)], SCHEMA)
+        return prefix_pairs(rows.selectExpr("doc", "doc AS component"), rows, 0.8).count()
+
+    assert candidates([base + [word() for _ in range(48)] for _ in range(60)]) == 0  # resemblance 0.792
+    assert candidates([mutated(12) for _ in range(60)]) == 0  # 0.51 to 0.64
+    assert candidates([mutated(8) for _ in range(60)]) <= 60 * 59 // 2  # 0.64 to 0.75: most pairs, none of which is lost or linked
