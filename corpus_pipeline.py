@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from findery.llm import decontaminate, near_copies, packing, pii, quality, simhash
-from findery.llm.common import shared_dir, table
+from findery.llm.common import stored_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder of tables."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    base = f"{stored_dir(spark)}/pipeline-{uuid.uuid4().hex}"  # goes with common.discard_stored
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
