@@ -54,16 +54,29 @@ def similarity(c: Column, query: str) -> Column:
     return F.when(c.isNotNull(), ratio)
 
 
+#: What is cut from a repository's URL, one after the other, and how long its owner's and its own name may be.
+URL_CUTS = ("^git@[^:]+:", "^[a-z]+://[^/]+/", "[.]git$|/$")
+OWNER_MOST, REPO_MOST = 50, 80
+
+
+def repository_path_sql(url: str) -> str:
+    """The same as SQL of any dialect, for fixtures and oracles."""
+    for cut in URL_CUTS:
+        url = f"regexp_replace({url}, '{cut}', '')"
+    return url
+
+
 def with_repository(df):
     """inferred_username and inferred_repo from code_url, has_media from media_url."""
     path = F.coalesce("code_url", F.lit(""))
-    for pattern in (r"^git@[^:]+:", r"^[a-z]+://[^/]+/", r"[.]git\z|/\z"):
-        path = F.regexp_replace(path, pattern, "")
+    for cut in URL_CUTS:
+        # a $ also stands before a last line end in Java, and at the end alone in SQL
+        path = F.regexp_replace(path, cut.replace("$", r"\z"), "")
     part = lambda n: F.split_part(path, F.lit("/"), F.lit(n))
     return df.withColumns(
         {
-            "inferred_username": F.when(F.length(part(1)).between(1, 50), part(1)),
-            "inferred_repo": F.when(F.length(part(2)).between(1, 80), part(2)),
+            "inferred_username": F.when(F.length(part(1)).between(1, OWNER_MOST), part(1)),
+            "inferred_repo": F.when(F.length(part(2)).between(1, REPO_MOST), part(2)),
             "has_media": F.col("media_url").isNotNull(),
         }
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import english, fulltext, present
-from .functions.text import search_text, similarity, with_repository, with_search_columns
+from .functions.text import OWNER_MOST, REPO_MOST, repository_path_sql, search_text, similarity, with_repository, with_search_columns
 from .operators import cached, embed, ingest, lookup, scoring
 from .operators.filters import Filter, Request, live, matching, run_query
 from .plans import search as hybrid
@@ -456,11 +456,11 @@ def _merge_sql(feed: str, columns: list[str], fresh: str) -> str:
     differs = " OR ".join(f"p.{c} IS DISTINCT FROM f.{c}" for c in columns)
     cols = ", ".join(f"CASE WHEN c THEN f_{x} ELSE {x} END AS {x}" for x in columns)
     f_cols = ", ".join(f"f.{x} AS f_{x}" for x in columns)
-    path = "regexp_replace(regexp_replace(regexp_replace(coalesce(code_url, ''), '^git@[^:]+:', ''), '^[a-z]+://[^/]+/', ''), '[.]git$|/$', '')"
+    path = repository_path_sql("coalesce(code_url, '')")
     part = lambda n, most: f"CASE WHEN length(split_part({path}, '/', {n})) BETWEEN 1 AND {most} THEN split_part({path}, '/', {n}) END"
     rest = [c for c in ("true_hours", "media_url") if c not in columns] if "true_hours" not in columns else ["media_url"]
     return (
-        f"SELECT airtable_id, {', '.join(columns)}, {', '.join(rest)}, changed, deleted, touched, {part(1, 50)} AS inferred_username, {part(2, 80)} AS inferred_repo FROM ("
+        f"SELECT airtable_id, {', '.join(columns)}, {', '.join(rest)}, changed, deleted, touched, {part(1, OWNER_MOST)} AS inferred_username, {part(2, REPO_MOST)} AS inferred_repo FROM ("
         f"SELECT airtable_id, {cols}, {', '.join(rest)}, c AS changed, NOT c AND deleted_at IS NOT NULL AS deleted, c AS touched FROM "
         f"(SELECT p.*, {f_cols}, f.airtable_id IS NOT NULL AND ({differs} OR p.deleted_at IS NOT NULL) AS c FROM projects p LEFT JOIN ({feed}) f USING (airtable_id)) "
         f"UNION ALL SELECT airtable_id, {', '.join(columns)}, {fresh}, true, false, true FROM ({feed}) WHERE airtable_id NOT IN (SELECT airtable_id FROM projects))"

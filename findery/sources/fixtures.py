@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import OWNER_MOST, REPO_MOST, repository_path_sql
+
 #: {documents}, {part} and {pages} stand for the tables.
 PROJECTS_SQL = r"""
 WITH src AS (
@@ -38,16 +40,17 @@ WITH src AS (
     CASE WHEN k % 17 = 0 THEN CAST('2024-06-01 00:00:00' AS TIMESTAMP) ELSE NULL END AS deleted_at
   FROM src
 ), path AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(coalesce(code_url, ''), '^git@[^:]+:', ''), '^[a-z]+://[^/]+/', ''), '[.]git$|/$', '') AS repo_path
+  SELECT *, <path> AS repo_path
   FROM raw
 )
 SELECT id, airtable_id, ysws, approved_at, code_url, country, demo_url, description, github_username, hours, true_hours,
   media_url, media_url IS NOT NULL AS has_media, github_stars, display_name, archived_demo, archived_repo, created_at,
   created_at AS updated_at, deleted_at,
-  CASE WHEN length(split_part(repo_path, '/', 1)) BETWEEN 1 AND 50 THEN split_part(repo_path, '/', 1) END AS inferred_username,
-  CASE WHEN length(split_part(repo_path, '/', 2)) BETWEEN 1 AND 80 THEN split_part(repo_path, '/', 2) END AS inferred_repo
+  CASE WHEN length(split_part(repo_path, '/', 1)) BETWEEN 1 AND <owner> THEN split_part(repo_path, '/', 1) END AS inferred_username,
+  CASE WHEN length(split_part(repo_path, '/', 2)) BETWEEN 1 AND <repo> THEN split_part(repo_path, '/', 2) END AS inferred_repo
 FROM path
 """
+PROJECTS_SQL = PROJECTS_SQL.replace("<path>", repository_path_sql("coalesce(code_url, '')")).replace("<owner>", str(OWNER_MOST)).replace("<repo>", str(REPO_MOST))
 EMBEDDINGS_SQL = "SELECT CAST(vec_id AS INT) AS project_id, embedding, 'fixture' AS model FROM {embeddings}"
 
 
