@@ -47,6 +47,8 @@ ROUNDS = 3
 HELD_OUT, FOLDS = 0, 10
 #: Words remembered in a task, and words counted before a task hands its counts on.
 REMEMBERED, COUNTED = 400_000, 400_000
+#: Means of the tasks' parameters that are taken apart into rows.
+MERGED = 16
 #: Tokens trained or scored together.
 TOGETHER = 4_000_000
 SMOOTH = 0.1
@@ -207,6 +209,21 @@ class Vocabulary:
         self.log_total = math.log10(self.n + SMOOTH * (self.v + 1))
 
 
+def averaged(copies: DataFrame) -> DataFrame:
+    """(seen, p): the copies of the parameters in at most MERGED means, weighted by tokens; a copy is added as it comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, total = 0, None
+        for batch in batches:
+            for n, p in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = n * p.values.to_numpy()
+                seen, total = seen + n, part if total is None else total + part
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total / seen], pa.list_(pa.float64()))], names=["seen", "p"])
+
+    return copies.repartition(MERGED).mapInArrow(releasing(run), copies.schema)
+
+
 def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters after `rounds` averages; every training document is seen once."""
     start = gru.init(HEAD, TAILS, vocab.head_counts, vocab.tail_counts)
@@ -221,11 +238,11 @@ def train(training: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> dict[
                 seen += sum(map(len, docs))
             if seen:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([seen], pa.int64()), pa.array([gru.flat(model.p)], pa.list_(pa.float32()))], names=["seen", "p"]
+                    [pa.array([seen], pa.int64()), pa.array([gru.flat(model.p).astype(float)], pa.list_(pa.float64()))], names=["seen", "p"]
                 )
 
         share = training.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(rounds)) == r).select("body")
-        copies = share.mapInArrow(releasing(run), "seen long, p array<float>").select("seen", F.posexplode("p").alias("i", "x"))
+        copies = averaged(share.mapInArrow(releasing(run), "seen long, p array<double>")).select("seen", F.posexplode("p").alias("i", "x"))
         mean = copies.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x"))
         found = mean.toArrow()  # as many rows as the model has parameters
         if found.num_rows:

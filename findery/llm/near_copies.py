@@ -35,8 +35,8 @@ PAIRS = 32
 CUTS = (1, 7)
 #: Members of a part of a common shingle's list.
 PART = 256
-#: Ids up to which a list of documents may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Ids, and bytes of them, up to which a list of documents may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 _RNG = np.random.default_rng(20)
 MULTIPLY = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 ADD = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
@@ -96,9 +96,10 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc {kind}, grams array<bigint>")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The table, to be broadcast if it has few rows and they are short: ids may be strings of any length."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df
 
 
 def candidate_pairs(sketched: DataFrame, keyed: DataFrame, pairs: int = PAIRS) -> DataFrame:

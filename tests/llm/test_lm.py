@@ -105,3 +105,16 @@ def test_state_is_carried_and_cleared():
     model = gru.Model(p, 0)
     alone = [model.score([d])[0] for d in docs]
     assert np.allclose(model.score(docs), alone, rtol=1e-4)
+
+
+def test_copies_are_averaged_in_a_few_means(spark):
+    from findery.llm import lm
+
+    rng = np.random.default_rng(2)
+    copies = [(int(n), rng.normal(size=50).tolist()) for n in rng.integers(1, 1000, 100)]
+    df = spark.createDataFrame(copies, "seen long, p array<double>").repartition(40)
+    got = lm.averaged(df).collect()
+    assert len(got) <= lm.MERGED and sum(r.seen for r in got) == sum(n for n, _ in copies)
+    want = sum(n * np.array(p) for n, p in copies) / sum(n for n, _ in copies)
+    assert np.allclose(sum(r.seen * np.array(r.p) for r in got) / sum(r.seen for r in got), want)
+    assert lm.averaged(df.limit(0)).count() == 0
