@@ -7,7 +7,7 @@ import re
 from functools import reduce
 from operator import add, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_normalise, similarity
@@ -58,6 +58,11 @@ def trigram_score(query: str) -> Column:
     return F.coalesce(F.greatest(*[similarity(F.col(c), query) for c in TRIGRAM_COLUMNS]), F.lit(0.0))
 
 
+def trigram_matches(rows: DataFrame, query: str, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+    """The rows that match with their score, generated so that it is worked out once a row."""
+    return rows.select("*", F.explode(F.array(trigram_score(query))).alias("score")).where(F.col("score") >= threshold)
+
+
 def trigram_match(query: str, threshold: float = TRIGRAM_THRESHOLD) -> Column:
     """Whether any of the columns reaches the threshold."""
     return F.coalesce(reduce(or_, [F.coalesce(similarity(F.col(c), query) >= threshold, F.lit(False)) for c in TRIGRAM_COLUMNS]), F.lit(False))

@@ -159,7 +159,7 @@ query("trigram_similarity", f"SELECT id, round({similarity_sql('display_name', '
     lambda p, *_: live(p).select("id", F.round(similarity(F.col("display_name"), "small rings"), 6).alias("similarity"))
 )
 query("trigram_match", f"SELECT id, round({trigram_sql(_RAW)}, 6) AS score FROM live WHERE {trigram_sql(_RAW)} >= 0.3")(
-    lambda p, *_: live(p).where(scoring.trigram_match(_RAW)).select("id", F.round(scoring.trigram_score(_RAW), 6).alias("score"))
+    lambda p, *_: scoring.trigram_matches(live(p), _RAW).select("id", F.round("score", 6).alias("score"))
 )
 _SEARCHED = f"(SELECT *, {_SEARCH_SQL} FROM live)"
 query("phrase_score", f"SELECT id, {phrase_sql(['small ring', 'the'])} AS score FROM {_SEARCHED} WHERE {phrase_sql(['small ring', 'the'])} > 0")(

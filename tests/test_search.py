@@ -38,6 +38,15 @@ def test_trigrams(spark):
     assert round(df.select(similarity(F.lit("small ring"), "small rings")).first()[0], 6) == 0.769231
 
 
+def test_scores_are_worked_out_once(projects):
+    """Five columns, one intersection each, wherever the score is read."""
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("array_intersect")
+    found = scoring.trigram_matches(live(projects), "small ring")
+    assert count(found) == 5 and count(hybrid.lexical_scores(projects, hybrid.parse_filters('"small ring"'))) == 5
+    same = live(projects).where(scoring.trigram_match("small ring"))
+    assert sorted(r.id for r in found.collect()) == sorted(r.id for r in same.collect()) != []
+
+
 def test_repository_paths(spark):
     cases = [
         ("https://example.com/user0/small-ring.git", "user0", "small-ring"), ("git@example.com:user1/red_widget.git", "user1", "red_widget"),
