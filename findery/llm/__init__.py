@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten numbered operators and their queries.
+"""Operators for preparing training text: numbered operators and their queries.
 
 Nothing else in the library imports this subpackage.
 """
