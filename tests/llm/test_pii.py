@@ -167,8 +167,8 @@ def test_terms_equal_brute_force(spark):
 
 def test_many_terms_in_a_long_text(spark):
     """Every word of a long text is a term, and all are placed."""
-    words = [f"wörd{i}" for i in range(30_000)]
-    rows = [(i, "plain words of no one", "", 0) for i in range(200)] + [(500 + i, f"{' - '.join(words)} a@b.cd,", "", 0) for i in range(20)]
+    words = [f"wörd{i}" for i in range(20_000)]
+    rows = [(i, "plain words of no one", "", 0) for i in range(200)] + [(500 + i, f"{' - '.join(words)} a@b.cd,", "", 0) for i in range(8)]
     got = {r.doc: r for r in find_pii(spark.createDataFrame(rows, SCHEMA)).collect()}
     at = 0
     for s, w in zip(sorted(got[500].more), words, strict=True):
