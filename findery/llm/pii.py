@@ -91,15 +91,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def counted(found: DataFrame) -> DataFrame:
-    """(doc, text_hash, base, entities, tried, within): the entities of each document, and of those that hold one the
-    words, and the words that stand in an entity alone and are none of the text's."""
+    """(doc, text_hash, base, entities, tried, within, apart): the entities of each document, and of those that hold one the
+    words, the words of the text that stand in an entity alone, and the words that are one only without the entity they touch."""
     text = replaced(F.col("text"), F.col("base"), dict.fromkeys(BASE, " "))
     value = lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])
     entity = lambda s: F.xxhash64(s["kind"], F.when(s["kind"] == "email", F.lower(value(s))).otherwise(digits(value(s))))
     some, none = F.size("base") > 0, F.array().cast("array<string>")
     rows = found.withColumn("tried", F.when(some, all_terms(text)).otherwise(none))
-    within = F.when(some, F.array_except(all_terms(F.col("text")), F.col("tried"))).otherwise(none)
-    return rows.select("doc", "text_hash", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), "tried", within.alias("within"))
+    split = let(all_terms(F.col("text")), lambda own: F.struct(F.array_except(own, F.col("tried")).alias("within"), F.array_except(F.col("tried"), own).alias("apart")))
+    rows = rows.withColumn("_split", F.when(some, split).otherwise(F.struct(none.alias("within"), none.alias("apart"))))
+    return rows.select("doc", "text_hash", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), "tried", "_split.within", "_split.apart")
 
 
 def _disclosing(pairs: DataFrame, n: float, chance: float, generalise: float, posterior: float) -> DataFrame:
@@ -131,9 +132,11 @@ def revealing(
     bits = bits_of(stored(possible.select(F.xxhash64("word").alias("h")).distinct()))
     seen = texts.select(F.explode(all_terms(F.col("text"))).alias("word")).withColumn("h", F.xxhash64("word"))
     everywhere = among(seen, bits).groupBy("word").agg(F.count("*").alias("n_all"))
-    in_entity = of_doc.select(F.explode("within").alias("word")).groupBy("word").agg(F.count("*").alias("n_within"))
-    n_t = F.col("n_all") - F.coalesce("n_within", F.lit(0))
-    told = possible.join(everywhere, "word").join(in_entity, "word", "left").withColumn("n_t", n_t)
+    # the texts count words in entities too, and not those that an entity touches: n_t is exact, so never below n_te
+    by = lambda c, n: of_doc.select(F.explode(c).alias("word"), F.lit(n).alias("n"))
+    beside = by("within", -1).union(by("apart", 1)).groupBy("word").agg(F.sum("n").alias("n_beside"))
+    n_t = F.coalesce("n_all", F.lit(0)) + F.coalesce("n_beside", F.lit(0))
+    told = possible.join(everywhere, "word", "left").join(beside, "word", "left").withColumn("n_t", n_t)
     return _disclosing(told, n, chance, generalise, posterior).groupBy("word").agg(F.max("disclosure").alias("disclosure"))
 
 

@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from findery.llm.pii import find_pii, op5_pii, placed_words, sanitise
+from findery.llm.pii import base_spans, counted, find_pii, op5_pii, placed_words, sanitise
 
 
 def luhn(d):
@@ -185,3 +185,14 @@ def test_places(spark):
         got.setdefault(r.doc, []).append((r.start, r.end, r.word))
     for i, t in enumerate(texts):
         assert sorted(got.get(i, [])) == [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", t)], t
+
+
+def test_words_that_touch_an_entity(spark):
+    """A word that is one only without the entity it touches counts where it is tried; elsewhere it stands in an entity alone."""
+    rows = [(0, "filler ann@mail.exampleédam here"), (1, "card 4111111111111111zedword here"), (2, "write to édam+x@q.org here"), (3, "write zedword@q.org here")]
+    rows += [(4, "both 5500005555555559zedword here"), (5, "a zedword here")] + [(10 + i, f"plain text number w{i} here") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {r.doc: r for r in counted(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))).collect()}
+    assert held[1].apart == ["zedword"] and held[3].within == ["zedword", "q", "org"] and not held[10].apart
+    found = {r.doc: {(s.start, s.end, s.kind) for s in r.more} for r in find_pii(docs).collect()}
+    assert found[0] == {(0, 6, "reveal")} and found[5] == set()
