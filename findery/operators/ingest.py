@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.english import english_lexemes
+from ..functions.english import placed_words, stemmed
 from ..functions.text import search_text, with_repository
 from ..schema import PROJECTS
 
@@ -26,11 +26,11 @@ class DuplicateKey(ValueError):
 
 def with_lexemes(rows: DataFrame, stale: Column | None = None) -> DataFrame:
     """rows with tsv, the lexemes of their search text; made anew only where stale, if that is given."""
-    if stale is None:
-        return rows.withColumn("tsv", english_lexemes(search_text()))
     # a null text costs nothing in Python
-    made = english_lexemes(F.when(stale, search_text()))
-    return rows.withColumn("tsv", F.when(stale, made).otherwise(F.col("tsv")))
+    text = search_text() if stale is None else F.when(stale, search_text())
+    made = stemmed(F.col("_words"))
+    worded = rows.withColumn("_words", placed_words(text))
+    return worded.withColumn("tsv", made if stale is None else F.when(stale, made).otherwise(F.col("tsv"))).drop("_words")
 
 
 def check_keys(feed: DataFrame) -> None:
