@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EMBED_BATCH, EMBED_TTL, MEDIA_TTL
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, small_batches
 from .embed import Embedder
 
 VECTORS = "key string, embedding array<float>, model string, expires_at timestamp"
@@ -42,6 +42,7 @@ def embed_cached(texts: DataFrame, cache: DataFrame, embedder: Embedder, now: da
 
     A null text has no vector. What a fallback makes by another model answers, but is not held.
     """
+    small_batches(texts.sparkSession)
     held = _alive(cache, now)
     wanted = texts.withColumn("_key", text_key(embedder.model, F.col("text")))
     missing = wanted.where("_key IS NOT NULL").join(held.select(F.col("key").alias("_key")), "_key", "left_anti").groupBy("_key").agg(F.first("text").alias("text"))

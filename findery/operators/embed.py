@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EMBED_BATCH, EMBED_LETTERS, EMBED_TTL
+from ..sources.shared import small_batches
 from .filters import live
 
 
@@ -170,6 +171,7 @@ def embed_pending(projects: DataFrame, embeddings: DataFrame, embedder: Embedder
                 rows += [(model, v) for v in found]
             yield pd.DataFrame(rows, columns=["model", "embedding"], index=texts.index)
 
+    small_batches(projects.sparkSession)
     at = F.lit(now).cast("timestamp")
     rows = pending(projects, embeddings).withColumn("made", vectors("text"))
     return rows.select("project_id", "made.embedding", "made.model", at.alias("created_at"), at.alias("updated_at"))

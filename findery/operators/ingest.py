@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.english import placed_words, stemmed
 from ..functions.text import search_text, with_repository
 from ..schema import PROJECTS
+from ..sources.shared import small_batches
 
 COLUMNS_A = [
     "ysws", "approved_at", "code_url", "country", "demo_url", "description", "github_username", "hours", "github_stars", "display_name",
@@ -26,6 +27,7 @@ class DuplicateKey(ValueError):
 
 def with_lexemes(rows: DataFrame, stale: Column | None = None) -> DataFrame:
     """rows with tsv, the lexemes of their search text; made anew only where stale, if that is given."""
+    small_batches(rows.sparkSession)
     # a null text costs nothing in Python
     text = search_text() if stale is None else F.when(stale, search_text())
     made = stemmed(F.col("_words"))

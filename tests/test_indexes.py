@@ -11,6 +11,7 @@ from findery.operators import ingest, scoring
 from findery.operators.filters import live
 from findery.plans import search as hybrid
 from findery.sources import fixtures
+from findery.sources.catalogue import Catalogue
 from findery.sources.inverted import SearchIndex
 from findery.sources.vectors import VectorCells
 
@@ -112,3 +113,38 @@ def test_cells_of_groups_are_few(spark, tmp_path):
     q = centers[5]
     assert len(cells.reachable(spark, q, 10)) <= 6 and cells.probes(0.95) <= 4
     assert [r.id for r in cells.nearest(spark, q, 10).collect()] == [r.id for r in hybrid.nearest(df, q, 10).collect()]
+
+
+def test_entries_are_made_once(spark, projects, tmp_path):
+    """An append works its entries out in one pass, and small batches of text go to the stemmer."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    entries = projects.select(F.lit("t").alias("term"), "id", F.col("updated_at").alias("version"))
+    SearchIndex(str(tmp_path)).lexemes.append(entries.mapInArrow(count, entries.schema))
+    assert made.value == projects.count() == spark.read.parquet(f"{tmp_path}/lexemes").count()
+
+
+def test_batches_of_text_are_small(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        ingest.with_lexemes(fixtures.projects(spark, SF))
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, projects, tmp_path):
+    catalogue = Catalogue(spark, str(tmp_path), 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalogue.create(projects)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(tmp_path.rglob("*.parquet"))) > 1 and catalogue.read().count() == projects.count()
