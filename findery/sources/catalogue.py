@@ -23,6 +23,7 @@ from ..schema import PROJECTS, VERSION
 from .shared import discard, shared_folder
 
 KINDS = {"a": (ingest.COLUMNS_A, ingest.apply_feed_a), "b": ([*ingest.COLUMNS_B, "media_url"], ingest.apply_feed_b)}
+SHARES = 16  # of a bucket, by another hash than the bucket's
 SCHEMA = T.StructType([*PROJECTS.fields, T.StructField("bucket", T.IntegerType())])
 
 
@@ -60,7 +61,8 @@ class Catalogue:
         return rows.where((F.col("bucket") == bucket) & (F.col("airtable_id") == key)).drop("bucket")
 
     def _write(self, rows: DataFrame, mode: str, seen: Observation | None = None) -> None:
-        dealt = self._bucketed(rows).repartition("bucket").sortWithinPartitions("bucket", "id")  # look-ups by id skip row groups
+        # a large bucket is several tasks' work; AQE puts small shares together
+        dealt = self._bucketed(rows).repartition("bucket", F.pmod(F.hash("airtable_id"), F.lit(SHARES))).sortWithinPartitions("bucket", "id")  # look-ups by id skip row groups
         if seen is not None:
             dealt = dealt.observe(seen, F.count("*").alias("written"), F.coalesce(F.sum(F.col("changed").cast("long")), F.lit(0)).alias("changed")).drop("changed")
         writer = dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#airtable_id", "true")
