@@ -123,7 +123,10 @@ def _at(record: Column, path: str) -> Column:
 
 
 def _kind(value: Column) -> Column:
-    """BIGINT, DECIMAL(...), DOUBLE, STRING, BOOLEAN, ARRAY<...>, OBJECT<...>, VOID for JSON null; null where absent."""
+    """BIGINT, DECIMAL(...), DOUBLE, STRING, BOOLEAN, ARRAY<...>, OBJECT<...>, VOID for JSON null; null where absent.
+
+    It walks the whole value. Where each condition of a chain begins with it, Spark works it out once for all of them.
+    """
     return F.schema_of_variant(value)
 
 
@@ -138,13 +141,13 @@ def _absent(value: Column, required: bool, path: str, kind: str) -> Column:
 def timestamp(record: Column, path: str, required: bool = True) -> Column:
     """Epoch seconds; an ISO date is its midnight in UTC; '', 'null' and null are null."""
     v = _at(record, path)
-    text = F.try_variant_get(v, "$", "string")
+    kind, text = _kind(v), F.try_variant_get(v, "$", "string")
     day = F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))
     return (
-        F.when(v.isNull(), _absent(v, required, path, "bigint"))
-        .when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-        .when((_kind(v) == "VOID") | ((_kind(v) == "STRING") & text.isin("", "null")), F.lit(None).cast("bigint"))
-        .when((_kind(v) == "STRING") & day.isNotNull(), F.unix_seconds(day))
+        F.when(kind.isNull(), _absent(v, required, path, "bigint"))
+        .when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+        .when((kind == "VOID") | ((kind == "STRING") & text.isin("", "null")), F.lit(None).cast("bigint"))
+        .when((kind == "STRING") & day.isNotNull(), F.unix_seconds(day))
         .otherwise(_fail(path, v).cast("bigint"))
     )
 
@@ -152,10 +155,11 @@ def timestamp(record: Column, path: str, required: bool = True) -> Column:
 def null_int(record: Column, path: str, required: bool = True) -> Column:
     """An integer; null and any string are null."""
     v = _at(record, path)
+    kind = _kind(v)
     return (
-        F.when(v.isNull(), _absent(v, required, path, "int"))
-        .when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "int"))
-        .when(_kind(v).isin("VOID", "STRING"), F.lit(None).cast("int"))
+        F.when(kind.isNull(), _absent(v, required, path, "int"))
+        .when(kind == "BIGINT", F.try_variant_get(v, "$", "int"))
+        .when(kind.isin("VOID", "STRING"), F.lit(None).cast("int"))
         .otherwise(_fail(path, v).cast("int"))
     )
 
@@ -163,9 +167,10 @@ def null_int(record: Column, path: str, required: bool = True) -> Column:
 def plain_int(record: Column, path: str) -> Column:
     """An integer; absent is 0."""
     v = _at(record, path)
+    kind = _kind(v)
     return (
-        F.when(v.isNull(), F.lit(0))
-        .when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "int"))
+        F.when(kind.isNull(), F.lit(0))
+        .when(kind == "BIGINT", F.try_variant_get(v, "$", "int"))
         .otherwise(_fail(path, v).cast("int"))
     )
 
@@ -178,11 +183,12 @@ def plain_string(record: Column, path: str) -> Column:
 def null_string(record: Column, path: str, required: bool = True) -> Column:
     """A string, or an array's first element if that is one; 'null' and null are null."""
     v = _at(record, path)
-    keep = lambda x: F.when((_kind(x) == "STRING") & (F.try_variant_get(x, "$", "string") != "null"), F.try_variant_get(x, "$", "string"))
+    kind = _kind(v)
+    keep = lambda kind, path: F.when(kind == "STRING", F.nullif(F.try_variant_get(v, path, "string"), F.lit("null")))
     return (
-        F.when(v.isNull(), _absent(v, required, path, "string"))
-        .when(_kind(v).isin("VOID", "STRING"), keep(v))
-        .when(_kind(v).startswith("ARRAY"), keep(_at(v, "$[0]")))
+        F.when(kind.isNull(), _absent(v, required, path, "string"))
+        .when(kind.isin("VOID", "STRING"), keep(kind, "$"))
+        .when(kind.startswith("ARRAY"), keep(_kind(_at(v, "$[0]")), "$[0]"))
         .otherwise(_fail(path, v).cast("string"))
     )
 
@@ -190,14 +196,13 @@ def null_string(record: Column, path: str, required: bool = True) -> Column:
 def null_float(record: Column, path: str, required: bool = True) -> Column:
     """A number, or an array's first element which must be one; null and any string are null."""
     v = _at(record, path)
-    number = lambda x: _kind(x).isin("BIGINT", "DOUBLE", "FLOAT") | _kind(x).startswith("DECIMAL")
-    value = lambda x: F.try_variant_get(x, "$", "double")
-    first = _at(v, "$[0]")
+    kind = _kind(v)
+    number = lambda kind: kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
     return (
-        F.when(v.isNull(), _absent(v, required, path, "double"))
-        .when(number(v), value(v))
-        .when(_kind(v).isin("VOID", "STRING"), F.lit(None).cast("double"))
-        .when(_kind(v).startswith("ARRAY") & F.coalesce(number(first), F.lit(False)), value(first))
+        F.when(kind.isNull(), _absent(v, required, path, "double"))
+        .when(number(kind), F.try_variant_get(v, "$", "double"))
+        .when(kind.isin("VOID", "STRING"), F.lit(None).cast("double"))
+        .when(kind.startswith("ARRAY") & F.coalesce(number(_kind(_at(v, "$[0]"))), F.lit(False)), F.try_variant_get(v, "$[0]", "double"))
         .otherwise(_fail(path, v).cast("double"))
     )
 
@@ -209,22 +214,22 @@ LEVELS = 12
 def first_url(value: Column, levels: int = LEVELS) -> Column:
     """The first URL in a variant: a string, an object's url, or the first in its values (by key) or items.
 
-    One expression, unfolded as many times as there are levels.
+    One expression, unfolded as many times as there are levels. Nothing after the first URL is looked at, only scalars are
+    asked for their kind, and an object is taken apart once: a path that is not there costs Spark more than the map.
     """
-    kind, text = _kind(value), F.try_variant_get(value, "$", "string")
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    items, by_key = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
+    text = F.try_variant_get(value, "$", "string")
+    scalar = F.when((_kind(value) == "STRING") & ~text.isin("", "null"), text)
     if not levels:
-        return F.when(nested, _fail("a URL nested so deeply", value).cast("string")).when((kind == "STRING") & ~text.isin("", "null"), text)
-    url = _at(value, "$.url")
-    by_key = F.try_variant_get(value, "$", "map<string,variant>")
-    values = F.transform(F.array_sort(F.map_keys(by_key)), lambda k: F.element_at(by_key, k))
-    inner = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), values)
-    first = F.get(F.filter(F.transform(inner, lambda x: first_url(x, levels - 1)), lambda u: u.isNotNull()), F.lit(0))
-    return (
-        F.when(kind == "STRING", F.when(~text.isin("", "null"), text))
-        .when(kind.startswith("OBJECT") & (_kind(url) == "STRING"), F.nullif(F.try_variant_get(url, "$", "string"), F.lit("")))
-        .when(nested, first)
-    )
+        return F.when(items.isNotNull() | by_key.isNotNull(), _fail("a URL nested so deeply", value).cast("string")).otherwise(scalar)
+
+    def found(by_key: Column) -> Column:
+        url = F.element_at(by_key, F.lit("url"))
+        inner = F.coalesce(items, F.transform(F.array_sort(F.map_keys(by_key)), lambda k: F.element_at(by_key, k)))
+        first = F.aggregate(inner, F.lit(None).cast("string"), lambda u, x: F.coalesce(u, first_url(x, levels - 1)))
+        return F.when(_kind(url) == "STRING", F.nullif(F.try_variant_get(url, "$", "string"), F.lit(""))).otherwise(F.coalesce(first, scalar))
+
+    return F.get(F.transform(F.array(by_key), found), F.lit(0))
 
 
 def screenshot(record: Column, path: str) -> Column:

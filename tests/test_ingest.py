@@ -98,6 +98,14 @@ def test_urls_in_nested_values(spark):
         records(spark, [{"x": [deep]}]).select(feeds.screenshot(F.col("record"), "$.x")).collect()
 
 
+def test_nothing_after_the_first_url_is_looked_at(spark):
+    deep = "u"
+    for _ in range(feeds.LEVELS + 1):
+        deep = [deep]
+    df = records(spark, [{"x": [None, "null", {"b": [deep], "a": ["first"]}, deep]}, {"x": {"url": "", "a": deep}}, {"x": [{"url": "null"}]}])
+    assert [r.u for r in df.select(feeds.screenshot(F.col("record"), "$.x").alias("u")).collect()] == ["first", None, "null"]
+
+
 def test_scenarios(spark, empty):
     one = ingest.apply_feed_a(empty, feed_a(spark, {}, {"id": "k2"}), T1).persist()
     got = rows(one)

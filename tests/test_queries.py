@@ -40,3 +40,17 @@ def test_project_created_as_the_feed_comes(spark, tmp_path, name):
     for t in TABLES:
         made.get(t, read(t)).write.parquet(f"{tmp_path}/{t}.parquet")
     assert_same(QUERIES[name](spark, str(tmp_path)), tmp_path, ORACLES[name])
+
+
+@pytest.mark.parametrize("name", ["decode_events", "decode_variants"])
+def test_decoded_events(spark, tmp_path, name):
+    """Numbers of eight digits and nulls, and a record that is parsed once a row."""
+    for t in TABLES:
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t == "events":
+            null = lambda c, n: F.when(F.col("event_id") % n != 0, F.col(c))
+            df = df.withColumns({"user_id": null("user_id", 7), "event_type": null("event_type", 5), "event_id": F.col("event_id") + 9_999_950})
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
+    assert_same(found, tmp_path, ORACLES[name])
