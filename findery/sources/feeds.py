@@ -214,8 +214,8 @@ LEVELS = 12
 def first_url(value: Column, levels: int = LEVELS) -> Column:
     """The first URL in a variant: a string, an object's url, or the first in its values (by key) or items.
 
-    One expression, unfolded as many times as there are levels. Nothing after the first URL is looked at, only scalars are
-    asked for their kind, and an object is taken apart once: a path that is not there costs Spark more than the map.
+    One expression, unfolded as many times as there are levels. Nothing after the first URL is looked at, values that
+    hold one are not asked for their kind, and an object is taken apart once: a path that is not there costs Spark more than the map.
     """
     items, by_key = F.try_variant_get(value, "$", "array<variant>"), F.try_variant_get(value, "$", "map<string,variant>")
     text = F.try_variant_get(value, "$", "string")
