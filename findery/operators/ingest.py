@@ -25,11 +25,11 @@ class DuplicateKey(ValueError):
     """A feed names a project twice."""
 
 
-def with_lexemes(rows: DataFrame, stale: Column | None = None) -> DataFrame:
+def with_lexemes(rows: DataFrame, stale: Column | None = None, letters: int | None = None) -> DataFrame:
     """rows with tsv, the lexemes of their search text; made anew only where stale, if that is given."""
     small_batches(rows.sparkSession)
     # a null text costs nothing in Python
-    text = search_text() if stale is None else F.when(stale, search_text())
+    text = search_text(letters) if stale is None else F.when(stale, search_text(letters))
     made = stemmed(F.col("_words"))
     worded = rows.withColumn("_words", placed_words(text))
     return worded.withColumn("tsv", made if stale is None else F.when(stale, made).otherwise(F.col("tsv"))).drop("_words")

@@ -54,3 +54,23 @@ def test_decoded_events(spark, tmp_path, name):
     found = QUERIES[name](spark, str(tmp_path))
     assert found._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
     assert_same(found, tmp_path, ORACLES[name])
+
+
+@pytest.fixture(scope="module")
+def far_words(spark, tmp_path_factory):
+    """Tables whose texts have their only bolts and rings beyond the first thousand letters; project 7 has most rings."""
+    folder = tmp_path_factory.mktemp("far")
+    for t in TABLES:
+        df = spark.read.parquet(f"{SF}/{t}.parquet")
+        if t == "documents":
+            end = F.when(F.col("doc_id") == 7, F.lit(" bolts" + 60 * " rings")).otherwise(F.lit(" bolts"))
+            df = df.withColumn("text", F.concat(F.lit(300 * "word "), end))
+        df.write.parquet(f"{folder}/{t}.parquet")
+    return str(folder)
+
+
+def test_indexed_words_far_down_a_text(spark, far_words):
+    found = QUERIES["fts_rank_indexed"](spark, far_words)
+    described = spark.read.parquet(f"{far_words}/documents.parquet").where("doc_id % 13 <> 0 AND doc_id % 17 <> 0")
+    assert {r.doc_id for r in described.select("doc_id").collect()} <= {r.id for r in found.collect()}
+    assert_same(found, far_words, ORACLES["fts_rank_indexed"])
