@@ -74,3 +74,9 @@ def test_indexed_words_far_down_a_text(spark, far_words):
     described = spark.read.parquet(f"{far_words}/documents.parquet").where("doc_id % 13 <> 0 AND doc_id % 17 <> 0")
     assert {r.doc_id for r in described.select("doc_id").collect()} <= {r.id for r in found.collect()}
     assert_same(found, far_words, ORACLES["fts_rank_indexed"])
+
+
+def test_search_finds_words_far_down_a_text(spark, far_words):
+    found = QUERIES["hybrid_full"](spark, far_words)
+    assert max(found.collect(), key=lambda r: r.score).id == 7
+    assert_same(found, far_words, ORACLES["hybrid_full"])
