@@ -54,12 +54,14 @@ def numbered(rows: DataFrame, start: Column, key: str) -> DataFrame:
 
 
 def upsert(
-    projects: DataFrame, feed: DataFrame, columns: list[str], now, insert_only: tuple[str, ...] = (), checked: bool = False, last_id: Column | None = None
+    projects: DataFrame, feed: DataFrame, columns: list[str], now, insert_only: tuple[str, ...] = (), checked: bool = False, last_id: Column | None = None,
+    fed: bool = False,
 ) -> DataFrame:
     """The next snapshot with a column `changed`: inserted rows, and rows where a column differs or a tombstone falls.
 
     Rows that do not change keep their updated_at and lexemes. insert_only columns are written for new rows alone.
-    New ids follow last_id, where projects are a part of the catalogue.
+    New ids follow last_id, where projects are a part of the catalogue. With fed there is a column _fed, whether the
+    feed names the project, which spares soft_delete a join.
     """
     if not checked:
         check_keys(feed)
@@ -70,7 +72,7 @@ def upsert(
     both = projects.join(new, projects["airtable_id"] == F.col("_key"), "left")
     differs = reduce(or_, [~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]) | F.col("deleted_at").isNotNull()
     changed = F.col("_key").isNotNull() & differs
-    kept = both.withColumn("changed", changed)
+    kept = both.withColumns({"changed": changed, "_fed": F.col("_key").isNotNull()})
     kept = kept.withColumns(
         {c: F.when(F.col("changed"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
         | {"deleted_at": F.when(~F.col("changed"), F.col("deleted_at")), "updated_at": F.when(F.col("changed"), at).otherwise(F.col("updated_at"))}
@@ -81,16 +83,17 @@ def upsert(
     defaults = {"github_stars": F.lit(0), "created_at": at, "updated_at": at}
     fresh = fresh.withColumns({f.name: defaults.get(f.name, F.lit(None)).cast(f.dataType) for f in PROJECTS if f.name not in have})
     names = [f.name for f in PROJECTS]
-    out = with_repository(kept.select(*names, "changed").union(fresh.select(*names, F.lit(True).alias("changed"))))
-    return with_lexemes(out, F.col("changed") | F.col("tsv").isNull()).select(*names, "changed")
+    yes = F.lit(True)
+    out = with_repository(kept.select(*names, "changed", "_fed").union(fresh.select(*names, yes.alias("changed"), yes.alias("_fed"))))
+    return with_lexemes(out, F.col("changed") | F.col("tsv").isNull()).select(*names, "changed", *(["_fed"] if fed else []))
 
 
-def upsert_a(projects: DataFrame, feed: DataFrame, now, checked: bool = False, last_id: Column | None = None) -> DataFrame:
-    return upsert(projects, feed, COLUMNS_A, now, insert_only=("media_url",), checked=checked, last_id=last_id)
+def upsert_a(projects: DataFrame, feed: DataFrame, now, checked: bool = False, last_id: Column | None = None, fed: bool = False) -> DataFrame:
+    return upsert(projects, feed, COLUMNS_A, now, insert_only=("media_url",), checked=checked, last_id=last_id, fed=fed)
 
 
-def upsert_b(projects: DataFrame, feed: DataFrame, now, checked: bool = False, last_id: Column | None = None) -> DataFrame:
-    return upsert(projects, feed, COLUMNS_B, now, checked=checked, last_id=last_id)
+def upsert_b(projects: DataFrame, feed: DataFrame, now, checked: bool = False, last_id: Column | None = None, fed: bool = False) -> DataFrame:
+    return upsert(projects, feed, COLUMNS_B, now, checked=checked, last_id=last_id, fed=fed)
 
 
 def update_media(projects: DataFrame, feed: DataFrame, now, checked: bool = False) -> DataFrame:
@@ -113,15 +116,18 @@ def soft_delete(projects: DataFrame, feed: DataFrame, now, *, allow_empty: bool
     """A tombstone for every live row (of the scope) that the feed lacks. An empty feed is refused unless allowed."""
     if not allow_empty and feed.isEmpty():
         raise ValueError("an empty feed would delete every project")
-    keys = feed.select(F.col("airtable_id").alias("_key")).distinct()
-    both = projects.join(keys, projects["airtable_id"] == F.col("_key"), "left")
-    gone = F.col("_key").isNull() & F.col("deleted_at").isNull()
+    if "_fed" in projects.columns:
+        both, absent = projects, ~F.col("_fed")
+    else:
+        keys = feed.select(F.col("airtable_id").alias("_key")).distinct()
+        both, absent = projects.join(keys, projects["airtable_id"] == F.col("_key"), "left"), F.col("_key").isNull()
+    gone = absent & F.col("deleted_at").isNull()
     if scope is not None:
         gone = gone & scope
     at = F.lit(now).cast("timestamp")
     both = both.withColumn("changed", gone)
     both = both.withColumns({c: F.when(F.col("changed"), at).otherwise(F.col(c)) for c in ("deleted_at", "updated_at")})
-    return both.select(*projects.columns, "changed")
+    return both.select(*[c for c in projects.columns if c != "_fed"], "changed")
 
 
 def changes(snapshot: DataFrame) -> int:
@@ -131,12 +137,12 @@ def changes(snapshot: DataFrame) -> int:
 
 def apply_feed_a(projects: DataFrame, feed: DataFrame, now, *, checked: bool = False, last_id: Column | None = None, **how) -> DataFrame:
     """Upsert, then tombstones; changed if either changed the row."""
-    one = upsert_a(projects, feed, now, checked, last_id).withColumnRenamed("changed", "_first")
+    one = upsert_a(projects, feed, now, checked, last_id, fed=True).withColumnRenamed("changed", "_first")
     return _either(soft_delete(one, feed, now, **how))
 
 
 def apply_feed_b(projects: DataFrame, feed: DataFrame, now, *, checked: bool = False, last_id: Column | None = None, **how) -> DataFrame:
-    one = upsert_b(projects, feed, now, checked, last_id).withColumnRenamed("changed", "_first")
+    one = upsert_b(projects, feed, now, checked, last_id, fed=True).withColumnRenamed("changed", "_first")
     two = _either(update_media(one, feed, now, checked=True)).withColumnRenamed("changed", "_first")
     return _either(soft_delete(two, feed, now, **how))
 

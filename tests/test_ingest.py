@@ -1,6 +1,8 @@
 """Feeds: decoding, upserts, tombstones, snapshots, streams, embedding and presentation."""
 
 import json
+import re
+import time
 from datetime import datetime
 
 import pytest
@@ -455,3 +457,23 @@ def test_landing(spark, empty, tmp_path):
     store = Catalogue(spark, str(tmp_path / "projects"), 4).create(empty)
     follow(spark, folder, store, "a", str(tmp_path / "cp"), clock=lambda: T1, whole=False).awaitTermination(120)
     assert set(rows(store.read())) == {"k1", "k2"}
+
+
+def test_merge_in_rounds_leaves_no_shuffles(spark, empty, tmp_path, monkeypatch):
+    """Each bucket is a round here. What a round has shuffled is off the disk when the merge ends, and not some time later."""
+    base = ingest.upsert_a(empty, feed_a(spark, *[{"id": f"k{i}", "hours": i} for i in range(60)]), T1).drop("changed")
+    catalogue = Catalogue(spark, str(tmp_path), 4).create(base)
+    feed = feed_a(spark, *[{"id": f"k{i}", "hours": i + i % 2} for i in range(5, 80)])
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: set(re.findall(r"shuffle_(\d+)_\d+_\d+\.data", blocks.getAllFiles().mkString(" ")))
+    monkeypatch.setattr("findery.sources.catalogue.ROUND_BYTES", 0, raising=False)
+    before = shuffled()
+    got = catalogue.merge(feed, "a", T2)
+    end = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    plain = lambda df: {k: r.asDict() | {"id": 0} for k, r in rows(df).items()}
+    want = ingest.apply_feed_a(base, feed, T2)
+    assert plain(catalogue.read()) == plain(want.drop("changed")) and got.changed == want.where("changed").count()
+    assert sorted(r.id for r in catalogue.read().collect()) == list(range(1, 81))

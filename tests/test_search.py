@@ -1,5 +1,6 @@
 """Text functions, full text and the hybrid plan."""
 
+import random
 import math
 
 import pytest
@@ -234,3 +235,12 @@ def test_lookups(projects, spark):
     with pytest.raises(AttributeError):
         cache.get(17)
     assert healthy(spark)
+
+
+def test_words_tried_first_change_no_token(spark):
+    draw = random.Random(5)
+    parts = ["ab", "1", "é", "٣", "-", ".", "_", "%", "+", "@", ":", "/", " ", "://", "foo.com", "a@b.co", "well-known", "com5"]
+    texts = [("".join(draw.choices(parts, k=draw.randint(0, 14))),) for _ in range(5000)]
+    cut = lambda pattern: F.regexp_extract_all(F.lower("t"), F.lit(pattern), F.lit(0))
+    df = spark.createDataFrame(texts, "t string")
+    assert df.where(~cut(english.TOKEN).eqNullSafe(cut(english._SPARK_TOKEN))).count() == 0
