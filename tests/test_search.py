@@ -1,7 +1,7 @@
 """Text functions, full text and the hybrid plan."""
 
-import random
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
